@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -79,18 +80,24 @@ class Codec:
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self._encoder = PieceEncoder(self._encode_many)
 
+    def _pre_tokens(self, piece: str) -> list[str]:
+        if piece[1:].isalpha() and piece[0] == " ":  # what the pattern finds whole
+            return [piece]
+        return self.split(piece)
+
     def _encode_many(self, pieces: list[str]) -> list[bytes]:
-        parts = [self.split(p) for p in pieces]
-        flat = [x.encode("utf-8", "replace").decode("latin-1").translate(self.shown) for p in parts for x in p]
+        parts = [self._pre_tokens(p) for p in pieces]
+        flat = [x if x.isascii() and x.isalpha() else x.encode("utf-8", "replace").decode("latin-1").translate(self.shown) for p in parts for x in p]
         found = iter(self.model.encode(flat, num_threads=1) if flat else [])
         out = []
         for p in parts:
-            ids = [i for _ in p for i in next(found)]
-            out.append((np.array(ids, "<u4") - 1).astype("<u4").tobytes() if ids else b"")
+            ids = next(found) if len(p) == 1 else [i for _ in p for i in next(found)]
+            out.append(array("I", ids).tobytes())
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self._encoder(text), "<u4").tolist()
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """ids of each text; the model's ids are one higher."""
+        return [(np.frombuffer(code, "u4") - np.uint32(1)).tolist() for code in self._encoder(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -118,8 +125,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fals
         c = codec(path, pattern)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                ids = c.encode(text)
+            for ids in c.encode(batch["text"]):
                 plain = c.decode(ids)
                 shown = " ".join(map(c.decimal.__getitem__, ids)).encode()
                 rows.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(plain).hexdigest(), *([ids, plain] if with_ids else [])))

@@ -120,6 +120,9 @@ def sample_labels(labels: DataFrame, column: str, rows: int, folds=(1, 2, 3, 4))
     return both.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("weight").alias("weight"))
 
 
-def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, label, weight) of the sampled ids; the sample is bounded, so it is broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+def labelled_texts(docs: DataFrame, sample: DataFrame, longest: int = 200_000) -> DataFrame:
+    """(doc_id, text, label, weight) of the sampled ids; the sample is bounded, so it is broadcast.
+
+    Texts beyond ``longest`` characters are not trained on, which bounds the sample's bytes too.
+    """
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.length(F.coalesce("text", F.lit(""))) <= longest)

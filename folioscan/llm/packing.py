@@ -129,8 +129,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                code = encode(text) + end
+            for doc_id, code in zip(batch["doc_id"], encode(batch["text"]), strict=True):
+                code += end
                 for k, (start, length) in enumerate(cut_points(len(code) // 4, capacity)):
                     own = code[4 * start : 4 * (start + length)]
                     out.append((doc_id, k, start, length, zlib.crc32(own), task, seen[length], *[own] * with_ids))

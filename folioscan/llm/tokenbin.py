@@ -80,8 +80,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, wi
             if name is None:
                 name = f"{task:06d}-{uuid.uuid4().hex}"
                 out = _put(folder, f"{name}.bin")
-            for text in batch["text"]:
-                code = encode(text) + end
+            for code in encode(batch["text"]):
+                code += end
                 out.write(code if wide else np.frombuffer(code, "<u4").astype(dtype).tobytes())
                 ends.append(ends[-1] + len(code) // 4)
             nulls.append(np.array([i is None for i in batch["doc_id"]], "u1"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # executors' cores are Spark's
 
@@ -19,54 +20,103 @@ _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
+class _Memo(dict):
+    """A dict with one older generation: what is looked up there moves up, what is not goes at the next turn."""
+
+    old: dict = {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def unknown(self, keys: set) -> set:
+        return {k for k in keys.difference(self) if k not in self.old}
+
+
 class PieceEncoder:
-    """text -> the joined codes of its pieces, as bytes.
+    """texts -> the joined codes of their pieces, as bytes.
 
-    ``encode_many`` maps a list of strings to a list of bytes. The memo is
-    emptied when it holds ``limit`` characters, so its memory is bounded.
+    ``encode_many`` maps a list of strings to a list of bytes. Two generations
+    of at most ``limit`` pieces are remembered, so memory is bounded.
     """
 
-    def __init__(self, encode_many, limit: int = 3_000_000):
-        self.encode_many, self.limit, self.size = encode_many, limit, 0
-        self.rest: dict[str, bytes | None] = {}  # bare piece -> code of " " + piece; None: not alone
-        self.whole: dict[str, bytes] = {}  # chunk with its own leading space -> code
+    def __init__(self, encode_many, limit: int = 300_000, chunk: int = 2_000_000):
+        self.encode_many, self.limit, self.chunk = encode_many, limit, chunk
+        self.rest = _Memo()  # bare piece -> code of " " + piece; None: not to be taken alone
+        self.whole = _Memo()  # chunk with its own leading space -> code
+        self.ends: dict[str, bytes] = {}  # punctuation after a word -> code
 
-    def _learn(self, memo: dict, new: set, lead: str) -> None:
+    def _learn(self, memo: _Memo, pieces, lead: str) -> None:
+        new = memo.unknown(set().union(*pieces))
         odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()} if lead else set()
-        plain = sorted(new - odd)
+        new -= odd
+        # letters and the punctuation after them are pre-tokens of their own: "word" and "," serve "word,"
+        parted = {}
+        if lead:
+            for p in new:
+                core = p.rstrip(string.punctuation)
+                if core is not p and core.isalpha() and len(p) - len(core) < 9:
+                    parted[p] = core
+        plain = new.difference(parted)
+        plain |= memo.unknown(set(parted.values()))
+        self.long = [p for p in plain if len(p) > 256]  # not kept, so that memory does not follow the longest piece
+        plain = list(plain)
         memo.update(zip(plain, self.encode_many([lead + p for p in plain]), strict=True))
         memo.update(dict.fromkeys(odd))
-        self.size += sum(map(len, new)) + 8 * len(new)
-
-    def _join(self, memo: dict, pieces: list, lead: str) -> bytes | None:
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            self._learn(memo, set(pieces).difference(memo), lead)
-        except TypeError:
-            return None
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except TypeError:
-            return None
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.size > self.limit:
-            self.rest, self.whole, self.size = {}, {}, 0
-        first, *rest = text.split(" ")
-        if not (first and first[-1].isspace() and rest):
-            if (code := self._join(self.rest, rest, " ")) is not None:
-                return (self._join(self.whole, [first], "") if first else b"") + code
-        return self._join(self.whole, CHUNKS.findall(text), "")
+        ends = list({p[len(c) :] for p, c in parted.items()}.difference(self.ends))
+        if len(self.ends) > 50_000:
+            self.ends, ends = {}, list({p[len(c) :] for p, c in parted.items()})
+        self.ends.update(zip(ends, self.encode_many(ends), strict=True))
+        for p, core in parted.items():
+            memo[p] = memo[core] + self.ends[p[len(core) :]]
+
+    def _forget(self, memo: _Memo) -> None:
+        for p in self.long:
+            memo.pop(p, None)
+        if len(memo) > self.limit:
+            memo.turn()
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        cut = [t.split(" ") for t in texts]
+        self._learn(self.rest, cut, " ")
+        out: list[bytes | None] = []
+        for first, *rest in cut:
+            try:
+                if first and first[-1].isspace() and rest:
+                    raise TypeError
+                out.append(b"".join(map(self.rest.__getitem__, rest)))
+            except TypeError:
+                out.append(None)
+        self._forget(self.rest)
+        # the first piece has no space before it; texts with white space beside a space are cut by the pattern
+        heads = [[c[0]] if o is not None else CHUNKS.findall(t) for o, c, t in zip(out, cut, texts, strict=True)]
+        self._learn(self.whole, heads, "")
+        out = [b"".join(map(self.whole.__getitem__, h)) + (o or b"") for h, o in zip(heads, out, strict=True)]
+        self._forget(self.whole)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        some: list[str] = []
+        size = 0
+        for t in texts:
+            some.append(t or "")
+            size += len(t or "")
+            if size > self.chunk:
+                out += self._some(some)
+                some, size = [], 0
+        return out + self._some(some) if some else out
 
 
 _loaded: dict[tuple, PieceEncoder] = {}
 
 
 def library_encoder(path: str) -> PieceEncoder:
-    """Encoder for a tokenizers file: little-endian unsigned 32-bit ids. One for each worker and file.
+    """Encoder for a byte-level tokenizers file: little-endian unsigned 32-bit ids. One for each worker and file.
 
     Strings of special tokens in a text are ordinary text.
     """
@@ -76,10 +126,28 @@ def library_encoder(path: str) -> PieceEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        (newline,) = tokenizer.encode("\n", add_special_tokens=False).ids
+
+        def each(pieces: list[str]) -> list[bytes]:
+            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
         def encode_many(pieces: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            # lines of one text: a line feed before a space or at the end is a token of its own
+            out: dict[str, bytes] = dict.fromkeys(pieces, b"")
+            lone = [p for p in pieces if p[:1] == " " and p.split() == [p[1:]]]
+            for at in range(0, len(lone), 400):
+                part = lone[at : at + 400]
+                (found,) = tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)
+                ids = np.array(found.ids, "<u4")
+                ends = np.flatnonzero(ids == newline).tolist()
+                code, begin = ids.tobytes(), 0
+                assert len(ends) == len(part)
+                for p, end in zip(part, ends, strict=True):
+                    out[p] = code[4 * begin : 4 * end]
+                    begin = end + 1
+            rest = sorted(set(pieces).difference(lone))
+            out.update(zip(rest, each(rest), strict=True))
+            return [out[p] for p in pieces]
 
         _loaded["library", path] = PieceEncoder(encode_many)
     return _loaded["library", path]
