@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_texts, map_batches, sample_labels, tune
 from .models import fit_logistic, sigmoid
 
-SAMPLE, THRESHOLD = 6000, 0.3
+SAMPLE, THRESHOLD = 4000, 0.3
 _KINDS = ("upper", "lower", "digit", "space", "bar", "loud", "symbol", "stop", "high")
 
 

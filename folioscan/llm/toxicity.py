@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import drop_written, fold, held_out, labelled_texts, map_batches, sample_labels, tune, written
 from .models import fit_logistic, sigmoid
 
-SAMPLE, TERMS, THRESHOLD, WINDOW, LEAST = 20_000, 2_000, 0.5, 8, 12.0
+SAMPLE, TERMS, THRESHOLD, WINDOW, LEAST = 20_000, 2_000, 0.5, 8, 20.0
+#: Misspellings are looked for of terms that this share of toxic texts has: what resembles a rare term does so by chance.
+OFTEN = 0.05
 _STRIP = string.punctuation + "“”„«»‘’…–—"
 _OPEN, _CLOSE = tuple("\"“„«‘'"), tuple("\"”“»’'")
 _REPORT = frozenset("said says say wrote writes called calls quoted quotes quote reported according term word slur dit disait écrit appelé selon sagte sagt schrieb nannte laut dijo dice escribió llamó según".split())
@@ -48,15 +50,17 @@ def allowance(length: int) -> int:
 class Lexicon:
     """Terms with weights as a trie, matched by automata."""
 
-    def __init__(self, weights: dict[str, float], common: frozenset = frozenset()):
+    def __init__(self, weights: dict[str, float], spelled: frozenset | None = None, common: frozenset = frozenset()):
+        """spelled: the terms of which misspellings are looked for (all, if None); common: words that are none."""
         self.weights, self.common = weights, common
+        self.spelled = frozenset(weights) if spelled is None else spelled
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.head: dict[int, set] = {}
         self.tail: dict[int, set] = {}
         self.middle: dict[tuple[int, int], set] = {}
         self.spots: dict[int, set] = {}  # word length -> where middles may stand
-        for term in weights:
+        for term in self.spelled:
             at = 0
             for c in term:
                 if c not in self.children[at]:
@@ -219,9 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     expect = (pos + neg) * (n_pos / (n_pos + n_neg))
     ratio = 2 * (pos * F.log(pos / expect) + F.when(neg > 0, neg * F.log(neg / (pos + neg - expect))).otherwise(0.0))
     weight = F.log((pos + 0.5) / (n_pos + 1.0)) - F.log((neg + 0.5) / (n_neg + 1.0))
-    strong = counts.filter((pos >= 3) & (pos > expect)).select("word", ratio.alias("ratio"), weight.alias("weight"))
+    strong = counts.filter((pos >= 3) & (pos > expect)).select("word", "pos", ratio.alias("ratio"), weight.alias("weight"))
     top = strong.filter((F.col("ratio") >= LEAST) & (F.col("weight") >= 1.0)).orderBy(F.desc("ratio"), "word").limit(terms).collect()
-    lexicon = Lexicon({r["word"]: r["weight"] for r in top})
+    spelled = frozenset(r["word"] for r in top if r["pos"] >= OFTEN * n_pos)
+    lexicon = Lexicon({r["word"]: r["weight"] for r in top}, spelled)
 
     def clean(batches):  # words of clean texts that look like a term
         for batch in batches:
@@ -229,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
 
     used = counts.filter((neg >= 2) & (neg * n_pos >= pos * n_neg)).select("word")
     common = frozenset(r["word"] for r in map_batches(used, clean, "word string").collect()) - set(lexicon.weights)
-    lexicon = Lexicon(lexicon.weights, common)
+    lexicon = Lexicon(lexicon.weights, spelled, common)
 
     def feats(batches):
         scanner = Scanner(lexicon)

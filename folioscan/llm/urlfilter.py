@@ -10,8 +10,7 @@ of its two classes is the threshold.
 
 Counts are taken over all ruled urls. The n-grams' log-ratios then go into a
 hash table of 2 ** BITS slots, each with the most frequent n-gram that falls
-there and a tag to know it by, so the table's size is bounded whatever the
-corpus. It reaches the scan as a scalar subquery.
+there, so the table's size is bounded whatever the corpus, and it can be broadcast.
 
 Defined results: a null url has the verdict block, no rule, empty host and
 path, score null; an empty url scores 0; a url without ``://`` is scored as it
@@ -26,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 ORDER, BITS, SYMBOLS = 4, 17, 1024
@@ -50,21 +49,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _grams(url: Column, order: int) -> Column:
-    """For each character, the hashes of it with its 0 to ``order`` characters of context."""
+def with_grams(df: DataFrame, url: str, order: int) -> DataFrame:
+    """A row for each character of the url with g0 to g<order>, hashes of it and the characters before it, and
+    c0 to c<order>, hashes of only those before it; a row without them, if there are no characters.
+
+    The arrays are columns of their own, so that they are made once for each url.
+    """
+    keep = df.columns
     shown = F.regexp_replace(F.lower(url), r"\d", "0")
     chars = F.concat(F.array(*[F.lit(_PAD)] * order), F.filter(F.split(shown, ""), lambda c: c != ""), F.array(F.lit("\u0003")))
-    return F.transform(F.sequence(F.lit(order + 1), F.size(chars)), lambda i: i), chars
-
 
-def with_grams(df: DataFrame, url: str, order: int) -> DataFrame:
-    """Adds ``chars`` (padded) and ``at`` (places of its characters); each is a column so that it is computed once."""
-    at, chars = _grams(F.col(url), order)
-    return df.withColumn("chars", chars).withColumn("at", F.sequence(F.lit(order + 1), F.size("chars")))
+    def name(i: Column, k: int, context: bool) -> Column:
+        return F.xxhash64(F.lit(k - context), F.slice("chars_", i - k, F.lit(k + 1 - context)))
 
-
-def _hash(i: Column, k: int, drop_last: bool = False) -> Column:
-    return F.xxhash64(F.lit(k - drop_last), F.slice("chars", i - k, F.lit(k + 1 - drop_last)))
+    hashes = lambda i: F.struct(*[name(i, k, c).alias(f"{'c' if c else 'g'}{k}") for k in range(order + 1) for c in (False, True)])
+    at = F.transform(F.sequence(F.lit(order + 1), F.size("chars_")), hashes)
+    return df.withColumn("chars_", chars).select(*keep, F.explode_outer(at).alias("h")).select(*keep, "h.*")
 
 
 def train(ruled: DataFrame, order: int = ORDER) -> DataFrame:
@@ -72,11 +72,8 @@ def train(ruled: DataFrame, order: int = ORDER) -> DataFrame:
 
     ruled: url and accepted (boolean).
     """
-    positions = with_grams(ruled.select("url", "accepted").filter(F.col("url").isNotNull()), "url", order)
-    # per place one row with all orders' hashes, counted before any shuffle by the highest order's; lower orders sum these
-    places = positions.select("accepted", F.explode("at").alias("i"), "chars")
-    hashes = [_hash(F.col("i"), k).alias(f"g{k}") for k in range(order + 1)] + [_hash(F.col("i"), k, True).alias(f"c{k}") for k in range(order + 1)]
-    places = places.select("accepted", *hashes)
+    # a row for each place with all orders' hashes, counted before any shuffle; lower orders sum these counts
+    places = with_grams(ruled.select("url", "accepted").filter(F.col("url").isNotNull()), "url", order)
     keys = [f"{x}{k}" for k in range(order + 1) for x in "gc"]
     counts = written(places.groupBy(*keys).agg(F.count_if("accepted").alias("acc"), F.count_if(~F.col("accepted")).alias("rej")), "grams")
     lower, out = None, []
@@ -100,31 +97,26 @@ def train(ruled: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def table(grams: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row: tags and ratios of 2 ** bits slots, each holding its most frequent n-gram."""
-    slot = F.pmod("gram", F.lit(1 << bits))
-    best = grams.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "gram", "ratio")).alias("x"))
-    spark = grams.sparkSession
-    slots = spark.range(1 << bits).withColumnRenamed("id", "slot").join(best, "slot", "left")
-    # in runs of 1,024, so that no task sorts more than that, then 2 ** bits / 1,024 runs
-    runs = slots.groupBy(F.floor(F.col("slot") / 1024).alias("run")).agg(F.sort_array(F.collect_list(F.struct("slot", "x"))).alias("s"))
-    one = runs.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run", "s"))), lambda r: r["s"])).alias("s"))
-    return one.select(F.transform("s", lambda r: F.shiftright(r["x"]["gram"], 33).cast("int")).alias("tags"), F.transform("s", lambda r: r["x"]["ratio"].cast("float")).alias("ratios"))
-
-
-def with_score(df: DataFrame, model: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
-    """Adds score, the length-normalised log-ratio of the column url."""
-    tags, ratios = model.select("tags").scalar(), model.select("ratios").scalar()
-    keep = df.columns
-    df = with_grams(df, "url", order)
-    hashed = df.withColumn("hashed", F.transform("at", lambda i: F.array(*[_hash(i, k) for k in range(order, -1, -1)])))
+    """gram, ratio of at most 2 ** bits n-grams: of those that share a slot, the most frequent stays."""
+    best = grams.groupBy(F.pmod("gram", F.lit(1 << bits))).agg(F.max(F.struct("n", "gram", "ratio")).alias("x"))
+    return best.select("x.gram", "x.ratio")
+
 
-    def look(h: Column) -> Column:
-        slot = F.pmod(h, F.lit(1 << bits)).cast("int")
-        return F.when(F.get(tags, slot) == F.shiftright(h, 33).cast("int"), F.get(ratios, slot))
+def with_score(df: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """Adds score, the length-normalised log-ratio of the column url; 0 for none.
 
-    values = F.transform("hashed", lambda a: F.coalesce(*[look(F.get(a, k)) for k in range(order + 1)], F.lit(0.0)).cast("double"))
-    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    return hashed.withColumn("score", total / F.size("at")).select(*keep, "score")
+    The model is bounded (see table), so it is broadcast; a url's characters
+    stay in one task until their sum is made.
+    """
+    keep = df.columns
+    row = unused(df, "row")
+    places = with_grams(df.withColumn(row, F.monotonically_increasing_id()), "url", order).drop(*[f"c{k}" for k in range(order + 1)])
+    for k in range(order, -1, -1):
+        level = F.broadcast(model.select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}")))
+        places = places.join(level, f"g{k}", "left")
+    ratio = F.coalesce(*[f"r{k}" for k in range(order, -1, -1)], F.lit(0.0))
+    scored = places.groupBy(row).agg(*[F.first(c).alias(c) for c in keep], F.avg(ratio).alias("score"))
+    return scored.select(*keep, "score")
 
 
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER, bits: int = BITS) -> DataFrame:
@@ -136,9 +128,9 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, bits: int = BITS) -
     known = urls.filter(F.col("ruled").isNotNull()).select("url", (F.col("ruled") == "allow").alias("accepted"))
     apart = F.crc32(F.col("url").cast("binary")) % 5 == 0
     model = written(table(train(known.filter(~apart), order), bits), "urlmodel")
-    means = with_score(known.filter(apart), model, order, bits).groupBy("accepted").agg(F.avg("score").alias("m")).collect()
+    means = with_score(known.filter(apart), model, order).groupBy("accepted").agg(F.avg("score").alias("m")).collect()
     found = {r["accepted"]: r["m"] for r in means if r["m"] is not None and math.isfinite(r["m"])}
     threshold = (found[True] + found[False]) / 2 if len(found) == 2 else 0.0
-    scored = with_score(urls, model, order, bits)
+    scored = with_score(urls, model, order)
     verdict = F.coalesce("ruled", F.when(F.col("url").isNotNull() & (F.col("score") >= threshold), "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("url").isNotNull(), F.col("score")).alias("score"))

@@ -8,8 +8,7 @@ long, so a minimum of longs picks both. Guarantee: two texts that share
 GRAM + WINDOW - 1 consecutive pieces share a selected hash, and the places say
 where. Likeness is the Jaccard measure of the selected hashes.
 
-Minima over windows come from doubling (pairs, then pairs of pairs), so the
-work is linear in the text.
+The work is linear in the text.
 
 Defined results: a null text is empty; an empty text selects nothing, and two
 empty selections are alike (1.0); fewer pieces than GRAM hash as one, fewer
@@ -26,22 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PIECE, GRAM, WINDOW = 8, 3, 4
+PIECE, GRAM, WINDOW = 4, 3, 4
 _PLACES = (1 << 20) - 1
 
 
-def _minima(values: Column, n: Column, width: int) -> Column:
-    """Minima of every ``width`` consecutive values (a power of two); all of them, if fewer."""
-    assert width & (width - 1) == 0
-    out, step = values, 1
-    while step < width:
-        size = n - F.lit(step * 2 - 1)
-        shifted = F.slice(out, F.lit(step + 1), F.greatest(size, F.lit(0)))
-        out = F.zip_with(F.slice(out, F.lit(1), F.greatest(size, F.lit(0))), shifted, F.least)
-        step *= 2
-    return F.when(n < width, F.array(F.array_min(values))).otherwise(out)
-
-
 def with_selection(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: the selected (hash, place) longs of the column ``text``, in the order of places.
 
@@ -59,7 +46,8 @@ def with_selection(df: DataFrame, text: str, out: str) -> DataFrame:
     n = F.size(h) - (GRAM - 1)
     few = F.transform(F.slice(h, 1, 1), lambda x: F.xxhash64(F.col(h)).bitwiseAND(F.lit(~_PLACES)).bitwiseOR(F.lit(_PLACES)))
     df = df.withColumn(g, F.when(n < 1, few).otherwise(F.transform(F.slice(F.col(h), F.lit(1), F.greatest(n, F.lit(0))), gram)))
-    selected = F.when(F.size(g) == 0, F.col(g)).otherwise(F.array_distinct(_minima(F.col(g), F.size(g), WINDOW)))
+    windows = F.greatest(F.size(g) - (WINDOW - 1), F.least(F.size(g), F.lit(1)))  # a get beyond the end is null, which least skips
+    selected = F.array_distinct(F.transform(F.slice(F.col(g), F.lit(1), windows), lambda x, i: F.least(x, *[F.get(F.col(g), i + k) for k in range(1, WINDOW)])))
     return df.withColumn(out, selected).drop(h, g)
 
 
