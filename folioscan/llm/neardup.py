@@ -42,7 +42,8 @@ _FILTER_BITS = 25
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, "u8")
+_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_powers = [np.ones(1, "u8"), np.ones(1, "u8")]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,17 +54,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word of the text, A-Z lower-cased: polynomials over its bytes, from prefix sums."""
-    global _powers
     raw = np.frombuffer(text.encode("utf-8", "replace").lower(), "u1")
-    if len(_powers) <= len(raw):
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * len(raw) + 1024, _P))])
+    if len(_powers[0]) <= len(raw):
+        _powers[:] = [np.concatenate([np.ones(1, "u8"), np.cumprod(np.full(2 * len(raw) + 1024, p))]) for p in (_P, _INVERSE)]
     edge = np.diff(_SPACE[raw].view("i1"), prepend=np.int8(1), append=np.int8(1))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(begin):
         return np.empty(0, "u8")
-    # a word's bytes weigh P ** (distance to the text's end); dividing is multiplying by P ** (places before its end)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype("u8") + np.uint64(1)) * _powers[len(raw) - 1 :: -1][: len(raw)])])
-    return _mix((sums[end] - sums[begin]) * _powers[end - 1] + (end - begin).astype("u8"))
+    # byte i weighs P ** i; a word's sum is divided by P ** (its first place)
+    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((raw.astype("u8") + np.uint64(1)) * _powers[0][: len(raw)])])
+    return _mix((sums[end] - sums[begin]) * _powers[1][begin] + (end - begin).astype("u8"))
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -266,10 +266,8 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     # rows that repeat an id with another text hold their classes together
     twice = usable.select("doc_id", "key").join(leaders, "key").groupBy("doc_id").agg(F.min("leader").alias("b"), F.max("leader").alias("a")).filter("a > b").select("a", "b")
     if not more.isEmpty() or not twice.isEmpty():
-        several = usable.select("doc_id", "key").join(leaders, "key").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-        own = several.join(twice.select(F.col("a").alias("doc_id")).distinct(), several.b == F.col("doc_id"), "left_semi") if False else twice
         old = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = components(old.unionByName(more).unionByName(own))
+        found = components(old.unionByName(more).unionByName(twice))
     top = signed.select("doc_id", "n", "key").join(leaders, "key", "left").join(found.withColumnRenamed("node", "leader"), "leader", "left")
     component = F.coalesce("component", "leader", "doc_id")
     return top.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
