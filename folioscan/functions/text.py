@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Tokens that are a substring of this run are no words.
 PUNCT = "!@#$%^&*+{}[]:;'|<>,.?/~`\"\\"
@@ -63,8 +64,8 @@ def lines(s: Column) -> Column:
 def paragraphs(s: Column) -> Column:
     """Arrays of lines: a leading line feed goes, lines lose trailing blanks, a blank line ends a paragraph."""
     trimmed = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^\n", ""), r"[ \t\r]+(?=\n|\z)", ""), r"\n\z", "")
-    parts = F.split(F.regexp_replace(trimmed, r"\n\n", "\n\u0001\n"), "\u0001")
-    return F.transform(parts, lambda p: F.filter(F.split(F.regexp_replace(p, r"^\n|\n\z", ""), "\n"), lambda x: x != ""))
+    parts = F.split(F.regexp_replace(trimmed, "(?m)^$", "\u0001"), "\u0001")
+    return F.transform(parts, lambda p: F.filter(F.split(p, "\n"), lambda x: x != ""))
 
 
 def sentences(s: Column) -> Column:
@@ -219,13 +220,13 @@ def boolean_query(groups: list[list[str]]) -> str:
     return " AND ".join("(" + " OR ".join(f'"{t}"' for t in g) + ")" for g in groups)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd_ascii(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII; Spark has no built-in for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """Named and numeric entities to characters."""
     return texts.map(lambda t: None if t is None else html.unescape(t))
