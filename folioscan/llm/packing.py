@@ -4,7 +4,8 @@ Documents become token runs of at most ``capacity`` tokens. What fits with what
 depends on lengths alone, and there are at most ``capacity`` different ones, so
 the plan is made from the histogram of lengths: singles, pairs and triples of
 lengths that fill a sequence exactly are found by hashing sums, as often as
-counts allow; the rest goes best-fit, longest first. The plan's size depends on
+counts allow; the rest goes best-fit, longest first. Where exact combinations
+cost sequences in the end, the plan does without triples or pairs. The plan's size depends on
 ``capacity`` only, never on the corpus, so it is made on the driver and
 broadcast; each piece finds its place from its length and its rank among the
 pieces of that length. No piece is moved to plan or to place it.
@@ -40,7 +41,18 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many sequences hold just these) for a histogram of lengths."""
+    """(lengths, how many sequences hold just these) for a histogram of lengths.
+
+    Exact triples can use up short pieces that long ones would need. So the
+    plan is made with triples, with pairs only and with neither, and the one
+    with fewest sequences is kept, the first of equal ones.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences filled exactly by up to ``most`` pieces, then best fit, longest first."""
     left = {k: n for k, n in counts.items() if n > 0}
     plan: list[tuple[tuple[int, ...], int]] = []
 
@@ -53,11 +65,11 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ..
                 left[k] -= times * m
 
     take(capacity)
-    for a in sorted(left, reverse=True):  # pairs: the complement of each length
+    for a in sorted(left, reverse=True) if most > 1 else ():  # pairs: the complement of each length
         if 2 * a >= capacity > a:
             take(a, capacity - a)
     have = sorted(k for k, n in left.items() if n)
-    for a in reversed(have):  # triples: the complement of each sum of two
+    for a in reversed(have) if most > 2 else ():  # triples: the complement of each sum of two
         for b in reversed(have[: bisect.bisect_right(have, min(a, capacity - a - 1))]):
             if not left[a]:
                 break
