@@ -20,14 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_batches, tune
-from .tokens import PieceEncoder
-
-
-def byte_characters() -> list[str]:
-    """A printable character for each byte, as byte-level vocabularies have them."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+from .tokens import PieceEncoder, byte_characters
 
 
 def _field(number: int, value) -> bytes:

@@ -9,9 +9,12 @@ boundaries as the pre-tokeniser there.
 """
 from __future__ import annotations
 
+import gc
 import os
 import re
 import string
+from array import array
+from operator import add
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # executors' cores are Spark's
 
@@ -49,6 +52,7 @@ class PieceEncoder:
         self.rest = _Memo()  # bare piece -> code of " " + piece; None: not to be taken alone
         self.whole = _Memo()  # chunk with its own leading space -> code
         self.ends: dict[str, bytes] = {}  # punctuation after a word -> code
+        (self.newline,) = encode_many(["\n"])
 
     def _learn(self, memo: _Memo, pieces, lead: str) -> None:
         new = memo.unknown(set().union(*pieces))
@@ -56,11 +60,10 @@ class PieceEncoder:
         new -= odd
         # letters and the punctuation after them are pre-tokens of their own: "word" and "," serve "word,"
         parted = {}
-        if lead:
-            for p in new:
-                core = p.rstrip(string.punctuation)
-                if core is not p and core.isalpha() and len(p) - len(core) < 9:
-                    parted[p] = core
+        for p in new:
+            core = p.rstrip(string.punctuation)
+            if len(core) != len(p) and core.isalpha() and len(p) - len(core) < 9:
+                parted[p] = core
         plain = new.difference(parted)
         plain |= memo.unknown(set(parted.values()))
         self.long = [p for p in plain if len(p) > 256]  # not kept, so that memory does not follow the longest piece
@@ -81,25 +84,45 @@ class PieceEncoder:
             memo.turn()
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        self._learn(self.rest, cut, " ")
-        out: list[bytes | None] = []
-        for first, *rest in cut:
+        # a line feed with no white space beside it is a pre-token of its own: lines are cut by themselves
+        cut: list[list[list[str]] | None] = []
+        for t in texts:
+            lines = t.split("\n")
+            if len(lines) > 1 and any(not line or line[0].isspace() or line[-1].isspace() for line in lines):
+                cut.append(None)
+            else:
+                cut.append([line.split(" ") for line in lines])
+        self._learn(self.rest, [pieces[1:] for lines in cut if lines for pieces in lines], " ")
+        tails: list[list[bytes] | None] = []
+        for lines in cut:
             try:
-                if first and first[-1].isspace() and rest:
+                if not lines or any(p[0] and p[0][-1].isspace() and len(p) > 1 for p in lines):
                     raise TypeError
-                out.append(b"".join(map(self.rest.__getitem__, rest)))
+                tails.append([b"".join(map(self.rest.__getitem__, pieces[1:])) for pieces in lines])
             except TypeError:
-                out.append(None)
+                tails.append(None)
         self._forget(self.rest)
-        # the first piece has no space before it; texts with white space beside a space are cut by the pattern
-        heads = [[c[0]] if o is not None else CHUNKS.findall(t) for o, c, t in zip(out, cut, texts, strict=True)]
+        # a line's first piece has no space before it; texts with more white space in a place are cut by the pattern
+        heads = [CHUNKS.findall(t) if tail is None else [p[0] for p in lines] for tail, lines, t in zip(tails, cut, texts, strict=True)]
         self._learn(self.whole, heads, "")
-        out = [b"".join(map(self.whole.__getitem__, h)) + (o or b"") for h, o in zip(heads, out, strict=True)]
+        out = []
+        for head, tail in zip(heads, tails, strict=True):
+            codes = map(self.whole.__getitem__, head)
+            out.append(b"".join(codes) if tail is None else self.newline.join(map(add, codes, tail)))
         self._forget(self.whole)
         return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        # millions of strings are made and none is in a cycle: looking for cycles would only cost time
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._all(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _all(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         some: list[str] = []
         size = 0
@@ -112,6 +135,13 @@ class PieceEncoder:
         return out + self._some(some) if some else out
 
 
+def byte_characters() -> list[str]:
+    """A printable character for each byte, as byte-level vocabularies have them."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
 _loaded: dict[tuple, PieceEncoder] = {}
 
 
@@ -126,26 +156,19 @@ def library_encoder(path: str) -> PieceEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        (newline,) = tokenizer.encode("\n", add_special_tokens=False).ids
+        shown, bpe = dict(enumerate(byte_characters())), tokenizer.model.tokenize
 
         def each(pieces: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
         def encode_many(pieces: list[str]) -> list[bytes]:
-            # lines of one text: a line feed before a space or at the end is a token of its own
-            out: dict[str, bytes] = dict.fromkeys(pieces, b"")
-            lone = [p for p in pieces if p[:1] == " " and p.split() == [p[1:]]]
-            for at in range(0, len(lone), 400):
-                part = lone[at : at + 400]
-                (found,) = tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)
-                ids = np.array(found.ids, "<u4")
-                ends = np.flatnonzero(ids == newline).tolist()
-                code, begin = ids.tobytes(), 0
-                assert len(ends) == len(part)
-                for p, end in zip(part, ends, strict=True):
-                    out[p] = code[4 * begin : 4 * end]
-                    begin = end + 1
-            rest = sorted(set(pieces).difference(lone))
+            # letters after a space or nothing are one pre-token, so the library's model takes them as they are
+            out: dict[str, bytes] = {}
+            for p in pieces:
+                if (p[1:] if p[:1] == " " else p).isalpha():
+                    seen = p.encode().decode("latin-1").translate(shown)
+                    out[p] = array("I", [t.id for t in bpe(seen)]).tobytes()
+            rest = list(set(pieces).difference(out))
             out.update(zip(rest, each(rest), strict=True))
             return [out[p] for p in pieces]
 

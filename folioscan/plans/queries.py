@@ -16,6 +16,7 @@ from ..operators import dictionary as D
 from ..operators import islands as I
 from ..operators import layout as L
 from ..operators import search as X
+from ..operators import trees as TR
 from ..sources import markup as M
 from . import dsl
 from .pipeline import Pipeline
@@ -728,3 +729,144 @@ def event_windows(spark, d):
 def merge_span_lines(spark, d):
     v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("span_id"), (F.col("l_partkey") % 500).cast("int").alias("x0"), (F.col("l_partkey") % 500 + 30).cast("int").alias("x1"), (F.col("l_suppkey") % 100).cast("int").alias("y0"), (F.col("l_suppkey") % 100 + 10).cast("int").alias("y1"), F.col("l_returnflag").alias("text"))
     return L.merge_lines(v)
+
+
+# --- trees, spans, further scalars ------------------------------------------
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'fig', ['1', '3']), (1, 0, 'unmatched', ['other']), (1, 1, 'tab', ['2'])) t(i, grp, name, \"values\")")
+def grouped_values(spark, d):
+    v = rows(spark, "i int, s string", (1, "see {fig 1; other; fig 3} and {tab 2}"), (2, "none"))
+    return TR.group_values(v, ["i"], "s", r"\{([^{}]*)\}", ";", r"(fig|tab) (\d+)")
+
+
+@query("SELECT * FROM (VALUES (1, 'A.1.2', 'lead  rest'), (2, NULL, NULL)) t(i, body, rest)")
+def extract_substring(spark, d):
+    v = rows(spark, "i int, s string", (1, "lead A.1.2 rest"), (2, "none")).withColumn("x", TR.extract(F.col("s"), r"(.*?)([A-Z](?:\.\d+)+)(.*)"))
+    return v.select("i", "x.body", "x.rest")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'a1', 'node'), (1, 0, 'zz', 'unmatched'), (1, 1, 'a2', 'node')) t(i, chunk, piece, kind)")
+def chunk_nodes(spark, d):
+    v = rows(spark, "i int, s string", (1, "[a1, zz] x [a2]"))
+    return v.select("i", F.inline(TR.chunks(F.col("s"), r"\[([^\]]*)\]", ",", "a", True)))
+
+
+@query("SELECT user_id, item::BIGINT AS item, string_agg(CASE WHEN event_id % 7 = 0 THEN event_id::VARCHAR ELSE event_type END, ' ' ORDER BY event_id) AS text FROM (SELECT *, sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id rows between unbounded preceding and current row) AS item FROM events) GROUP BY user_id, item")
+def footnote_list_items(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("ord"), F.when(F.col("event_id") % 7 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type")).alias("text"))
+    return TR.list_items(e, "user_id")
+
+
+@query(f"SELECT doc_id, div::BIGINT AS div, min(n) AS n, md5(string_agg(line, ' ' ORDER BY n)) AS h FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*\\p{{Ll}}') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n rows between unbounded preceding and current row) AS div FROM {_LINES}) GROUP BY doc_id, div")
+def merge_continued_lines(spark, d):
+    v = table(spark, d, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("n", "text"))
+    return TR.merge_continued(v, "doc_id", "n").select("doc_id", "div", "n", F.md5("text").alias("h"))
+
+
+@query("SELECT doc, ord, parent, level, floats FROM (VALUES ('d', 0, -1, 1, 0), ('d', 1, 0, NULL, 0), ('d', 2, 0, 2, 0), ('d', 3, 2, NULL, 0), ('d', 4, 3, NULL, 1), ('d', 5, 3, NULL, 0), ('d', 6, -1, 1, 0), ('d', 7, 6, 2, 0)) t(doc, ord, parent, level, floats)")
+def section_stack(spark, d):
+    v = rows(spark, "doc string, ord long, class string, text string", *[("d", k, c, "") for k, c in enumerate(["section", "p", "sub_section", "start", "p", "end", "section", "sub_section"])])
+    return TR.nested(v, "doc")
+
+
+@query("SELECT page_id, ord, next_ord FROM (SELECT 0 AS page_id, 0 AS ord, 0 AS next_ord) WHERE false")
+def document_order_gaps(spark, d):
+    """Elements whose next one in document order does not come later: none."""
+    return TR.neighbours(M.html_nodes(table(spark, d, "pages")), "page_id").filter("next_ord <= ord").select("page_id", "ord", "next_ord")
+
+
+@query("SELECT c_mktsegment AS term, 'Q' || min(c_custkey) AS qid FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1")
+def best_entity(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("term"), F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("qid"), F.col("c_name").alias("label"), F.col("c_custkey").alias("rank"), F.when(F.col("c_custkey") % 2 == 0, "en").otherwise("de").alias("lang"))
+    return TR.best_candidate(c, "en").select("term", "qid")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_type), 'steel') AND regexp_matches(p_name, '^(?:[a-m])') AND p_brand = 'Brand#11'")
+def json_filter(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("description"), F.col("p_name").alias("label"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("properties"))
+    return TR.json_filter(p, '{"filter": {"description": "steel", "regex": "[a-m]", "property_value": {"brand": "Brand#11"}}}').select("p_partkey")
+
+
+@query("SELECT l_linenumber AS size, l_quantity::INT AS bytes, min(l_orderkey) AS page, count(*) AS n FROM lineitem GROUP BY ALL")
+def image_dedupe(spark, d):
+    v = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("size"), F.col("l_quantity").cast("int").alias("bytes"), F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"))
+    return TR.distinct_images(v).select("size", "bytes", "page", "n")
+
+
+@query("SELECT conv_id AS table_id, (turn - m)::BIGINT AS row, col, text FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS m, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS col FROM conversations)")
+def table_cells(spark, d):
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("table_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.split("text", " ").alias("cells")))), lambda s: s["cells"]).alias("rows"))
+    return TR.table_cells(c)
+
+
+@query("SELECT l_shipmode_like AS value, count(*) AS n FROM (SELECT l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem) GROUP BY 1 HAVING count(*) > 1")
+def commonest_values(spark, d):
+    v = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("value"))
+    return TR.repeated_values(v, "value")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS content FROM events GROUP BY user_id")
+def content_store_upsert(spark, d):
+    v = table(spark, d, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("content"), F.col("event_id").alias("version"))
+    return TR.latest(v).withColumnRenamed("path", "user_id")
+
+
+@query("SELECT * FROM (VALUES (1, ['A', 'B']), (2, ['A.2', 'A.10']), (3, ['A.2.1'])) t(level, ids)")
+def ids_by_level(spark, d):
+    return TR.levels(rows(spark, "id string", ("A.10",), ("A.2",), ("B",), ("A",), ("A.2.1",)))
+
+
+@query("SELECT user_id, paragraph::BIGINT AS paragraph, count(*) AS runs FROM (SELECT DISTINCT user_id, paragraph, run FROM (SELECT *, sum(c) OVER (PARTITION BY user_id, paragraph ORDER BY event_id rows between unbounded preceding and current row) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id, paragraph ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS c FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY event_id rows between unbounded preceding and current row) AS paragraph FROM (SELECT *, CASE WHEN lag(value) OVER w IS NULL OR abs(value - lag(value) OVER w) > 50 THEN 1 ELSE 0 END AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)))))) GROUP BY user_id, paragraph")
+def page_paragraph_runs(spark, d):
+    v = table(spark, d, "events").select("user_id", F.col("event_id").alias("ord"), F.col("value").alias("y0"), F.col("event_type").alias("family"), F.lit(1.0).alias("size"), F.col("event_type").alias("text"))
+    return TR.paragraphs_of_page(v, "user_id", 50.0).groupBy("user_id", "paragraph").agg(F.count("*").alias("runs"))
+
+
+@query("SELECT event_id, top FROM (WITH t AS (SELECT user_id, event_id AS top, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events WHERE event_type = 'purchase') SELECT e.event_id, t.top FROM events e JOIN t ON t.user_id = e.user_id AND t.top <= e.event_id AND e.event_id < t.nxt WHERE e.event_type <> 'purchase' AND e.event_id - t.top BETWEEN 2 AND 900)")
+def header_footer_filter(spark, d):
+    e = table(spark, d, "events").withColumn("y", F.col("event_id"))
+    tops = e.filter("event_type = 'purchase'").select("user_id", F.col("y").alias("top"))
+    return TR.body_spans(e.filter("event_type <> 'purchase'").select("user_id", "y", "event_id"), tops, "user_id", 2, 100, 1000).select("event_id", "top")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 0.9 * lag(p_size) OVER w AND p_retailprice > lag(p_retailprice) OVER w THEN 'sub' WHEN p_size < 0.9 * lag(p_size) OVER w AND p_retailprice < lag(p_retailprice) OVER w THEN 'super' END AS script FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
+def script_detection(spark, d):
+    return I.script_kind(table(spark, d, "part"), ["p_brand"], "p_partkey", "p_size", "p_retailprice").select("p_partkey", "script")
+
+
+@query("SELECT * FROM (VALUES ('https://x/a/b.xml', 'jpeg', true), ('y', 'png', false)) t(s, kind, ok)")
+def magic_numbers(spark, d):
+    v = rows(spark, "s string, hex string, b string", ("https://x/a/b.xml", "FFD8FFE0", "aGVsbG8="), ("y", "89504E47", "%%"))
+    return v.select("s", T.file_kind(F.unhex("hex")).alias("kind"), T.is_base64(F.col("b")).alias("ok"))
+
+
+@query("SELECT entity, pid, v AS value, k AS titles FROM (VALUES ('e', 'P1', 'x', 2::BIGINT), ('e', 'P2', NULL, 1)) t(entity, pid, v, k)")
+def property_dictionary(spark, d):
+    v = rows(spark, "entity string, ord int, pid string, name string, title string, value string", ("e", 0, "P1", "n", "a", "1"), ("e", 1, "P1", "n", "b", "2"), ("e", 2, "P1", "n", None, "x"), ("e", 3, "P2", "m", "a", "3"), ("e", 4, "P1", "n", "a", "4"))
+    return TR.property_maps(v).select("entity", "pid", "value", F.size("statements").alias("titles"))
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 30 AND l_linenumber = 1 GROUP BY 1")
+def styled_nodes(spark, d):
+    nodes = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.create_map(F.lit("style"), F.concat(F.lit("left: "), F.col("l_quantity").cast("string"), F.lit("px"))).alias("attrs"))
+    return TR.drop_styled(nodes, ["left < 30.5"]).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES (1, 'section', 'A'), (2, 'subsection', 'A.1')) t(i, kind, id)")
+def extract_section_ids(spark, d):
+    v = rows(spark, "i int, a string, b string", (1, "Section A: x", "A.1 y"), (2, "text", "A.1 y"), (3, "text", "none"))
+    v = v.select("i", TR.section_ids(F.col("a"), F.col("b"), r"Section (\w+):", r"([A-Z]\.\d+)").alias("x")).filter("x IS NOT NULL")
+    return v.select("i", "x.kind", "x.id")
+
+
+@query("SELECT doc, n, text FROM (VALUES ('d', 1, 'a b'), ('d', 0, NULL)) t(doc, n, text) WHERE n = 1")
+def numbered_sentence_read(spark, d):
+    v = rows(spark, "doc string, line string", ("d", "1: a b"), ("d", "x: no"))
+    return v.select("doc", T.read_numbered(F.col("line")).alias("s")).filter("s.n IS NOT NULL").select("doc", "s.n", "s.text")
+
+
+@query("SELECT c_custkey, round(c_acctbal, 1) AS r FROM (SELECT c_custkey, round_even(c_acctbal, 1) AS c_acctbal FROM customer)")
+def px_rounding(spark, d):
+    px = S.px(F.concat(F.col("c_acctbal").cast("string"), F.lit("px")), 1)
+    return table(spark, d, "customer").select("c_custkey", px.alias("r"))
