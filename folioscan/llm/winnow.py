@@ -3,12 +3,13 @@
 A text is lower-cased and cut into pieces: runs of non-space characters, at
 most PIECE long. Every GRAM consecutive pieces make a rolling hash; of every
 WINDOW consecutive hashes the smallest is selected, the rightmost of equal
-ones. The selection holds 44 bits of the hash and the place, packed in one
+ones. The selection holds 32 bits of the hash and the place, packed in one
 long, so a minimum of longs picks both. Guarantee: two texts that share
 GRAM + WINDOW - 1 consecutive pieces share a selected hash, and the places say
 where. Likeness is the Jaccard measure of the selected hashes.
 
-The work is linear in the text.
+The work is linear in the text. Texts are shuffled once, by id; the next
+document's prefix and hashes, and nothing else of it, travel to the document before it.
 
 Defined results: a null text is empty; an empty text selects nothing, and two
 empty selections are alike (1.0); fewer pieces than GRAM hash as one, fewer
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 PIECE, GRAM, WINDOW = 4, 3, 4
-_PLACES = (1 << 20) - 1
+_PLACES = (1 << 32) - 1
 
 
 def with_selection(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -41,7 +42,7 @@ def with_selection(df: DataFrame, text: str, out: str) -> DataFrame:
 
     def gram(x: Column, i: Column) -> Column:
         rolled = F.xxhash64(x, *[F.get(F.col(h), i + k) for k in range(1, GRAM)])
-        return rolled.bitwiseAND(F.lit(~_PLACES)).bitwiseOR(F.lit(_PLACES) - i % (_PLACES + 1))
+        return rolled.bitwiseAND(F.lit(~_PLACES)).bitwiseOR(F.lit(_PLACES) - i)
 
     n = F.size(h) - (GRAM - 1)
     few = F.transform(F.slice(h, 1, 1), lambda x: F.xxhash64(F.col(h)).bitwiseAND(F.lit(~_PLACES)).bitwiseOR(F.lit(_PLACES)))
@@ -53,12 +54,12 @@ def with_selection(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def hashes(selection: Column) -> Column:
     """The distinct selected hashes, without places."""
-    return F.array_distinct(F.transform(selection, lambda x: F.shiftright(x, 20)))
+    return F.array_distinct(F.transform(selection, lambda x: F.shiftright(x, 32).cast("int")))
 
 
 def places(selection: Column) -> Column:
-    """(hash, place) of the selection; places count pieces from 0, modulo 2 ** 20."""
-    return F.transform(selection, lambda x: F.struct(F.shiftright(x, 20).alias("hash"), (F.lit(_PLACES) - x.bitwiseAND(F.lit(_PLACES))).alias("place")))
+    """(hash, place) of the selection; places count pieces from 0."""
+    return F.transform(selection, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("hash"), (F.lit(_PLACES) - x.bitwiseAND(F.lit(_PLACES))).alias("place")))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -99,10 +100,13 @@ def edited_table(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = next_ids(docs)
     before = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before_id"), F.col("n").alias("before_n"))
-    other = with_selection(docs.join(before, "doc_id"), "text", "selection")
+    known = docs.filter(F.col("doc_id").isNotNull())  # both joins below deal it out alike, so its exchange is made once
+    other = with_selection(known.join(before, "doc_id"), "text", "selection")
     tail = F.struct(F.substring("text", F.lit(1), F.floor(F.col("before_n") / 4).cast("int")).alias("prefix"), hashes(F.col("selection")).alias("next_hashes"))
     other = other.groupBy(F.col("before_id").alias("doc_id")).agg(F.min(tail).alias("next"))
-    both = docs.join(other, "doc_id", "left").select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "next.prefix", "next.next_hashes")
+    both = known.join(other, "doc_id").select("doc_id", "text", "next.prefix", "next.next_hashes")
+    placeless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("array<int>").alias("next_hashes"))
+    both = both.unionByName(placeless).withColumn("n_chars", F.length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.coalesce(F.substring("prefix", F.lit(1), quarter), F.lit("")))
     both = with_selection(both.withColumn("edited", edited), "text", "selection")
