@@ -1,9 +1,10 @@
 """From positioned spans to lines, and links between boxes."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 
@@ -22,41 +23,53 @@ def overlap_pairs(boxes: DataFrame, key: str, id_: str, cell: int = 100) -> Data
     return both.filter(G.overlaps(A, B) & first).select(F.col(f"a.{key}").alias(key), F.col(f"a.{id_}").alias("a_id"), F.col(f"b.{id_}").alias("b_id"))
 
 
+def _fold_lines(spans: list[dict], grow: int) -> list[dict]:
+    """Lines of one page's spans, which come in reading order."""
+
+    def touch(a, b):
+        return a["x0"] - grow <= b["x1"] and b["x0"] - grow <= a["x1"] and a["y0"] <= b["y1"] and b["y0"] <= a["y1"]
+
+    def unite(a, b):
+        text = " ".join(t for t in (a["text"], b["text"]) if t is not None) if a["text"] is not None or b["text"] is not None else None
+        return {"x0": min(a["x0"], b["x0"]), "x1": max(a["x1"], b["x1"]), "y0": min(a["y0"], b["y0"]), "y1": max(a["y1"], b["y1"]), "text": text}
+
+    lines: list[dict] = []
+    for s in spans:
+        if lines and touch(lines[-1], s):
+            lines[-1] = unite(lines[-1], s)
+        else:
+            lines.append(s)
+    merged: list[dict] = []
+    for line in lines:  # what grows by a merge may touch the line before it
+        merged.append(line)
+        while len(merged) > 1 and touch(merged[-2], merged[-1]):
+            b, a = merged.pop(), merged.pop()
+            merged.append(unite(a, b))
+    return merged
+
+
 def merge_lines(spans: DataFrame, key: str = "page", grow: int = 20) -> DataFrame:
-    """Spans (page, span_id, x0, x1, y0, y1, text) to lines: the order-dependent fold of a page, in pandas.
+    """Spans (page, span_id, x0, x1, y0, y1, text) to lines: the order-dependent fold of each page, many pages a batch.
 
     Spans in reading order join the line whose box, made wider by ``grow``,
     they touch; then neighbouring lines that touch are merged until none does.
+    Spans without a whole box are left out; null texts add nothing.
     """
+    kind = spans.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, line int, x0 int, x1 int, y0 int, y1 int, text string"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    box = [F.col(c).cast("int").alias(c) for c in ("y0", "x0", "x1", "y1")]
+    whole = spans.filter(F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull())
+    pages = whole.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*box[:2], "span_id", *box[2:], "text"))).alias("spans"))
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        lines: list[dict] = []
-
-        def touch(a, b):
-            return a["x0"] - grow <= b["x1"] and b["x0"] - grow <= a["x1"] and a["y0"] <= b["y1"] and b["y0"] <= a["y1"]
-
-        def unite(a, b):
-            return {"x0": min(a["x0"], b["x0"]), "x1": max(a["x1"], b["x1"]), "y0": min(a["y0"], b["y0"]), "y1": max(a["y1"], b["y1"]), "text": f"{a['text']} {b['text']}"}
-
-        for s in page.sort_values(["y0", "x0", "span_id"]).to_dict("records"):
-            if lines and touch(lines[-1], s):
-                lines[-1] = unite(lines[-1], s)
-            else:
-                lines.append(unite(s, s) | {"text": s["text"]})
-        at = 0
-        while at + 1 < len(lines):
-            if touch(lines[at], lines[at + 1]):
-                lines[at : at + 2] = [unite(lines[at], lines[at + 1])]
-                at = max(0, at - 1)
-            else:
-                at += 1
-        out = pd.DataFrame(lines, columns=["x0", "x1", "y0", "y1", "text"])
-        out.insert(0, "line", range(len(out)))
-        out.insert(0, key, page[key].iloc[0])
-        return out
+    def run(batches):
+        import pyarrow as pa
 
-    kind = spans.schema[key].dataType.simpleString()
-    return spans.groupBy(key).applyInPandas(fold, f"{key} {kind}, line int, x0 int, x1 int, y0 int, y1 int, text string")
+        for batch in batches:
+            rows = [{key: page, "line": n} | line for page, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, line in enumerate(_fold_lines(own, grow))]
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in target.names} for r in rows], schema=target)
+
+    return pages.mapInArrow(run, schema)
 
 
 def page_frame(spans: DataFrame, header: float, footer: float, height: float) -> DataFrame:
