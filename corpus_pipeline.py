@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from folioscan.llm import neardup, packing, quality, toxicity
 from folioscan.llm.common import read, tune, unused, written
 
+#: Near copies: five-word shingles with a Jaccard measure of so many hundredths or more (op4_neardup has its own, 85).
+NEAR = 80
+
 
 def _keep(docs: DataFrame, score, accept) -> DataFrame:
     """Rows whose score of the text is accepted; only texts go to Python, other columns stay where they are."""
@@ -35,7 +38,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.classes(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = neardup.classes(docs, percent=NEAR).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

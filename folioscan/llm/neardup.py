@@ -1,10 +1,10 @@
 """Operator 4: near-duplicates by MinHash with banding, links confirmed on full sets.
 
 A document's set is its distinct shingles of SIZE words. BANDS x ROWS minima of
-universal hash functions sign it. Documents whose sets are equal are one class
+universal hash functions sign it (see banding). Documents whose sets are equal are one class
 and only its least id goes on. Classes that agree in all rows of a band share a
 bucket; 1 - (1 - s ** ROWS) ** BANDS of the pairs with Jaccard measure s do
-(all but 2 in a million at 0.85). Within buckets:
+(all but 2 in a million at the threshold). Within buckets:
 
 1. every member is compared with the bucket's least id, first by signature
    (pairs whose signatures agree far too little stop there), then by the exact
@@ -24,7 +24,9 @@ document with the links of all; ties do not arise (the least id leads).
 """
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -34,9 +36,11 @@ from pyspark.sql import functions as F
 from .common import drop_written, map_batches, tune, written
 from .components import components
 
-SIZE, BANDS, ROWS, PERCENT, BLOCK = 5, 28, 6, 85, 128
-#: Signatures agree in PERCENT of minima on average; this far below (5 standard deviations) a pair is given up.
-SLACK = 0.15
+SIZE, PERCENT, BLOCK = 5, 85, 128
+#: Share of the pairs at the threshold that meet in no bucket, at most.
+MISSED = 2e-6
+#: Signatures agree in ``percent`` of minima on average; so many standard deviations below a pair is given up.
+SLACK = 5.5
 _FILTER_BITS = 25
 
 _SPACE = np.zeros(256, bool)
@@ -78,23 +82,39 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     return np.unique(_mix(h + np.uint64(size)))
 
 
-_rng = np.random.default_rng(20)
-_A = _rng.integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2)
+def banding(percent: int = PERCENT) -> tuple[int, int]:
+    """(bands, rows) that miss a pair at the threshold with probability MISSED: 28 x 6 at 85, 34 x 5 at 80."""
+    rows = 6 if percent >= 85 else 5
+    return math.ceil(math.log(MISSED) / math.log1p(-min(percent / 100, 0.99) ** rows)), rows
 
 
-def signature(x: np.ndarray) -> np.ndarray:
+def least_agreement(percent: int) -> float:
+    """The share of equal minima below which a pair is given up."""
+    bands, rows = banding(percent)
+    s = percent / 100
+    return s - SLACK * math.sqrt(s * (1 - s) / (bands * rows))
+
+
+@functools.cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    return rng.integers(0, 1 << 63, n, "u8") * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, "u8") * np.uint64(2)
+
+
+def signature(x: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Minima of the universal hashes a x + b (high 32 bits)."""
-    out = np.full(len(_A), np.iinfo("u8").max, "u8")
+    a, b = _hashes(math.prod(banding(percent)))
+    out = np.full(len(a), np.iinfo("u8").max, "u8")
     for at in range(0, len(x), 512):
-        out = np.minimum(out, (x[None, at : at + 512] * _A[:, None] + _B[:, None]).min(1))
+        out = np.minimum(out, (x[None, at : at + 512] * a[:, None] + b[:, None]).min(1))
     return (out >> np.uint64(32)).astype("u4")
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signature: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """A 64-bit key for each band, the band's number included."""
-    h = np.arange(1, BANDS + 1, dtype="u8")
-    for column in signature.reshape(BANDS, ROWS).T:
+    bands, rows = banding(percent)
+    h = np.arange(1, bands + 1, dtype="u8")
+    for column in signature.reshape(bands, rows).T:
         h = _mix(h * _P + column.astype("u8"))
     return h.view("i8")
 
@@ -110,7 +130,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _signed(docs: DataFrame, size: int) -> DataFrame:
+def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, key (16 bytes that stand for the set), bands of every row."""
 
     def run(batches):
@@ -120,7 +140,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 x = shingles(text, size)
                 n.append(len(x))
                 key.append(hashlib.md5(x.tobytes()).digest() if len(x) else None)
-                bands.append(band_keys(signature(x)) if len(x) else None)
+                bands.append(band_keys(signature(x, percent), percent) if len(x) else None)
             yield {"doc_id": batch["doc_id"], "n": n, "key": key, "bands": bands}
 
     return map_batches(docs, run, "doc_id long, n long, key binary, bands array<long>")
@@ -130,7 +150,7 @@ def _slot(node: np.ndarray) -> np.ndarray:
     return (_mix(node.astype("i8").view("u8")) >> np.uint64(64 - _FILTER_BITS)).astype("i8")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """node, x (its set), signature of the documents that ``nodes`` names.
 
     A bit filter of fixed size keeps the texts of others from being moved; the
@@ -165,7 +185,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             at = np.flatnonzero(bits[s >> 3] >> (s & 7).astype("u1") & 1)
             for part in np.array_split(at, len(at) // 64 + 1):
                 xs = [shingles(batch["text"][i], size) for i in part]
-                yield {"node": ids[part], "x": [x.tobytes() for x in xs], "signature": [signature(x).tobytes() for x in xs]}
+                yield {"node": ids[part], "x": [x.tobytes() for x in xs], "signature": [signature(x, percent).tobytes() for x in xs]}
 
     own = map_batches(docs.filter(F.col("doc_id").isNotNull()), run, "node long, x binary, signature binary")
     return own.join(nodes, "node", "left_semi")
@@ -173,10 +193,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures and full sets agree enough."""
+    least = least_agreement(percent)
 
     @F.pandas_udf("boolean")
     def holds(x: pd.Series, y: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
-        near = [np.mean(np.frombuffer(p, "u4") == np.frombuffer(q, "u4")) >= percent / 100 - SLACK for p, q in zip(sx, sy, strict=True)]
+        near = [np.mean(np.frombuffer(p, "u4") == np.frombuffer(q, "u4")) >= least for p, q in zip(sx, sy, strict=True)]
         return pd.Series([ok and linked(np.frombuffer(p, "u8"), np.frombuffer(q, "u8"), percent) for ok, p, q in zip(near, x, y, strict=True)], dtype=bool)
 
     one = sets.select(F.col("node").alias("b"), F.col("x").alias("xb"), F.col("signature").alias("sb"))
@@ -206,6 +227,7 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     members: bucket, band, node, component, size (of the bucket).
     """
+    least = least_agreement(percent)
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -220,7 +242,7 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sig = np.stack([np.frombuffer(s, "u4") for s in group.column("signature").to_pylist()])
         x = [np.frombuffer(s, "u8") for s in group.column("x").to_pylist()]
         n = np.array([len(s) for s in x])
-        keys = np.stack([band_keys(s) for s in sig])
+        keys = np.stack([band_keys(s, percent) for s in sig])
         band = int(np.flatnonzero((keys == key[0].as_py()).all(0))[0])
         forest, out = _Forest(), []
         for p in range(len(node)):
@@ -230,7 +252,7 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 q = q[own[q] != own[p]]
             q = q[(100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
             q = q[~(keys[q, :band] == keys[p, :band]).any(1)]  # an earlier band compares these
-            q = q[(sig[q] == sig[p]).mean(1) >= percent / 100 - SLACK]
+            q = q[(sig[q] == sig[p]).mean(1) >= least]
             for k in q:
                 if forest.root(comp[k]) != forest.root(comp[p]) and linked(x[p], x[k], percent):
                     forest.join(comp[k], comp[p])
@@ -246,7 +268,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(_signed(docs, size), "signed")
+    signed = written(_signed(docs, size, percent), "signed")
     usable = signed.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     leaders = written(usable.groupBy("key").agg(F.min("doc_id").alias("leader")), "leaders")
     # the least id of a set leads it: its row has the bands
@@ -257,7 +279,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     drop_written(members)
     pairs = crowded.filter(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     nodes = crowded.select("node").distinct()
-    sets = written(_sets(docs, nodes, size), "sets")
+    sets = written(_sets(docs, nodes, size, percent), "sets")
     links = written(_confirm(pairs, sets, percent), "links")
     found = written(components(links), "components")
     labelled = crowded.filter("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

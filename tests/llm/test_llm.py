@@ -161,6 +161,21 @@ def test_near_duplicates(spark, texts, awkward, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    """Pairs between 0.80 and 0.85 are near copies to the stage, though not to op4."""
+    import corpus_pipeline as C
+
+    rows = []
+    for pair in range(40):  # 96 shingles, 10 of them changed: 86 / 106 = 0.811
+        base = [f"p{pair}w{k}" for k in range(100)]
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join([*base[:20], "x", *base[21:60], "y", *base[61:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.kept for r in neardup.classes(docs).collect())
+    assert sorted(tuple(r)[:3] for r in neardup.classes(docs, percent=80).collect()) == brute_classes(rows, percent=80)
+    assert sorted(r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).collect()) == list(range(0, 80, 2))
+    assert neardup.banding(85) == (28, 6) and all((1 - (p / 100) ** r) ** b <= neardup.MISSED for p in (80, 85) for b, r in [neardup.banding(p)])
+
+
 def test_near_duplicates_in_families(spark, monkeypatch):
     """Chains and large families, where hubs fail and blocks of a bucket must meet."""
     r = np.random.default_rng(3)
