@@ -6,12 +6,15 @@ residual parallel to the vector weighs PARALLEL times the part across it, as
 that part moves large inner products most. Centres are fitted on a bounded
 sample; every vector is coded.
 
+Rows of equal vectors are one candidate, which holds the ids that any query can
+need of it: the k + 1 smallest, each k times at most.
+
 Queries and vectors meet in blocks: a task gets one block of each, makes a
 query's table of 16 partial products for each subspace, joins the tables of
 two neighbouring subspaces into one of 256, scans a byte of codes for two
-subspaces at a time, and takes each query's RERANK best of the block. Those
-are scored exactly, in double precision, with the block's own vectors, and the
-best ``k`` go on; a query's blocks are merged in the end. So only k rows a
+subspaces at a time, and takes each query's RERANK best vectors of the block, and all that tie with the last of them. Those are scored exactly, in
+double precision, with the block's own vectors, then their ids take their
+places, and the best ``k`` go on; a query's blocks are merged in the end. So only k rows a
 query and block are shuffled.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite
@@ -112,15 +115,55 @@ def scan(queries: np.ndarray, packed: np.ndarray, centres: np.ndarray) -> np.nda
     return out
 
 
-def best(query_ids, queries, ids, vectors, packed, centres, k: int, rerank: int):
-    """(query, vector, exact score) of each query's k best in a block."""
+def keep_ids(ids: list[int], k: int) -> list[int]:
+    """Of the ids of one vector those that a query for k rows can need: the k + 1 smallest, as one may be its own, each k times at most."""
+    value, count = np.unique(np.array(ids, "i8"), return_counts=True)
+    return np.repeat(value[: k + 1], np.minimum(count[: k + 1], k)).tolist()
+
+
+def equal_vectors(coded: DataFrame, k: int, most: int = 16_384) -> DataFrame:
+    """x, code, ids of each distinct vector; rows are put together before the shuffle, so none is hot."""
+
+    def part(batches):
+        seen: dict[bytes, tuple[bytes, list[int]]] = {}
+        for batch in batches:
+            for i, x, c in zip(batch["vec_id"], batch["x"], batch["code"], strict=True):
+                ids = seen.setdefault(x, (c, []))[1]
+                ids.append(i)
+                if len(ids) > 4 * k * (k + 1):
+                    ids[:] = keep_ids(ids, k)
+            if len(seen) >= most:
+                yield flat(seen)
+                seen = {}
+        yield flat(seen)
+
+    def flat(seen):
+        return {"x": list(seen), "code": [c for c, _ in seen.values()], "ids": [keep_ids(i, k) if len(i) > 1 else i for _, i in seen.values()]}
+
+    def merge(batches):
+        for batch in batches:
+            yield batch | {"ids": [keep_ids([i for p in parts for i in p], k) if len(parts) > 1 else parts[0] for parts in batch["ids"]]}
+
+    schema = "x binary, code binary, ids array<long>"
+    found = map_batches(coded, part, schema).groupBy("x").agg(F.min("code").alias("code"), F.collect_list("ids").alias("ids"))
+    return map_batches(found.select("x", "code", "ids"), merge, schema)
+
+
+def best(query_ids, queries, ids, starts, vectors, packed, centres, k: int, rerank: int):
+    """(query, vector, exact score) of each query's k best in a block; vector j has ids[starts[j] : starts[j + 1]]."""
     near = scan(pad(queries), packed, centres)
+    counts = np.diff(starts)
     for row, (query_id, q) in enumerate(zip(query_ids, queries, strict=True)):
-        at = np.argpartition(-near[row], rerank)[: rerank + 1] if len(ids) > rerank + 1 else np.arange(len(ids))
-        at = at[ids[at] != query_id]
-        score = exact(vectors[at], q)
-        order = np.lexsort((ids[at], -score))[:k]
-        yield from zip([query_id] * len(order), ids[at][order].tolist(), score[order].tolist(), strict=True)
+        at = np.arange(len(vectors))
+        if len(vectors) > rerank + 1:
+            at = np.flatnonzero(near[row] >= np.partition(near[row], -rerank - 1)[-rerank - 1])
+        n = counts[at]
+        where = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        own, score = ids[where], np.repeat(exact(vectors[at], q), n)
+        other = own != query_id
+        own, score = own[other], score[other]
+        order = np.lexsort((own, -score))[:k]
+        yield from zip([query_id] * len(order), own[order].tolist(), score[order].tolist(), strict=True)
 
 
 def exact(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -142,7 +185,6 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, rerank: int = RER
         return spark.createDataFrame([], schema)
     d = sizes[0]["d"]
     good = good.filter(F.size("x") == d)
-    total = good.count()
     picked = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     x = np.array(picked.column("x").combine_chunks().flatten()).reshape(-1, d)
     shared = spark.sparkContext.broadcast(fit(pad(x)))
@@ -150,15 +192,17 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, rerank: int = RER
     def code(batches):
         centres = shared.value
         for batch in batches:
-            v = np.array(batch["x"], "f8").reshape(-1, d)
+            v = np.array(batch["x"], "f8").reshape(-1, d) + 0.0  # -0.0 equals 0.0
             codes = encode(pad(v), centres)
             packed = codes[:, 0::2] << 4 | codes[:, 1::2]
             yield {"vec_id": batch["vec_id"], "x": [r.tobytes() for r in v], "code": [r.tobytes() for r in packed]}
 
     coded = written(map_batches(good, code, "vec_id long, x binary, code binary"), "codes")
-    blocks, groups = -(-total // BLOCK), max(1, -(-total // (every * QUERIES)))
-    base = coded.withColumn("block", F.pmod(F.xxhash64("vec_id", "code"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = coded.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    distinct = written(equal_vectors(coded, k), "vectors")
+    wanted = coded.filter(F.col("vec_id") % every == 0)
+    blocks, groups = -(-distinct.count() // BLOCK), max(1, -(-wanted.count() // QUERIES))
+    base = distinct.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = wanted.groupBy("vec_id").agg(F.min("x").alias("x"))
     asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(left, right):
@@ -169,10 +213,11 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, rerank: int = RER
 
         found = []
         if left.num_rows and right.num_rows:
-            q_ids, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+            q_ids, lists = left.column("vec_id").to_numpy(), right.column("ids").combine_chunks()
+            ids, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             q, v, packed = matrix(left, "x", "f8"), matrix(right, "x", "f8"), matrix(right, "code", "u1")
             for at in range(0, len(q), 256):
-                found += best(q_ids[at : at + 256].tolist(), q[at : at + 256], ids, v, packed, shared.value, k, rerank)
+                found += best(q_ids[at : at + 256].tolist(), q[at : at + 256], ids, starts, v, packed, shared.value, k, rerank)
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 

@@ -368,6 +368,27 @@ def test_nearest_neighbours_awkward(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", ["nearest", "between"])
+def test_nearest_neighbours_among_copies(spark, copies):
+    """More copies of a vector than are reranked: the smallest ids stand for them, and no distinct vector is pushed out."""
+    r = np.random.default_rng(4)
+    v = r.normal(size=(1500, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[0] = v[1]
+    same = r.permutation(np.arange(2, 1500))[:600]
+    v[same] = 1.2 * v[0] if copies == "nearest" else 0.6 * v[0] + 0.1 * v[1400]
+    v[same[:300], 3] += 0.0
+    rows = [(int(i), v[i].tolist()) for i in r.permutation(1500)] + [(int(min(same)), v[min(same)].tolist())]
+    got = defaultdict(list)
+    for x in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect():
+        got[x.query_id].append((x.rank, x.vec_id, x.score))
+    ids, w = np.array([i for i, _ in rows]), np.array([e for _, e in rows])
+    score = ann.exact(w, v[0])
+    order = [k for k in np.lexsort((ids, -score)) if ids[k] != 0][:20]
+    assert [x[1] for x in sorted(got[0])] == ids[order].tolist()
+    assert {len(x) for x in got.values()} == {20}
+
+
 def test_pipeline_stages(spark, awkward, empty):
     import corpus_pipeline as C
 
