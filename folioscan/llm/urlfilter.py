@@ -8,9 +8,11 @@ the longest context that training has seen, divided by their length. A fifth
 of the ruled urls is kept out of the counts; half way between the mean scores
 of its two classes is the threshold.
 
-Counts are taken over all ruled urls. The n-grams' log-ratios then go into a
-hash table of 2 ** BITS slots, each with the most frequent n-gram that falls
-there, so the table's size is bounded whatever the corpus, and it can be broadcast.
+Counts are taken over all ruled urls that are not kept out, and every counted
+n-gram stays in the model. The distinct n-grams of the urls to be scored are
+looked up in it, each order once; places get their log-ratios by the n-gram.
+The 2 ** BITS most frequent n-grams are broadcast, so none that many places
+have is shuffled; the others are joined by their hash.
 
 Defined results: a null url has the verdict block, no rule, empty host and
 path, score null; an empty url scores 0; a url without ``://`` is scored as it
@@ -68,7 +70,7 @@ def with_grams(df: DataFrame, url: str, order: int) -> DataFrame:
 
 
 def train(ruled: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, n, ratio: log-ratio of each seen n-gram's last character after the rest.
+    """order, gram, ratio: log-ratio of each seen n-gram's last character after the rest.
 
     ruled: url and accepted (boolean).
     """
@@ -86,37 +88,51 @@ def train(ruled: DataFrame, order: int = ORDER) -> DataFrame:
             own = own.join(lower, own.below == lower.gram).drop("gram")
         base = {x: F.col(f"p_{x}") if k else F.lit(1 / SYMBOLS) for x in ("acc", "rej")}
         p = {x: F.when(F.col(f"n_{x}") == 0, base[x]).otherwise((F.col(x) + F.col(f"t_{x}") * base[x]) / (F.col(f"n_{x}") + F.col(f"t_{x}"))) for x in base}
-        level = own.select(F.col(f"g{k}").alias("gram"), (F.col("acc") + F.col("rej")).alias("n"), p["acc"].alias("p_acc"), p["rej"].alias("p_rej"))
+        level = own.select(F.col(f"g{k}").alias("gram"), p["acc"].alias("p_acc"), p["rej"].alias("p_rej"))
         level = written(level, f"order{k}")
         lower = level.select("gram", "p_acc", "p_rej")
-        out.append(level.select("gram", "n", (F.log("p_acc") - F.log("p_rej")).alias("ratio")))
+        out.append(level.select(F.lit(k).alias("order"), "gram", (F.log("p_acc") - F.log("p_rej")).alias("ratio")))
     every = out[0]
     for level in out[1:]:
         every = every.unionByName(level)
     return every
 
 
-def table(grams: DataFrame, bits: int = BITS) -> DataFrame:
-    """gram, ratio of at most 2 ** bits n-grams: of those that share a slot, the most frequent stays."""
-    best = grams.groupBy(F.pmod("gram", F.lit(1 << bits))).agg(F.max(F.struct("n", "gram", "ratio")).alias("x"))
-    return best.select("x.gram", "x.ratio")
+def look_up(grams: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n, ratio of each distinct n-gram of the highest order: the ratio of its longest seen end; 0, if none is.
 
+    grams: g0 to g<order> and n, one row for each g<order>. Each order's
+    distinct n-grams meet the model, then the next shorter one's result.
+    """
+    lower = None
+    for k in range(order + 1):
+        below = [F.first(f"g{k - 1}").alias("below")] if k else []
+        own = grams.groupBy(F.col(f"g{k}").alias("gram")).agg(F.sum("n").alias("n"), *below)
+        own = own.join(model.filter(F.col("order") == k).select("gram", F.col("ratio").alias("seen")), "gram", "left")
+        ratio = F.coalesce("seen", F.lit(0.0))
+        if k:
+            own = own.join(lower, "below")
+            ratio = F.coalesce("seen", "lower")
+        lower = own.select(F.col("gram").alias("below"), ratio.alias("lower"))
+    return own.select("gram", "n", ratio.alias("ratio"))
 
-def with_score(df: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """Adds score, the length-normalised log-ratio of the column url; 0 for none.
 
-    The model is bounded (see table), so it is broadcast; a url's characters
-    stay in one task until their sum is made.
-    """
-    keep = df.columns
+def with_score(df: DataFrame, model: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
+    """Adds score, the length-normalised log-ratio of the column url; 0 for none."""
     row = unused(df, "row")
-    places = with_grams(df.withColumn(row, F.monotonically_increasing_id()), "url", order).drop(*[f"c{k}" for k in range(order + 1)])
-    for k in range(order, -1, -1):
-        level = F.broadcast(model.select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}")))
-        places = places.join(level, f"g{k}", "left")
-    ratio = F.coalesce(*[f"r{k}" for k in range(order, -1, -1)], F.lit(0.0))
-    scored = places.groupBy(row).agg(*[F.first(c).alias(c) for c in keep], F.avg(ratio).alias("score"))
-    return scored.select(*keep, "score")
+    urls = written(df.withColumn(row, F.monotonically_increasing_id()), "urls")  # numbers that stay
+    top = f"g{order}"
+    places = with_grams(urls.filter(F.col("url").isNotNull()).select(F.col(row).alias("row"), "url"), "url", order)
+    grams = written(places.groupBy(*[f"g{k}" for k in range(order, -1, -1)]).agg(F.count("*").alias("n")), "places")
+    found = written(look_up(grams, model, order), "found").withColumnRenamed("gram", top)
+    hot = written(found.orderBy(F.desc("n"), top).limit(1 << bits).select(top, "ratio"), "hot")
+    met = places.select("row", top).join(F.broadcast(hot), top, "left")
+    often = met.groupBy("row").agg(F.sum("ratio").alias("often"), F.count("*").alias("n"))
+    rest = met.filter(F.col("ratio").isNull()).select("row", top).join(found.join(F.broadcast(hot.select(top)), top, "left_anti").select(top, "ratio"), top)
+    seldom = rest.groupBy("row").agg(F.sum("ratio").alias("seldom"))
+    sums = often.join(seldom, "row", "left").select("row", ((F.coalesce("often", F.lit(0.0)) + F.coalesce("seldom", F.lit(0.0))) / F.col("n")).alias("score"))
+    sums = sums.withColumnRenamed("row", row)
+    return urls.join(sums, row, "left").select(*df.columns, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER, bits: int = BITS) -> DataFrame:
@@ -127,10 +143,10 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, bits: int = BITS) -
     urls = urls.withColumn("rule", rule).withColumn("ruled", ruled)
     known = urls.filter(F.col("ruled").isNotNull()).select("url", (F.col("ruled") == "allow").alias("accepted"))
     apart = F.crc32(F.col("url").cast("binary")) % 5 == 0
-    model = written(table(train(known.filter(~apart), order), bits), "urlmodel")
-    means = with_score(known.filter(apart), model, order).groupBy("accepted").agg(F.avg("score").alias("m")).collect()
+    model = written(train(known.filter(~apart), order), "urlmodel")
+    scored = written(with_score(urls, model, order, bits), "scored")
+    means = scored.filter(F.col("ruled").isNotNull() & apart).groupBy((F.col("ruled") == "allow").alias("accepted")).agg(F.avg("score").alias("m")).collect()
     found = {r["accepted"]: r["m"] for r in means if r["m"] is not None and math.isfinite(r["m"])}
     threshold = (found[True] + found[False]) / 2 if len(found) == 2 else 0.0
-    scored = with_score(urls, model, order)
     verdict = F.coalesce("ruled", F.when(F.col("url").isNotNull() & (F.col("score") >= threshold), "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("url").isNotNull(), F.col("score")).alias("score"))

@@ -257,6 +257,26 @@ def test_url_filter(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_model_keeps_every_counted_gram(spark):
+    """Whatever the number of broadcast n-grams, each url gets the ratios of all counted n-grams."""
+    r = np.random.default_rng(6)
+    made = ["".join(r.choice(list("abcdefghijklmnop"), 24)) for _ in range(300)]
+    urls = [f"http://{m}.{'example.net/en' if k % 2 else 'x.net'}/{m[::-1]}" for k, m in enumerate(made)] + [f"http://other.com/{m[:9]}" for m in made[:40]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    known = df.withColumn("accepted", F.col("page_id") % 2 == 1).filter("page_id < 300")
+    model = urlfilter.train(known)
+    ratio = {(x.order, x.gram): x.ratio for x in model.collect()}
+    places = urlfilter.with_grams(df, "url", urlfilter.ORDER)
+    counted = {(k, x[f"g{k}"]) for x in places.filter("page_id < 300").collect() for k in range(5)}
+    assert counted == set(ratio)
+    want = defaultdict(list)
+    for x in places.collect():
+        want[x.page_id].append(next((v for k in range(4, -1, -1) if (v := ratio.get((k, x[f"g{k}"]))) is not None), 0.0))
+    for bits in (4, urlfilter.BITS):
+        got = {x.page_id: x.score for x in urlfilter.with_score(df, model, bits=bits).collect()}
+        assert got == pytest.approx({i: np.mean(v) for i, v in want.items()})
+
+
 def accuracy(got, column, sf=SF):
     truth = dict(duckdb.sql(f"SELECT doc_id, {column} FROM '{sf}/labels.parquet'").fetchall())
     return np.mean([r.predicted == truth[r.doc_id] for r in got if r.held_out and r.doc_id in truth])
