@@ -6,7 +6,10 @@ weights. It is kept as a trie. A word is matched by walking the trie and the
 word's Levenshtein automaton together, the automaton as bit vectors, one for
 each number of errors, so that a branch is left as soon as the automaton is
 dead. Exact terms count fully, misspelled ones less; words that clean texts use
-themselves are not taken for misspellings.
+themselves are not taken for misspellings. Misspellings are looked for of every
+term, unless the sample shows that what resembles it does so by chance: the
+words of a single training text are as those not seen yet, and where at least
+SIGHTINGS of them resemble a term and do not lean toxic, it matches exactly only.
 
 Each hit is judged in a window of words: inside quotation marks or beside a
 reporting verb it counts less, beside an address to somebody more. A logistic
@@ -34,8 +37,8 @@ from .common import drop_written, fold, held_out, labelled_texts, map_batches, s
 from .models import fit_logistic, sigmoid
 
 SAMPLE, TERMS, THRESHOLD, WINDOW, LEAST = 20_000, 2_000, 0.5, 8, 20.0
-#: Misspellings are looked for of terms that this share of toxic texts has: what resembles a rare term does so by chance.
-OFTEN = 0.05
+#: So many sightings of rare words that resemble a term can show that they do so by chance.
+SIGHTINGS = 3
 _STRIP = string.punctuation + "“”„«»‘’…–—"
 _OPEN, _CLOSE = tuple("\"“„«‘'"), tuple("\"”“»’'")
 _REPORT = frozenset("said says say wrote writes called calls quoted quotes quote reported according term word slur dit disait écrit appelé selon sagte sagt schrieb nannte laut dijo dice escribió llamó según".split())
@@ -105,6 +108,14 @@ class Lexicon:
                     stack.append((child, tuple(new)))
         return found
 
+    def close(self, word: str) -> list[tuple[str, int]]:
+        """Terms that the word may be a misspelling of, with the distance."""
+        if len(word) < 4 or len(word) > 64 or word in self.common:
+            return []
+        if not (any(word[:n] in s for n, s in self.head.items()) or any(word[-n:] in s for n, s in self.tail.items()) or self._inside(word)):
+            return []
+        return self.near(word)
+
     def _inside(self, word: str) -> bool:
         return any(word[p + d : p + d + n] in self.middle[p, n] for p, n in self.spots.get(len(word), ()) for d in (-2, -1, 0, 1, 2))
 
@@ -112,12 +123,7 @@ class Lexicon:
         """(weight, errors) of the best term, or None."""
         if (own := self.weights.get(word)) is not None:
             return own, 0
-        if len(word) < 4 or len(word) > 64 or word in self.common:
-            return None
-        if not (any(word[:n] in s for n, s in self.head.items()) or any(word[-n:] in s for n, s in self.tail.items()) or self._inside(word)):
-            return None
-        best = max(((self.weights[t] * 0.6**k, k) for t, k in self.near(word)), default=None)
-        return best
+        return max(((self.weights[t] * 0.6**k, k) for t, k in self.close(word)), default=None)
 
 
 class Scanner:
@@ -202,7 +208,7 @@ def count_words(train: DataFrame) -> DataFrame:
         return {"word": list(seen), "pos": [v[0] for v in seen.values()], "neg": [v[1] for v in seen.values()]}
 
     parts = map_batches(train.select("text", "label"), run, "word string, pos long, neg long")
-    return parts.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") + F.col("neg") >= 2)
+    return parts.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
@@ -225,16 +231,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     weight = F.log((pos + 0.5) / (n_pos + 1.0)) - F.log((neg + 0.5) / (n_neg + 1.0))
     strong = counts.filter((pos >= 3) & (pos > expect)).select("word", "pos", ratio.alias("ratio"), weight.alias("weight"))
     top = strong.filter((F.col("ratio") >= LEAST) & (F.col("weight") >= 1.0)).orderBy(F.desc("ratio"), "word").limit(terms).collect()
-    spelled = frozenset(r["word"] for r in top if r["pos"] >= OFTEN * n_pos)
-    lexicon = Lexicon({r["word"]: r["weight"] for r in top}, spelled)
+    weights = {r["word"]: r["weight"] for r in top}
+    lexicon = Lexicon(weights)
 
-    def clean(batches):  # words of clean texts that look like a term
+    def resembling(batches):  # words of the sample that look like a term
         for batch in batches:
-            yield {"word": [w for w in batch["word"] if lexicon.match(w)]}
-
-    used = counts.filter((neg >= 2) & (neg * n_pos >= pos * n_neg)).select("word")
-    common = frozenset(r["word"] for r in map_batches(used, clean, "word string").collect()) - set(lexicon.weights)
-    lexicon = Lexicon(lexicon.weights, spelled, common)
+            rows = [(w, t, p, n) for w, p, n in zip(batch["word"], batch["pos"], batch["neg"], strict=True) if w not in weights for t, _ in lexicon.close(w)]
+            yield dict(zip(("word", "term", "pos", "neg"), zip(*rows, strict=True) if rows else ([], [], [], []), strict=True))
+
+    alike = written(map_batches(counts, resembling, "word string, term string, pos long, neg long"), "alike")
+    common = frozenset(r["word"] for r in alike.filter((neg >= 2) & (neg * n_pos >= pos * n_neg)).select("word").distinct().collect())
+    seen = alike.filter(pos + neg == 1).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    chance = seen.filter((pos + neg >= SIGHTINGS) & (neg * n_pos >= pos * n_neg)).select("term").collect()
+    lexicon = Lexicon(weights, frozenset(weights) - {r["term"] for r in chance}, common)
+    drop_written(alike)
 
     def feats(batches):
         scanner = Scanner(lexicon)

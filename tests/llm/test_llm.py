@@ -296,6 +296,29 @@ def test_toxicity(spark, awkward, empty):
     assert {r.doc_id: r.factor for r in found}[1] < 1 < {r.doc_id: r.factor for r in found}[2]
 
 
+def test_misspellings_of_rare_terms(spark):
+    """Long-tailed abuse: terms that few toxic texts have are found misspelled too, look-alikes of clean texts are not."""
+    import random
+
+    r = random.Random(8)
+    make = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    slurs, plain = [make(9) for _ in range(50)], [make(6) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(4800):
+        words = [r.choice(plain) for _ in range(30)]
+        if toxic := i % 2:
+            words[5] = slurs[i // 2 % 50]
+        elif i % 100 == 0:
+            words[7] = slurs[0][:7] + chr(945 + i // 100 % 20) + chr(945 + i // 2000)  # rare clean words that resemble one of them
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for s in slurs[1:]:
+        assert model.lexicon.match(s)[1] == 0
+        assert model.lexicon.match(s[:4] + "0" + s[5:])[1] == 1
+    assert model.lexicon.match(slurs[0])[1] == 0 and model.lexicon.match(slurs[0][:7] + "zz") is None
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
