@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_batches, tune
-from .tokens import PieceEncoder, byte_characters
+from .tokens import PATTERN, ChunkEncoder, byte_characters
 
 
 def _field(number: int, value) -> bytes:
@@ -71,26 +71,28 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.shown = {b: c for b, c in enumerate(byte_characters())}
         self.decimal = [str(i) for i in range(len(self.tokens))]
-        self._encoder = PieceEncoder(self._encode_many)
+        # chunks end where PATTERN always cuts; texts for another pattern are encoded one by one
+        self._encoder = ChunkEncoder(self._learn) if pattern == PATTERN else self._plain
 
     def _pre_tokens(self, piece: str) -> list[str]:
-        if piece[1:].isalpha() and piece[0] == " ":  # what the pattern finds whole
-            return [piece]
-        return self.split(piece)
+        word = piece.removeprefix(" ")
+        return [piece] if word.isascii() and word.isalpha() else self.split(piece)  # what the pattern finds whole
 
-    def _encode_many(self, pieces: list[str]) -> list[bytes]:
-        parts = [self._pre_tokens(p) for p in pieces]
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._pre_tokens(c.decode()) for c in chunks]
         flat = [x if x.isascii() and x.isalpha() else x.encode("utf-8", "replace").decode("latin-1").translate(self.shown) for p in parts for x in p]
-        found = iter(self.model.encode(flat, num_threads=1) if flat else [])
-        out = []
-        for p in parts:
-            ids = next(found) if len(p) == 1 else [i for _ in p for i in next(found)]
-            out.append(array("I", ids).tobytes())
-        return out
+        found = self.model.encode(flat, num_threads=1) if flat else []
+        sizes = np.array([len(f) for f in found], "i8")
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, parts)])]
+        ids = np.fromiter((i for f in found for i in f), "u4", int(sizes.sum()))
+        return ids - np.uint32(1), np.diff(ends)  # the model's ids are one higher
+
+    def _plain(self, texts: list[str | None]) -> list[bytes]:
+        return [self._learn([t.encode("utf-8", "replace")])[0].tobytes() if t else b"" for t in texts]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """ids of each text; the model's ids are one higher."""
-        return [(np.frombuffer(code, "u4") - np.uint32(1)).tolist() for code in self._encoder(texts)]
+        """ids of each text."""
+        return [np.frombuffer(code, "u4").tolist() for code in self._encoder(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

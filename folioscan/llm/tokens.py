@@ -1,138 +1,230 @@
-"""Encoding whole texts with public tokenizers, a memo of space-delimited pieces in front.
-
-Byte-level pre-tokenisation never joins what stands on both sides of a single
-space, and a pre-token's ids do not depend on its neighbours. So a text is cut
-at single spaces, each distinct piece is encoded once by the library, and the
-ids of the text are the pieces' ids in order. A text with runs of white space
-next to a space is cut by the pattern CHUNKS instead, which has the same
-boundaries as the pre-tokeniser there.
+"""Encoding whole texts with public tokenizers, a table of known chunks in front.
+
+Byte-level pre-tokenisation cuts a text by PATTERN, and what it cuts does not
+depend on what stands further away. So texts are cut, in numpy over their
+bytes, at places where the pattern always cuts: around white space, and between
+letters, digits and other characters where the class of both is plain from the
+bytes (after an apostrophe nothing is cut, as contractions start there). Each
+distinct chunk is encoded once by the library and stays in a table under its
+own bytes; a text's ids are its chunks' ids in order, gathered by index.
 """
 from __future__ import annotations
 
-import gc
+import json
 import os
-import re
-import string
-from array import array
-from operator import add
+from collections.abc import Callable
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # executors' cores are Spark's
 
-#: Unicode White_Space; Python's own class also has the separators 0x1c to 0x1f.
-_WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNKS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: The pre-tokenisation that the cuts below are right for.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+_LETTER, _DIGIT, _OTHER, _QUOTE, _BLANK, _SPACE, _HIGH, _REST = range(8)  # _BLANK: white space but the space; _REST: its further bytes
+#: Lead bytes of two-byte characters that are all letters (U+00C0 to U+027F but two signs, U+0400 to U+047F).
+_LEADS = (*range(0xC3, 0xCA), 0xD0, 0xD1)
+_SIGNS = (0x97, 0xB7)  # after 0xC3: the multiplication and the division sign
+#: Longest chunk that is its own key, in bytes; the last byte of three words holds the length.
+_SHORT = 23
+
+
+def _classes() -> np.ndarray:
+    kind = np.full(256, _OTHER, "u1")
+    kind[[*range(65, 91), *range(97, 123)]] = _LETTER
+    kind[48:58] = _DIGIT
+    kind[39] = _QUOTE
+    kind[9:14] = _BLANK
+    kind[32] = _SPACE
+    kind[128:] = _HIGH
+    return kind
 
 
-class _Memo(dict):
-    """A dict with one older generation: what is looked up there moves up, what is not goes at the next turn."""
+_CLASS = _classes()
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], "u8")
 
-    old: dict = {}
 
-    def __missing__(self, key):
-        self[key] = value = self.old[key]
-        return value
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """The class of every byte; raw ends with padding."""
+    kind = _CLASS[raw]
+    if not (high := raw >= 0x80).any():
+        return kind
+    at = np.flatnonzero(high)
+    lead = raw[at]
+    two = at[np.isin(lead, _LEADS)]
+    two = two[~((raw[two] == 0xC3) & np.isin(raw[two + 1], _SIGNS))]
+    kind[two] = kind[two + 1] = _LETTER
+    # white space beyond ASCII: U+0085, U+00A0; U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    pairs = at[lead == 0xC2]
+    pairs = pairs[np.isin(raw[pairs + 1], (0x85, 0xA0))]
+    kind[pairs], kind[pairs + 1] = _BLANK, _REST
+    if len(three := at[(lead >= 0xE1) & (lead <= 0xE3)]):
+        code = (raw[three].astype("u4") & 15) << 12 | (raw[three + 1].astype("u4") & 63) << 6 | raw[three + 2] & 63
+        blank = ((code >= 0x2000) & (code <= 0x200A)) | np.isin(code, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+        three = three[blank]
+        kind[three], kind[three + 1], kind[three + 2] = _BLANK, _REST, _REST
+    return kind
 
-    def turn(self) -> None:
-        self.old = dict(self)
-        self.clear()
 
-    def unknown(self, keys: set) -> set:
-        return {k for k in keys.difference(self) if k not in self.old}
+def chunk_starts(raw: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
+    """Where chunks start among the first n bytes: texts start at ``begins``; raw has padding after n."""
+    kind = _kinds(raw)[:n]
+    start = np.zeros(n + 1, bool)
+    plain = kind <= _QUOTE
+    group = np.minimum(kind, _OTHER)
+    start[1:n] = plain[1:] & plain[:-1] & (group[1:] != group[:-1]) & (kind[:-1] != _QUOTE)
+    blank = (kind == _BLANK) | (kind == _SPACE) | (kind == _REST)
+    # a run of white space goes up to a text's end or to what follows it
+    first = np.zeros(n + 1, bool)
+    first[begins] = True
+    run = np.flatnonzero(blank)
+    if len(run):
+        opens = np.ones(len(run), bool)
+        opens[1:] = (run[1:] != run[:-1] + 1) | first[run[1:]]
+        start[run[opens]] = True
+        closes = np.ones(len(run), bool)
+        closes[:-1] = opens[1:]
+        last = run[closes]
+        last = last[~first[last + 1] & (last + 1 < n)]  # something follows in its text
+        after = last[kind[last] != _SPACE]
+        start[after + 1] = True
+        while len(back := np.flatnonzero(kind[last] == _REST)):
+            last[back] -= 1
+        start[last] = True
+    start |= first
+    return np.flatnonzero(start[:n])
 
 
-class PieceEncoder:
-    """texts -> the joined codes of their pieces, as bytes.
+class ChunkEncoder:
+    """texts -> ids of each, as little-endian unsigned 32-bit integers.
 
-    ``encode_many`` maps a list of strings to a list of bytes. Two generations
-    of at most ``limit`` pieces are remembered, so memory is bounded.
+    ``learn`` maps a list of chunks to (all their ids in order, how many each
+    has). At most about ``limit`` chunks are known at a time; when there are
+    more, those that the last texts did not use are forgotten. So memory is
+    bounded by ``limit`` and the longest text.
     """
 
-    def __init__(self, encode_many, limit: int = 300_000, chunk: int = 2_000_000):
-        self.encode_many, self.limit, self.chunk = encode_many, limit, chunk
-        self.rest = _Memo()  # bare piece -> code of " " + piece; None: not to be taken alone
-        self.whole = _Memo()  # chunk with its own leading space -> code
-        self.ends: dict[str, bytes] = {}  # punctuation after a word -> code
-        (self.newline,) = encode_many(["\n"])
-
-    def _learn(self, memo: _Memo, pieces, lead: str) -> None:
-        new = memo.unknown(set().union(*pieces))
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()} if lead else set()
-        new -= odd
-        # letters and the punctuation after them are pre-tokens of their own: "word" and "," serve "word,"
-        parted = {}
-        for p in new:
-            core = p.rstrip(string.punctuation)
-            if len(core) != len(p) and core.isalpha() and len(p) - len(core) < 9:
-                parted[p] = core
-        plain = new.difference(parted)
-        plain |= memo.unknown(set(parted.values()))
-        self.long = [p for p in plain if len(p) > 256]  # not kept, so that memory does not follow the longest piece
-        plain = list(plain)
-        memo.update(zip(plain, self.encode_many([lead + p for p in plain]), strict=True))
-        memo.update(dict.fromkeys(odd))
-        ends = list({p[len(c) :] for p, c in parted.items()}.difference(self.ends))
-        if len(self.ends) > 50_000:
-            self.ends, ends = {}, list({p[len(c) :] for p, c in parted.items()})
-        self.ends.update(zip(ends, self.encode_many(ends), strict=True))
-        for p, core in parted.items():
-            memo[p] = memo[core] + self.ends[p[len(core) :]]
-
-    def _forget(self, memo: _Memo) -> None:
-        for p in self.long:
-            memo.pop(p, None)
-        if len(memo) > self.limit:
-            memo.turn()
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        # a line feed with no white space beside it is a pre-token of its own: lines are cut by themselves
-        cut: list[list[list[str]] | None] = []
-        for t in texts:
-            lines = t.split("\n")
-            if len(lines) > 1 and any(not line or line[0].isspace() or line[-1].isspace() for line in lines):
-                cut.append(None)
-            else:
-                cut.append([line.split(" ") for line in lines])
-        self._learn(self.rest, [pieces[1:] for lines in cut if lines for pieces in lines], " ")
-        tails: list[list[bytes] | None] = []
-        for lines in cut:
-            try:
-                if not lines or any(p[0] and p[0][-1].isspace() and len(p) > 1 for p in lines):
-                    raise TypeError
-                tails.append([b"".join(map(self.rest.__getitem__, pieces[1:])) for pieces in lines])
-            except TypeError:
-                tails.append(None)
-        self._forget(self.rest)
-        # a line's first piece has no space before it; texts with more white space in a place are cut by the pattern
-        heads = [CHUNKS.findall(t) if tail is None else [p[0] for p in lines] for tail, lines, t in zip(tails, cut, texts, strict=True)]
-        self._learn(self.whole, heads, "")
-        out = []
-        for head, tail in zip(heads, tails, strict=True):
-            codes = map(self.whole.__getitem__, head)
-            out.append(b"".join(codes) if tail is None else self.newline.join(map(add, codes, tail)))
-        self._forget(self.whole)
-        return out
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000, batch: int = 1 << 20):
+        self.learn, self.limit, self.batch = learn, limit, batch
+        self.bits = max(10, (2 * limit).bit_length())
+        self.slots = np.full(1 << self.bits, -1, "i4")
+        self.size = self.filled = 0
+        self.keys = np.empty((3, 1024), "u8")
+        self.hash = np.empty(1024, "u8")
+        self.at, self.count = np.empty(1024, "i8"), np.empty(1024, "i4")
+        self.pool = np.empty(4096, "u4")
+        self.far: dict[bytes, int] = {}  # chunks of more than _SHORT bytes
+
+    def _append(self, keys: np.ndarray, hashes: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+        """New entries for the chunks; their numbers."""
+        ids, counts = self.learn(chunks)
+        n, end = len(chunks), self.filled + len(ids)
+        while self.size + n > len(self.hash):
+            self.keys = np.concatenate([self.keys, np.empty_like(self.keys)], 1)
+            self.hash, self.at, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.at, self.count))
+        while end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        own = slice(self.size, self.size + n)
+        self.keys[:, own], self.hash[own] = keys, hashes
+        self.at[own], self.count[own] = self.filled + np.cumsum(counts) - counts, counts
+        self.pool[self.filled : end] = ids
+        self.size, self.filled = self.size + n, end
+        return np.arange(own.start, own.stop)
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Keep the entries ``used`` only, and no more than half the limit of them."""
+        keep = np.unique(used)[: self.limit // 2]
+        count = self.count[keep]
+        where = np.repeat(self.at[keep] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        pool = self.pool[where]
+        n = len(keep)
+        self.keys, self.hash, self.count = self.keys[:, keep], self.hash[keep], count
+        self.at = np.cumsum(count) - count
+        self.pool, self.size, self.filled = pool, n, len(pool)
+        place = dict(zip(keep.tolist(), range(n), strict=True))
+        self.far = {k: place[e] for k, e in self.far.items() if e in place}
+        short = self.keys[2] != 0
+        self.slots[:] = -1
+        self.slots[self.hash[short] >> np.uint64(64 - self.bits)] = np.flatnonzero(short)
+
+    def _entries(self, data: bytes, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of every chunk."""
+        size = ends - starts
+        words = np.ndarray((len(raw) - 7,), "<u8", data, 0, (1,))  # eight bytes from any place
+        key = np.empty((3, len(starts)), "u8")
+        for j in range(3):
+            key[j] = words[starts + 8 * j] & _MASKS[np.clip(size - 8 * j, 0, 8)]
+        key[2] |= size.astype("u8") << np.uint64(56)
+        h = key[0] * np.uint64(0x9E3779B97F4A7C15) ^ (key[1] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93) ^ key[2] * np.uint64(0xA0761D6478BD642F)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xE7037ED1A0B428DB)
+        short = size <= _SHORT
+        found = self.slots[h >> np.uint64(64 - self.bits)].astype("i8")
+        known = (found >= 0) & short
+        for j in range(3):
+            known &= self.keys[j][np.maximum(found, 0)] == key[j]
+        rest = np.flatnonzero(~known & short)
+        while len(rest):  # a second round only if hashes collide
+            _, first, inverse = np.unique(h[rest], return_index=True, return_inverse=True)
+            one = rest[first]
+            new = self._append(key[:, one], h[one], [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            self.slots[h[one] >> np.uint64(64 - self.bits)] = new
+            found[rest] = new[inverse]
+            rest = rest[(self.keys[:, found[rest]] != key[:, rest]).any(0)]
+        long = np.flatnonzero(~short)
+        if len(long):
+            chunks = [data[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            if new := list(set(chunks).difference(self.far)):
+                self.far.update(zip(new, self._append(np.zeros((3, len(new)), "u8"), np.zeros(len(new), "u8"), new).tolist(), strict=True))
+            found[long] = [self.far[c] for c in chunks]
+        return found
+
+    def _some(self, texts: list[bytes]) -> list[bytes]:
+        begins = np.cumsum([0, *map(len, texts)])
+        n = int(begins[-1])
+        data = b"".join([*texts, bytes(40)])
+        raw = np.frombuffer(data, "u1")
+        starts = chunk_starts(raw, begins, n)
+        entry = self._entries(data, raw, starts, np.append(starts[1:], n))
+        count = self.count[entry]
+        total = np.concatenate([[0], np.cumsum(count)])
+        out = self.pool[np.repeat(self.at[entry] - total[:-1], count) + np.arange(total[-1])].tobytes()
+        at = (4 * total[np.searchsorted(starts, begins)]).tolist()
+        if self.size > self.limit or self.filled > 8 * self.limit:
+            self._forget(entry)
+        for c in [c for c in self.far if len(c) > 256]:  # not kept, so that memory does not follow the longest chunk
+            del self.far[c]
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        # millions of strings are made and none is in a cycle: looking for cycles would only cost time
-        was = gc.isenabled()
-        gc.disable()
-        try:
-            return self._all(texts)
-        finally:
-            if was:
-                gc.enable()
-
-    def _all(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        some: list[str] = []
+        some: list[bytes] = []
         size = 0
         for t in texts:
-            some.append(t or "")
-            size += len(t or "")
-            if size > self.chunk:
+            code = (t or "").encode("utf-8", "replace")
+            if len(code) > 2 * self.batch:
                 out += self._some(some)
                 some, size = [], 0
-        return out + self._some(some) if some else out
+                out.append(b"".join(self._some([part])[0] for part in self._parts(code)))
+                continue
+            some.append(code)
+            size += len(code)
+            if size > self.batch:
+                out += self._some(some)
+                some, size = [], 0
+        return out + self._some(some)
+
+    def _parts(self, code: bytes):
+        """A very long text in parts, cut before single spaces between ASCII letters."""
+        at = 0
+        while len(code) - at > 2 * self.batch:
+            cut = code.find(b" ", at + self.batch)
+            while cut >= 0 and not (code[cut - 1 : cut] + code[cut + 1 : cut + 2]).isalpha():
+                cut = code.find(b" ", cut + 1)
+            if cut < 0:
+                break
+            yield code[at:cut]
+            at = cut
+        yield code[at:]
 
 
 def byte_characters() -> list[str]:
@@ -142,35 +234,60 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-_loaded: dict[tuple, PieceEncoder] = {}
+def _cuts_by_pattern(path: str) -> bool:
+    """Whether the file's tokenizer takes texts as they are and cuts them by PATTERN, which byte-level ones do."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    pre = d.get("pre_tokenizer") or {}
+    return not d.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+
+
+_loaded: dict[tuple, Callable] = {}
 
 
-def library_encoder(path: str) -> PieceEncoder:
-    """Encoder for a byte-level tokenizers file: little-endian unsigned 32-bit ids. One for each worker and file.
+def library_encoder(path: str) -> Callable[[list], list[bytes]]:
+    """Encoder for a tokenizers file: little-endian unsigned 32-bit ids. One for each worker and file.
 
     Strings of special tokens in a text are ordinary text.
     """
-    if ("library", path) not in _loaded:
-        import numpy as np
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        shown, bpe = dict(enumerate(byte_characters())), tokenizer.model.tokenize
-
-        def each(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-        def encode_many(pieces: list[str]) -> list[bytes]:
-            # letters after a space or nothing are one pre-token, so the library's model takes them as they are
-            out: dict[str, bytes] = {}
-            for p in pieces:
-                if (p[1:] if p[:1] == " " else p).isalpha():
-                    seen = p.encode().decode("latin-1").translate(shown)
-                    out[p] = array("I", [t.id for t in bpe(seen)]).tobytes()
-            rest = list(set(pieces).difference(out))
-            out.update(zip(rest, each(rest), strict=True))
-            return [out[p] for p in pieces]
-
-        _loaded["library", path] = PieceEncoder(encode_many)
+    if ("library", path) in _loaded:
+        return _loaded["library", path]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    each = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def plain(texts: list[str | None]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in each([t or "" for t in texts])]
+
+    (newline,) = found if len(found := each(["\n"])[0]) == 1 else (None,)
+
+    def learn(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # line feeds between chunks are pre-tokens of their own, so many chunks are encoded as one text
+        texts = [c.decode() for c in chunks]
+        words = [i for i, t in enumerate(texts) if not t[-1:].isspace()]
+        ids, counts = [], np.zeros(len(chunks), "i8")
+        parts: list = [None] * len(chunks)
+        for at in range(0, len(words), 4096):
+            own = words[at : at + 4096]
+            got = np.array(each(["\n".join(texts[i] for i in own)])[0], "u4")
+            edge = np.flatnonzero(got == newline)
+            begin, end = np.concatenate([[0], edge + 1]), np.append(edge, len(got))
+            if len(begin) != len(own):
+                raise ValueError("chunks do not stay apart")
+            ids.append(got[got != newline])
+            counts[own] = end - begin
+        if len(words) == len(chunks):
+            return np.concatenate(ids) if ids else np.empty(0, "u4"), counts
+        joined, at = (np.concatenate(ids) if ids else np.empty(0, "u4")), 0
+        for i in words:
+            parts[i] = joined[at : at + counts[i]]
+            at += counts[i]
+        blanks = [i for i, p in enumerate(parts) if p is None]
+        for i, own in zip(blanks, each([texts[i] for i in blanks]), strict=True):
+            parts[i], counts[i] = np.array(own, "u4"), len(own)
+        return np.concatenate(parts), counts
+
+    _loaded["library", path] = ChunkEncoder(learn) if newline is not None and _cuts_by_pattern(path) else plain
     return _loaded["library", path]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioscan.llm import ann, bpe, langid, neardup, packing, quality, tokenbin, toxicity, urlfilter, winnow
 from folioscan.llm.common import read
 from folioscan.llm.components import components
-from folioscan.llm.tokens import library_encoder
+from folioscan.llm.tokens import ChunkEncoder, library_encoder
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -59,10 +59,14 @@ def test_encoders_match_libraries(tokenizer):
     other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(5)
     bits = [" ", "  ", "\n", "\n\n", "\t", "\xa0", "a", "The", "don't", "'s", "'", "x1", "²", "12", "!", "...", "é", " foo", "日本", "<|endoftext|>", "\x1c", "_", "\r\n", "I'll ", "🙂", "\x85", ""]
-    many = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(4000)] + ["a" * 3000, " " * 50, "\n", ""]
+    bits += ["\u3000", "\u2003", "×", "Ω", "я", "ß", "a\0", "\0", "'é", "'S", "it's,", "’s", "abcdefghijklmnopqrstuvwxyzabcdef", "ё,"]
+    many = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(6000)] + ["a" * 3000, " " * 50, "\n", ""]
     got = library_encoder(LIBRARY)(many)
     assert all(np.frombuffer(g, "<u4").tolist() == w.ids for g, w in zip(got, tokenizer.encode_batch(many, add_special_tokens=False), strict=True))
+    few = ChunkEncoder(library_encoder(LIBRARY).learn, limit=300, batch=1000)  # forgets all the time, takes long texts in parts
+    assert few([*many, " ".join(many)]) == library_encoder(LIBRARY)([*many, " ".join(many)])
     codec = bpe.Codec(RANKS, P.PATTERN)
+    assert bpe.Codec(RANKS, "(?:" + P.PATTERN + ")").encode(many) == codec.encode(many)  # one pattern that is not known to cut there
     ids = codec.encode(many)
     assert ids == [other.encode_ordinary(t) for t in many]
     assert all(codec.decode(i) == t.encode() for i, t in zip(ids, many, strict=True))
