@@ -2,13 +2,13 @@
 
 Documents become token runs of at most ``capacity`` tokens. What fits with what
 depends on lengths alone, and there are at most ``capacity`` different ones, so
-the plan is made from the histogram of lengths: singles, pairs and triples of
-lengths that fill a sequence exactly are found by hashing sums, as often as
-counts allow; the rest goes best-fit, longest first. Where exact combinations
-cost sequences in the end, the plan does without triples or pairs. The plan's size depends on
-``capacity`` only, never on the corpus, so it is made on the driver and
-broadcast; each piece finds its place from its length and its rank among the
-pieces of that length. No piece is moved to plan or to place it.
+the plan is made from the histogram of lengths: gaps are looked up among single
+lengths and the sums of two and of three, and combinations that fill them
+exactly are consumed as often as counts allow; what finds none goes best-fit,
+longest first. The plan's size depends on ``capacity`` only, never on the
+corpus, so it is made on the driver and broadcast; each piece finds its place
+from its length and its rank among the pieces of that length. No piece is moved
+to plan or to place it.
 
 Defined results: a null or empty text is the end id alone; a null doc_id packs
 like any other; repeated rows are packed each for itself; an empty table gives
@@ -41,45 +41,66 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many sequences hold just these) for a histogram of lengths.
+    """(lengths, how many sequences hold just these) for a histogram of lengths: the plan of exact fillings.
 
-    Exact triples can use up short pieces that long ones would need. So the
-    plan is made with triples, with pairs only and with neither, and the one
-    with fewest sequences is kept, the first of equal ones.
+    Only a histogram for which best fit alone needs fewer sequences (flat ones
+    with few short pieces, where fillings use up what long pieces need) gets that.
     """
-    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
-    return min(plans, key=lambda plan: sum(n for _, n in plan))
+    filled, alone = make_plan(counts, capacity), make_plan(counts, capacity, exact=False)
+    return alone if sum(n for _, n in alone) < sum(n for _, n in filled) else filled
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences filled exactly by up to ``most`` pieces, then best fit, longest first."""
-    left = {k: n for k, n in counts.items() if n > 0}
+def make_plan(counts: dict[int, int], capacity: int, exact: bool = True) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of exact fillings; without ``exact``, best fit alone.
+
+    First, single lengths that fill the gaps of those beyond half the capacity
+    exactly. Then, longest first, a length goes where it fits best, or opens
+    new sequences; what fills their gap exactly is looked up among single
+    lengths, sums of two and sums of three, and taken as often as counts allow.
+    Only new sequences look for exact fillings, so short pieces that fit beside
+    long ones are not used up among themselves.
+    """
+    left = np.zeros(capacity + 1, "i8")
+    for k, n in counts.items():
+        left[k] = n
     plan: list[tuple[tuple[int, ...], int]] = []
+    spaces: dict[int, list] = {}  # room left -> [lengths, sequences]
+    rooms: list[int] = []
+    sums = np.ones(capacity + 1, bool)  # sums of two that there may be; a sum that is gone does not come back
 
     def take(*lengths: int) -> None:
         need = Counter(lengths)
-        times = min(left.get(k, 0) // m for k, m in need.items())
+        times = min(int(left[k]) // m for k, m in need.items())
         if times:
             plan.append((lengths, times))
             for k, m in need.items():
                 left[k] -= times * m
 
-    take(capacity)
-    for a in sorted(left, reverse=True) if most > 1 else ():  # pairs: the complement of each length
-        if 2 * a >= capacity > a:
-            take(a, capacity - a)
-    have = sorted(k for k, n in left.items() if n)
-    for a in reversed(have) if most > 2 else ():  # triples: the complement of each sum of two
-        for b in reversed(have[: bisect.bisect_right(have, min(a, capacity - a - 1))]):
+    def two(total: int, most: int) -> list[int]:
+        """The longer members, shortest first, of the sums of two that make ``total``; very short pieces stay for gaps that need them."""
+        low, high = (total + 1) // 2, min(total - 1, most)
+        if low > high:
+            return []
+        return (low + np.flatnonzero((left[low : high + 1] > 0) & (left[total - high : total - low + 1] > 0)[::-1])).tolist()
+
+    def fill(a: int) -> None:
+        """New sequences with ``a`` as their longest, filled exactly."""
+        gap = capacity - a
+        if gap <= a and left[gap]:
+            take(a, gap) if gap else take(a)
+        for b in two(gap, a) if left[a] else ():
             if not left[a]:
-                break
-            c = capacity - a - b
-            if c > b:
-                break
-            if left[b] and left.get(c):
-                take(a, b, c)
-    spaces: dict[int, list] = {}  # room left -> [lengths, bins]
-    rooms: list[int] = []
+                return
+            take(a, b, gap - b)
+        for b in range(-(-gap // 3), min(a, gap - 2) + 1):
+            if not left[a]:
+                return
+            if left[b] and sums[gap - b]:
+                pairs = two(gap - b, capacity)
+                sums[gap - b] = bool(pairs)
+                for c in pairs:
+                    if c <= b and left[a] and left[b]:
+                        take(a, b, c, gap - b - c)
 
     def put(room: int, lengths: tuple, n: int) -> None:
         if n:
@@ -88,27 +109,29 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[
                 bisect.insort(rooms, room)
             spaces[room].append([lengths, n])
 
-    for a in sorted((k for k, n in left.items() if n), reverse=True):
-        n = left[a]
-        while n and (at := bisect.bisect_left(rooms, a)) < len(rooms):
-            room = rooms[at]
+    for a in range(capacity // 2 + 1, capacity) if exact else ():
+        take(a, capacity - a)
+    for a in range(capacity, 0, -1):
+        while left[a] and (at := bisect.bisect_left(rooms, a)) < len(rooms):
+            room, n = rooms[at], int(left[a])
             lengths, bins = group = spaces[room][-1]
-            each = min(room // a, n)  # best fit keeps filling the bin it has just used
+            each = min(room // a, n)  # best fit keeps filling the sequence it has just used
             used = min(bins, n // each)
             group[1] -= used
-            n -= used * each
+            left[a] -= used * each
             if not group[1]:
                 spaces[room].pop()
                 if not spaces[room]:
                     del spaces[room], rooms[at]
             put(room - each * a, lengths + (a,) * each, used)
-        each = capacity // a
-        if n:
-            put(capacity - each * a, (a,) * each, n // each)
-            if n % each:
-                put(capacity - n % each * a, (a,) * (n % each), 1)
-    plan += [(tuple(lengths), n) for room in rooms for lengths, n in spaces[room]]
-    return plan
+        if left[a] and exact:
+            fill(a)
+        n, each = int(left[a]), capacity // a
+        left[a] = 0
+        put(capacity - each * a, (a,) * each, n // each)
+        if n % each:
+            put(capacity - n % each * a, (a,) * (n % each), 1)
+    return plan + [(tuple(lengths), n) for room in rooms for lengths, n in spaces[room]]
 
 
 def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

@@ -109,6 +109,23 @@ def test_plan_is_complete_and_tight():
             assert sum(n for _, n in plan) <= 1.05 * least + 1
 
 
+def test_plan_of_documents_fills_gaps_exactly(tokenizer):
+    """On the documents at sf0.01: exact pairs and triples are in the plan that comes out, and it reaches the lower bound."""
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    counts = defaultdict(int)
+    for code in library_encoder(LIBRARY)(texts):
+        for _, n in packing.cut_points(len(code) // 4 + 1, 2048):
+            counts[n] += 1
+    plan = packing.plan_bins(counts, 2048)
+    assert plan == packing.make_plan(counts, 2048)
+    exact = defaultdict(int)
+    for lengths, n in plan:
+        exact[len(lengths)] += n * (sum(lengths) == 2048)
+    assert exact[1] > 100 and exact[2] > 50 and exact[3] > 100 and exact[4] > 10
+    least = -(-sum(k * n for k, n in counts.items()) // 2048)
+    assert sum(n for _, n in plan) == least == 481
+
+
 def test_token_files(spark, texts, tokenizer, awkward, empty):
     got = tokenbin.round_trip(read(spark, SF, "documents"), LIBRARY).orderBy("doc_id").collect()
     at = 0
