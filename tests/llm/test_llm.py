@@ -231,36 +231,57 @@ def test_components_equal_union_find(spark):
     assert got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
 
 
+def winnowed(data: bytes, window=winnow.WINDOW, gram=winnow.GRAM):
+    """(hash, place) by brute force: each window's smallest upper half, the rightmost of equal ones."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    grams = [signed(xxhash.xxh64_intdigest(data[i : i + gram], seed=42)) for i in range(max(1, len(data) - gram + 1))] if data else []
+    picked = {min(range(s, min(s + window, len(grams))), key=lambda i: (grams[i] >> 32, -i)) for s in range(max(1, len(grams) - window + 1))} if grams else set()
+    return [(grams[i], i) for i in sorted(picked)]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_winnowing(spark, texts, awkward, empty):
-    got = winnow.edited_table(read(spark, SF, "documents")).orderBy("doc_id").collect()
-    rows = sorted(texts.items())
-    for k, (r, (i, t)) in enumerate(zip(got, rows, strict=True)):
-        q, after = len(t) // 4, rows[(k + 1) % len(rows)][1]
-        edited = t[: len(t) - q] + after[:q]
-        assert (r.doc_id, r.n_chars, r.edited_sha256) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert np.mean([r.near_edited for r in got]) > 0.5 > 0.05 > np.mean([r.near_next for r in got])
-    seen = defaultdict(set)
-    for r, (_, t) in zip(got, rows, strict=True):
-        seen[t].add(r.fingerprint)
-    assert all(len(s) == 1 for s in seen.values())
-    assert winnow.edited_table(awkward).count() == len(AWKWARD)
+    """Every column of the query recomputed, on documents, on awkward rows and on texts that one edit empties or cuts in a character's middle."""
+    short = [(k, "aé日🙂" * k) for k in range(30)] + [(40, None), (41, "x" * 200), (42, "y" * 3), (43, "")]
+    odd = spark.createDataFrame(short, "doc_id long, text string")
+    known = [(i, t) for i, t in AWKWARD if i is not None]
+    for docs, rows in ((read(spark, SF, "documents"), sorted(texts.items())), (awkward, sorted(known, key=lambda r: (r[0], r[1] or ""))), (odd, short)):
+        got = sorted((r for r in winnow.edited_table(docs).collect() if r.doc_id is not None), key=lambda r: (r.doc_id, r.n_chars))
+        assert len(got) == len(rows)
+        for k, (r, (i, t)) in enumerate(zip(got, rows, strict=True)):
+            t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+            q = len(t) // 4
+            edited = t[: len(t) - q] + after[:q]
+            own, changed, following = (winnowed(x.encode()) for x in (t, edited, after))
+            name = lambda sel: hashlib.sha256(" ".join(map(str, dict.fromkeys(h for h, _ in sel))).encode()).hexdigest()
+            assert (r.doc_id, r.n_chars, r.edited_sha256) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
+            assert (r.fingerprint, r.edited_fingerprint) == (name(own), name(changed))
+            a, b, c = ({h for h, _ in sel} for sel in (own, changed, following))
+            assert (r.near_edited, r.near_next) == pytest.approx((jaccard(a, b), jaccard(a, c)))
+    alone = [r for r in winnow.edited_table(awkward).collect() if r.doc_id is None]
+    text = next(t for i, t in AWKWARD if i is None)
+    assert [(r.n_chars, r.near_next, r.edited_sha256) for r in alone] == [(len(text), 0.0, hashlib.sha256(text[: len(text) - len(text) // 4].encode()).hexdigest())]
     assert winnow.edited_table(empty).count() == 0
 
 
 def test_winnowing_selection_equals_brute_force(spark):
-    sample = ["", "a", "one two three four five six seven", "ab " * 30, "x" * 100]
+    """Whatever the block, window and gram; and a passage shared at any offset is found."""
+    r = np.random.default_rng(9)
+    passage = "".join(r.choice(list("的一是在不了有和人这中大为上个国"), 60))
+    sample = ["", "a", "one two three four five six seven", "ab " * 30, "x" * 100, passage, "y" + passage, "".join(r.choice(list("日本語文"), 33)) + passage]
     df = spark.createDataFrame(list(enumerate(sample)), "doc_id long, text string")
-    full = winnow.with_selection(df, "text", "s").select("doc_id", "text", winnow.places(F.col("s")).alias("p")).collect()
-    for r in full:
-        places = [x.place for x in r.p]
-        n = len(re.findall(r"\S{1,4}", r.text))
-        grams = max(0, n - winnow.GRAM + 1)
-        assert places == sorted(places) and (not places or max(places) < max(1, grams))
-        if grams >= winnow.WINDOW:  # the guarantee: no window without a selected place
-            assert places[0] < winnow.WINDOW and all(b - a <= winnow.WINDOW for a, b in zip(places, places[1:])) and places[-1] >= grams - winnow.WINDOW
-    periodic = next(r.p for r in full if r.text.startswith("ab "))
-    assert [x.place for x in periodic] == list(range(winnow.WINDOW - 1, 28))  # rightmost of equal hashes
+    for window, gram, block in ((winnow.WINDOW, winnow.GRAM, winnow.BLOCK), (4, 3, 7), (6, 5, 1), (8, 16, 64), (1, 2, 5)):
+        full = winnow.with_selection(df, "text", "s", window, gram, block).select("text", winnow.places(F.col("s")).alias("p")).collect()
+        for x in full:
+            assert [(p.hash, p.place) for p in x.p] == winnowed(x.text.encode(), window, gram)
+        shared = [{p.hash for p in x.p} for x in full if passage in x.text]
+        least = (len(passage.encode()) - gram - window + 2) // window if gram > 5 else 1  # short grams repeat in the passage
+        assert all(len(a & b) >= least for a, b in combinations(shared, 2))
 
 
 def test_url_filter(spark):
