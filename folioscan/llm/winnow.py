@@ -120,7 +120,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     own = F.struct(F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(4 * parts))).otherwise(F.col("range")).alias("part"), F.lit(False).alias("ghost"), F.lit(False).alias("wrap"))
     ghost = F.struct(before.cast("long").alias("part"), F.lit(True).alias("ghost"), (F.col("range") == 1).alias("wrap"))
     dealt = docs.select("doc_id", "text", F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))).alias("to")).select("doc_id", "text", "to.*")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "wrap", "doc_id", "text")
+    dealt = dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "wrap", "doc_id", "text")
     over = W.partitionBy("part").orderBy("wrap", "doc_id", "text")
     follows = lambda c: F.when(F.col("doc_id").isNotNull(), F.lead(c).over(over))
     seen = with_selection(dealt, "text", "selection")
