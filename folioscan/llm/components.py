@@ -7,17 +7,33 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 
+#: A hub's edges are dealt out to so many tasks; its least neighbour goes to each of them.
+SALTS = 16
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """a, m: the least b of each a, from partial minima."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
+
+
+def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """a, b, m: every edge with the least node of its a, the edges of one a spread over SALTS keys."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["a", "salt"]).select("a", "b", "m")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(both).select("a", F.least("m", "a").alias("m"))
+    return _beside(both.filter(F.col("b") > F.col("a")), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of these; edges point from a down to b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(edges)
+    moved = _beside(edges, least).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 

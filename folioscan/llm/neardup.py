@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import drop_written, map_batches, tune, written
 from .components import components
 
-SIZE, PERCENT, BLOCK = 5, 85, 128
+SIZE, PERCENT, BLOCK, SHARE = 5, 85, 128, 512
 #: Share of the pairs at the threshold that meet in no bucket, at most.
 MISSED = 2e-6
 #: Signatures agree in ``percent`` of minima on average; so many standard deviations below a pair is given up.
@@ -192,7 +192,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFra
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures and full sets agree enough."""
+    """The pairs (a, b) whose signatures and full sets agree enough.
+
+    pairs: a, b, size, a bound of how many pairs b has in one place. A hub's pairs are dealt out by a to a task
+    for every SHARE of them, and its set goes to each.
+    """
     least = least_agreement(percent)
 
     @F.pandas_udf("boolean")
@@ -200,9 +204,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         near = [np.mean(np.frombuffer(p, "u4") == np.frombuffer(q, "u4")) >= least for p, q in zip(sx, sy, strict=True)]
         return pd.Series([ok and linked(np.frombuffer(p, "u8"), np.frombuffer(q, "u8"), percent) for ok, p, q in zip(near, x, y, strict=True)], dtype=bool)
 
-    one = sets.select(F.col("node").alias("b"), F.col("x").alias("xb"), F.col("signature").alias("sb"))
+    parts = F.ceil(F.col("size") / SHARE)
+    hubs = pairs.groupBy("b").agg(F.max("size").alias("size")).join(sets.withColumnRenamed("node", "b"), "b")
+    one = hubs.select("b", F.col("x").alias("xb"), F.col("signature").alias("sb"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
     two = sets.select(F.col("node").alias("a"), F.col("x").alias("xa"), F.col("signature").alias("sa"))
-    return pairs.join(one, "b").join(two, "a").filter(holds("xa", "xb", "sa", "sb")).select("a", "b")
+    return pairs.join(one, ["b", "part"]).join(two, "a").filter(holds("xa", "xb", "sa", "sb")).select("a", "b")
 
 
 class _Forest:
@@ -225,12 +232,10 @@ class _Forest:
 def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across components within buckets: a spanning forest of those in each pair of blocks.
 
-    members: bucket, band, node, component, size (of the bucket).
+    members: bucket, node, component, size (of the bucket), own (the block).
     """
     least = least_agreement(percent)
-    blocks = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK) - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
     full = dealt.join(sets, "node")
 
@@ -277,14 +282,16 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     buckets = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     crowded = written(members.join(buckets, "bucket"), "crowded")
     drop_written(members)
-    pairs = crowded.filter(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = crowded.filter(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
     nodes = crowded.select("node").distinct()
     sets = written(_sets(docs, nodes, size, percent), "sets")
     links = written(_confirm(pairs, sets, percent), "links")
     found = written(components(links), "components")
-    labelled = crowded.filter("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    more = written(_blocks(labelled.join(split, "bucket"), sets, percent), "more")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    labelled = crowded.filter("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("own", F.pmod(F.xxhash64("node"), blocks))
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).filter("low < high")
+    split = split.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"))  # by bucket and block, so no bucket is one task
+    more = written(_blocks(labelled.join(split, ["bucket", "own"]), sets, percent), "more")
     # rows that repeat an id with another text hold their classes together
     twice = usable.select("doc_id", "key").join(leaders, "key").groupBy("doc_id").agg(F.min("leader").alias("b"), F.max("leader").alias("a")).filter("a > b").select("a", "b")
     if not more.isEmpty() or not twice.isEmpty():

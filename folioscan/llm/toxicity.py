@@ -127,9 +127,9 @@ class Lexicon:
 
 
 class Scanner:
-    """Hits of a text, with a bounded memo of words already judged."""
+    """Hits of a text, with a memo of at most about ``limit`` words already judged, none of them long."""
 
-    def __init__(self, lexicon: Lexicon, limit: int = 400_000):
+    def __init__(self, lexicon: Lexicon, limit: int = 200_000):
         self.lexicon, self.limit = lexicon, limit
         self.known: set[str] = set()
         self.hot: dict[str, tuple[float, int]] = {}
@@ -143,7 +143,8 @@ class Scanner:
         for raw in distinct - self.known:
             if found := self.lexicon.match(raw.strip(_STRIP)):
                 self.hot[raw] = found
-        self.known |= distinct
+            if len(raw) <= 64:
+                self.known.add(raw)
         found = distinct & self.hot.keys()
         if not found:
             return [], len(words)
