@@ -379,8 +379,9 @@ def test_automata_equal_brute_force():
     for _ in range(1500):
         word = "".join(r.choice("abc") for _ in range(r.randint(1, 13)))
         want = sorted((t, d) for t in terms if (d := distance(word, t)) <= toxicity.allowance(len(t)))
-        assert sorted(lexicon.near(word)) == want
+        assert sorted(toxicity.Trie(terms).near(word)) == want
         if len(word) >= 4:
+            assert [x for x in lexicon.close(word) if x[1]] == [x for x in want if x[1]]
             assert (lexicon.match(word) is not None) == bool(want)
 
 
