@@ -4,13 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_space
-
 BRACKET = r"\(([^()]*?(?:19|20)\d\d[a-z]?[^()]*)\)"
-BIBLIO = r"^\s*((?:[a-z]+ |[a-z]')*[A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)(\s+et al\.?,?\s+|[^0-9]*?\s)?((?:19|20)\d\d[a-z]?)\s*$"
+#: A reference "first others date", and the parts of a cross-reference target, each matched at a word's start.
+BIBLIO = r"^((?:de|d'|el)?\s*[A-Z]\S+)(.+)(20\d\d[a-z]*)"
+PACKAGE = r"WGI+|WG[123]|SR(?:CCL|OCC|1\.?5)"
+SECTION = r"Chapter|Anne(xe)?|SPM|SM|TS|ES|[Ss]ections?"
+OBJECT = r"[Ff]ig(ure)?|[Tt]ab(le)?|[Ff]ootnote|Box|CCBox|CSBox"
+SUBSECTION = r"\d+$|[A-F]$|ES|([A-E]?\.?\d+(\.\d+)?(\.\d+)?)"
+#: What is written anew in a target, in this order.
 TARGET_RULES = (
-    (r"\s+", " "), (r" WG", ",WG"), (r" SR", ",SR"), (r"Cross-Chapter Box", "Cross_Chapter_Box"), (r"Cross-Section Box", "Cross_Section_Box"),
-    (r"Cross-Working Group Box", "Cross_Working_Group_Box"), (r"Technical Summary", "TS"), (r"Summary for Policymakers", "SPM"), (r"\bSection (\d)", "$1"), (r",+", ","),
+    (r"SR\s*1\.5", "SR1.5 "), (r"WG1\.", "WG1 "), (r"TS\.", "TS "), (r"SPM\.", "SPM "), (r"\s+", " "), (r"WPM", "SPM"), (r"WG\s*I", "WGI"),
+    (r"Cross\-([Cc]hapter)\s*[Bb]ox", "CCBox"), (r"Cross\-([Ss]ection)\s*[Bb]ox", "CSBox"), (r"Cross\-([Ww]orking\s+[Gg]roup|WG)\s+[Bb]ox", "CWGBox"),
 )
 
 
@@ -42,29 +46,95 @@ def brace_groups(text: Column) -> Column:
 
 
 def last_braces(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(?s)^.*\{(.*?)\}", 1), F.lit(""))
+    """What the last pair of braces in the first line holds; null without one."""
+    return F.nullif(F.regexp_extract(text, r"^.*\{(.*)\}.*", 1), F.lit(""))
 
 
-def normalize_target(s: Column) -> Column:
+def clean_target(s: Column) -> Column:
+    """A target with the spellings of TARGET_RULES put right."""
     for pattern, to in TARGET_RULES:
         s = F.regexp_replace(s, pattern, to)
     return s
 
 
 def targets(braces: Column) -> Column:
-    """The targets of a brace group: parts between colons, semicolons and commas."""
-    return F.filter(F.transform(F.split(normalize_target(braces), r"\s*[:;,]\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    """The targets of a brace group, cleaned: parts between colons, semicolons and commas; run-together packages are parted first."""
+    parted = F.replace(F.replace(braces, F.lit(" WG"), F.lit(", WG")), F.lit(" SR"), F.lit(", SR"))
+    parts = F.transform(F.split(parted, r"\s*[:;,]\s*"), lambda x: F.trim(x))
+    return F.transform(F.filter(parts, lambda x: x != ""), clean_target)
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def parse_target(s: Column) -> Column:
-    """(package, section, object, unparsed) of a target, by position."""
-    package = F.regexp_extract(s, r"^(WG(?:III|II|I)|SR[A-Z0-9.]*)\b", 1)
-    rest = F.trim(F.regexp_replace(s, r"^(WG(?:III|II|I)|SR[A-Z0-9.]*)\b\s*", ""))
-    object_ = F.regexp_extract(rest, r"\b((?:Figure|Table|Box|Cross_[A-Za-z_]*Box)\s+[A-Z0-9.]+)", 1)
-    rest = normalize_space(F.regexp_replace(rest, r"\b((?:Figure|Table|Box|Cross_[A-Za-z_]*Box)\s+[A-Z0-9.]+)", ""))
-    section = F.regexp_extract(rest, r"^((?:SPM|TS|Chapter|Annex)?\s?[A-Z0-9.]*)", 1)
-    unparsed = F.trim(F.regexp_replace(rest, r"^((?:SPM|TS|Chapter|Annex)?\s?[A-Z0-9.]*)", ""))
-    return F.struct(package.alias("package"), F.trim(section).alias("section"), object_.alias("object"), unparsed.alias("unparsed"))
+    """(package, section, object, subsection, unparsed): words taken off the front in this order, each if it fits, else ''."""
+
+    def step(name: str, pattern: str):
+        def take(t: Column) -> Column:
+            word = F.coalesce(F.get(t["words"], t["at"]), F.lit(""))
+            fits = (t["at"] < F.size(t["words"])) & word.rlike(f"^(?:{pattern})")
+            return t.withField(name, F.when(fits, word).otherwise("")).withField("at", t["at"] + fits.cast("int"))
+
+        return take
+
+    t = F.struct(F.split(s, r"\s+").alias("words"), F.lit(0).alias("at"))
+    for name, pattern in (("package", PACKAGE), ("section", SECTION), ("object", OBJECT), ("subsection", SUBSECTION)):
+        t = _let(t, step(name, pattern))
+    rest = lambda t: F.array_join(F.slice(t["words"], t["at"] + 1, F.size(t["words"])), " ")
+    return _let(t, lambda t: F.struct(*[t[n].alias(n) for n in ("package", "section", "object", "subsection")], rest(t).alias("unparsed")))
+
+
+def normalize_target(target: Column) -> Column:
+    """A parsed target with what was left over moved to where it belongs.
+
+    A section name at the front of the rest becomes the section, if that is
+    missing or the same; a single word left becomes a missing subsection, as
+    does the first one of a chapter box if the rest starts with a capital or is
+    one character; "in Chapter N" gives section and subsection; a rest that
+    repeats the subsection loses it.
+    """
+    words = lambda t: F.filter(F.split(t["unparsed"], r"\s+"), lambda w: w != "")
+    first = lambda t: F.coalesce(F.get(t["rest"], 0), F.lit(""))
+    tail = lambda t, n: F.slice(t["rest"], n + 1, F.size(t["rest"]))
+    some = lambda t: F.size(t["rest"]) > 0
+
+    def section(t):
+        own = some(t) & ((first(t).rlike(f"^(?:{SECTION})") & (t["section"] == "")) | (t["section"] == first(t)))
+        return t.withField("section", F.when(own, first(t)).otherwise(t["section"])).withField("rest", F.when(own, tail(t, 1)).otherwise(t["rest"]))
+
+    def single(t):
+        return t.withField("subsection", F.when((F.size(t["rest"]) == 1) & (t["subsection"] == ""), first(t)).otherwise(t["subsection"]))
+
+    def box(t):
+        capital = (F.length(t["unparsed"]) == 1) | t["unparsed"].rlike(r"^\p{Lu}")
+        own = some(t) & (t["object"] == "CCBox") & (t["subsection"] == "") & capital
+        return t.withField("subsection", F.when(own, first(t)).otherwise(t["subsection"])).withField("rest", F.when(own, F.slice(t["rest"], 1, F.size(t["rest"]) - 1)).otherwise(t["rest"]))
+
+    def chapter(t):
+        own = (F.size(t["rest"]) == 3) & (first(t) == "in") & (F.get(t["rest"], 1) == "Chapter") & (t["section"] == "")
+        number = F.concat(F.get(t["rest"], 2), F.lit("."), t["subsection"])
+        new = t.withField("section", F.when(own, "Chapter").otherwise(t["section"])).withField("subsection", F.when(own, number).otherwise(t["subsection"]))
+        return new.withField("rest", F.when(own, F.slice(t["rest"], 1, 0)).otherwise(t["rest"]))
+
+    def repeated(t):
+        return t.withField("rest", F.when(some(t) & (t["subsection"] == first(t)), tail(t, 1)).otherwise(t["rest"]))
+
+    t = _let(target, lambda t: t.withField("rest", words(t)))
+    for step in (section, single, box, chapter, repeated):
+        t = _let(t, step)
+    return _let(t, lambda t: F.struct(*[t[n].alias(n) for n in ("package", "section", "object", "subsection")], F.array_join(t["rest"], " ").alias("unparsed")))
+
+
+def target_path(target: Column) -> Column:
+    """package/section/object/subsection, without the missing ones: where the target belongs in a tree of folders."""
+    return F.array_join(F.filter(F.array(*[target[n] for n in ("package", "section", "object", "subsection")]), lambda x: x != ""), "/")
+
+
+def is_chapter(text: Column) -> Column:
+    """Whether a heading names a chapter or the technical summary."""
+    return text.startswith("Chapter") | text.startswith("Technical Summary")
 
 
 def chapter_file(report: Column, chapter: Column, reports: dict[str, str]) -> Column:

@@ -11,13 +11,21 @@ from pyspark.sql.types import StringType
 
 #: Tokens that are a substring of this run are no words.
 PUNCT = "!@#$%^&*+{}[]:;'|<>,.?/~`\"\\"
-#: Words that publications use everywhere.
-STOPWORDS_PUB = ("figure", "permission", "reuse", "see", "http", "https", "table", "author", "et", "al")
-STOPWORDS = tuple("""a about above after again against all am an and any are as at be because been before being below between both
-but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how
-i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s
-same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up
-very was we were what when where which while who whom why will with you your yours yourself yourselves""".split())
+#: Words of publications that say little, compared with the lower-cased word (so capitals never match).
+STOPWORDS_PUB = (
+    "figure", "permission", "reproduced", "copyright", "authors", "society", "university", "table", "manuscript", "published", "declare", "conflict",
+    "research", "diagram", "images", "version", "data", "Fig", "different", "time", "min", "experiments", "group", "analysis", "study", "activity",
+    "treated", "Extraction", "using", "mean", "work", "path", "samples", "performed", "analyzed", "support", "values", "approved", "significant",
+    "thank", "interest", "supported",
+)
+#: The usual English stop words, as the public lists have them.
+STOPWORDS = tuple("""i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself
+she she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are
+was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s t can will just don don't should
+should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma
+mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't""".split())
 
 
 def words(s: Column) -> Column:

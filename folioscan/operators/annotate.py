@@ -4,48 +4,82 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A class for texts that begin with the pattern; ``delete`` drops them; group ``id_group`` makes an id."""
+    """A class for texts that begin with the pattern; ``delete`` drops them.
+
+    id and title are (group of the pattern, what goes before it); None sets none.
+    """
 
     kind: str
     pattern: str
     delete: bool = False
-    id_group: int = 0
+    id: tuple[int, str] | None = None
+    title: tuple[int, str] | None = None
+    style: str = ""
 
 
+#: The rules of climate reports.
 RULES = (
-    Rule("section", r"^([A-Z]|\d+)\s+\S", id_group=1),
-    Rule("sub_section", r"^(([A-Z]|\d+)\.\d+)\s", id_group=1),
-    Rule("sub_sub_section", r"^(([A-Z]|\d+)\.\d+\.\d+)\s", id_group=1),
-    Rule("confidence", r"^\s*\(?(very high|high|medium|low|very low) confidence\)?"),
-    Rule("probability", r"^\s*\(?(virtually certain|very likely|likely|unlikely)\)?"),
-    Rule("start", r"^\s*\[?START\b"),
-    Rule("end", r"^\s*\[?END\b"),
-    Rule("targets", r"^[^{]*\{[^}]*\}"),
-    Rule("page", r"^\s*\d+\s*$"),
-    Rule("cruft", r"^\s*(Do Not Cite|Final Government Distribution|Approved Version)", delete=True),
+    Rule("section_title", r"Section\s+(\d+):\s+(.*)", id=(1, "section_"), title=(2, ""), style="{color : blue; background : pink;}"),
+    Rule("sub_section_title", r"\s*(\d+\.\d+)\s+(.*)", id=(1, "subsection_"), title=(2, ""), style="{color : green; background : yellow;}"),
+    Rule("sub_sub_section_title", r"^\s*(\d+\.\d+\.\d+)\s+(.*)", id=(1, "subsection_"), title=(2, ""), style="{color : black; background : #dddddd;}"),
+    Rule("confidence", r"^\s*\(?((very high|high|medium|low) confidence)\)?", title=(1, ""), style="{color : black; background : #dd88dd;}"),
+    Rule("probability", r"^\s*\(?(likely|very likely|extremely likely|virtually certain)\)?", title=(1, ""), style="{color : cyan; background : #dd8888;}"),
+    Rule("start", r"\s*\[?START\s*(FIGURE|TABLE)\s*(\d+\.\d+)\s*(HERE)?\]?", id=(2, "start_"), title=(1, "start_"), style="{color : green; background: pink}"),
+    Rule("end", r"\s*\[?END\s*(FIGURE|TABLE)\s*(\d+\.\d+)\s*(HERE)?\]?", id=(2, "end_"), title=(1, "end_"), style="{color : green; background: blue}"),
+    Rule("targets", r".*\{(.+)\}.*", title=(1, ""), style="{color : green; background: orange}"),
+    Rule("cruft", r"^.*(Subject to Copy Edit |Adopted Longer Report IPCC AR6 SYR).*$", delete=True),
+    Rule("page", r"^(p\.\d+)", title=(1, ""), style="{color : purple}"),
 )
 
 
+def _fits(text: Column, rule: Rule) -> Column:
+    return text.rlike(f"(?d)^(?:{rule.pattern})")
+
+
 def classify(text: Column, rules=RULES) -> Column:
     """The class of the last rule that fits, null if none does."""
-    return F.coalesce(*[F.when(text.rlike(r.pattern), F.lit(r.kind)) for r in reversed(rules)])
+    return F.coalesce(*[F.when(_fits(text, r), F.lit(r.kind)) for r in reversed(rules)])
+
+
+def _made(text: Column, rules, what: str) -> Column:
+    made = [(r, getattr(r, what)) for r in reversed(rules) if getattr(r, what)]
+    return F.coalesce(*[F.when(_fits(text, r), F.concat(F.lit(before), F.regexp_extract(text, f"(?d)^(?:{r.pattern})", group))) for r, (group, before) in made]) if made else F.lit(None).cast("string")
 
 
 def rule_id(text: Column, rules=RULES) -> Column:
-    """The id that the last fitting rule takes from the text."""
-    return F.coalesce(*[F.when(text.rlike(r.pattern), F.regexp_extract(text, r.pattern, r.id_group) if r.id_group else F.lit("")) for r in reversed(rules)])
+    """The id of the last fitting rule that makes one."""
+    return _made(text, rules, "id")
+
+
+def rule_title(text: Column, rules=RULES) -> Column:
+    """The title of the last fitting rule that makes one."""
+    return _made(text, rules, "title")
 
 
 def annotate(spans: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """Spans with class and id, those of deleting rules left out."""
-    out = spans.withColumn("class", classify(F.col(text), rules)).withColumn("rule_id", rule_id(F.col(text), rules))
-    gone = [r.kind for r in rules if r.delete]
-    return out.filter(F.col("class").isNull() | ~F.col("class").isin(*gone)) if gone else out
+    """Spans with class, rule_id and rule_title; those that a deleting rule fits are left out."""
+    gone = [_fits(F.col(text), r) for r in rules if r.delete]
+    for bad in gone:
+        spans = spans.filter(~F.coalesce(bad, F.lit(False)))
+    rules = [r for r in rules if not r.delete]
+    return spans.withColumn("class", classify(F.col(text), rules)).withColumn("rule_id", rule_id(F.col(text), rules)).withColumn("rule_title", rule_title(F.col(text), rules))
+
+
+def mark_facts(spans: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """The span before one of class confidence, of the same parent, becomes a fact."""
+    w = W.partitionBy(*keys).orderBy(order)
+    return spans.withColumn("class", F.when(F.coalesce(F.contains(F.lead("class").over(w), F.lit("confidence")), F.lit(False)), "fact").otherwise(F.col("class")))
+
+
+def mark_footnotes(spans: DataFrame, size: float = 6.0) -> DataFrame:
+    """Spans of a number in the footnotes' font size."""
+    return spans.withColumn("class", F.when((F.col("size") == size) & F.trim("text").try_cast("double").isNotNull(), "footnote").otherwise(F.col("class")))
 
 
 def without_unwanted(nodes: DataFrame, unwanted: list[tuple[str, str]]) -> DataFrame:

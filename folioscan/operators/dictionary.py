@@ -125,3 +125,38 @@ def markup_pattern(terms: list[str]) -> str:
 def markup(text: Column, terms: list[str]) -> Column:
     """Terms of a text as links that carry them."""
     return F.regexp_replace(text, f"({markup_pattern(terms)})", '<a title="$1">$1</a>')
+
+
+def summary(entries: DataFrame) -> DataFrame:
+    """entries, terms, ids, without_id: how many rows, distinct keys and distinct ids there are, and keys without an id."""
+    id_ = F.nullif(F.trim(F.coalesce("wikidata_id", F.lit(""))), F.lit(""))
+    rows = entries.filter(F.trim(F.coalesce("term", F.lit(""))) != "")
+    return rows.agg(F.count("*").alias("entries"), F.count_distinct(key(F.col("term"))).alias("terms"), F.count_distinct(id_).alias("ids"), F.count_distinct(F.when(id_.isNull(), key(F.col("term")))).alias("without_id"))
+
+
+def first_entry(entries: DataFrame, *by: str) -> DataFrame:
+    """The first entry in the order of the document, of each dictionary if ``by`` names it."""
+    least = F.min_by(F.struct(*[c for c in entries.columns if c not in by]), "ord").alias("e")
+    return entries.groupBy(*by).agg(least).filter("e IS NOT NULL").select(*by, "e.*")
+
+
+def sorted_names(entries: DataFrame) -> DataFrame:
+    """name, at: the distinct names in order."""
+    names = entries.select(F.coalesce("name", "term").alias("name")).distinct()
+    return names.withColumn("at", F.row_number().over(W.orderBy("name")))
+
+
+def minimal(spark, title: str = "minimal", version: str = "0.0.1", desc: str | None = None) -> DataFrame:
+    """The row that describes a dictionary; a version has three numbers."""
+    import re
+
+    if not re.fullmatch(r"\d+\.\d+\.\d+", version):
+        raise ValueError(f"bad version {version}")
+    return spark.createDataFrame([(title, version, desc)], "title string, version string, desc string")
+
+
+def with_fields(entries: DataFrame, **fields: Column) -> DataFrame:
+    """Entries with fields set (name, term, description, ...); a new term changes the key."""
+    for name, value in fields.items():
+        entries = entries.withColumn(name, value)
+    return entries.withColumn("term_key", key(F.col("term"))) if "term" in fields else entries

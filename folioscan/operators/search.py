@@ -2,7 +2,7 @@
 
 Dictionaries are tables (dictionary, term). Word matches are equi-joins on the
 lower-cased word, so Spark picks the strategy from the sizes; phrases are found
-by their first word and then checked, never by comparing all pairs.
+by the characters around their first space and then checked, never by comparing all pairs.
 """
 from __future__ import annotations
 
@@ -22,11 +22,18 @@ def sentence_rows(docs: DataFrame, *keys: str) -> DataFrame:
     return docs.select(*keys, F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "sentence"))
 
 
-def filter_words(words: DataFrame, least: int = 3, stop: DataFrame | None = None, numeric: bool = False) -> DataFrame:
-    """Words of some length, not numbers, not in the stop lists (given as a table, or the built-in lists)."""
+def filter_words(words: DataFrame, least: int = 3, stop: DataFrame | None = None, numeric: bool = False, alnum: bool = False, regex: str | None = None, keep: bool = True) -> DataFrame:
+    """Words of some length, not numbers, not in the stop lists (given as a table, or the built-in lists).
+
+    alnum: only words of letters and digits; regex: only words that begin with it, or with keep=False only others.
+    """
     kept = words.filter(F.length("word") >= least)
     if not numeric:
         kept = kept.filter(~T.is_number(F.col("word")))
+    if alnum:
+        kept = kept.filter(F.col("word").rlike(r"^[\p{L}\p{N}]+$"))
+    if regex is not None:
+        kept = kept.filter(T.prefix_match(F.col("word"), regex) if keep else ~T.prefix_match(F.col("word"), regex))
     low = F.lower("word")
     if stop is None:
         return kept.filter(~low.isin(*T.STOPWORDS, *T.STOPWORDS_PUB))
@@ -40,21 +47,28 @@ def match_words(words: DataFrame, terms: DataFrame) -> DataFrame:
     return low.join(terms.select("dictionary", F.lower("term").alias("match")).distinct(), "match").select(*keys, "dictionary", "match")
 
 
+def _anchor(phrase: Column) -> Column:
+    """Three characters on both sides of the first space, where no other space is among them; else one on each side; else ''."""
+    at = F.instr(phrase, " ")
+    wide, thin = F.substring(phrase, at - 3, F.lit(7)), F.substring(phrase, at - 1, F.lit(3))
+    return F.when((at > 3) & wide.rlike(r"^\S{3} \S{3}$"), wide).when((at > 1) & thin.rlike(r"^\S \S$"), thin).otherwise("")
+
+
 def match_phrases(sentences: DataFrame, terms: DataFrame) -> DataFrame:
     """A row for each (term, sentence) pair where the lower-cased sentence contains the term.
 
-    Terms are found through a gram of their first three characters, which the
-    sentence must hold, then checked by containment; shorter terms by their
-    first character.
+    A term is looked up by its anchor, the characters around its first space. A
+    sentence has at most two anchors for each of its spaces, so rows grow with
+    words; containment decides. Terms without an anchor meet every sentence.
     """
     keys = [c for c in sentences.columns if c != "sentence"]
     own = terms.select("dictionary", F.lower("term").alias("match")).filter("match <> ''").distinct()
-    own = own.withColumn("gram", F.when(F.length("match") >= 3, F.substring("match", 1, 3)).otherwise(F.substring("match", 1, 1)))
+    own = own.withColumn("anchor", _anchor(F.col("match")))
     low = sentences.select(*keys, F.lower("sentence").alias("low"))
-    n = F.length("low")
-    three = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("low", i, F.lit(3)))
-    grams = low.withColumn("gram", F.explode(F.array_distinct(F.concat(three, F.filter(F.split("low", ""), lambda c: c != "")))))
-    return grams.join(own, "gram").filter(F.contains("low", F.col("match"))).select(*keys, "dictionary", "match")
+    around = lambda p: F.regexp_extract_all("low", F.lit(f"(?=({p}))"), F.lit(1))
+    anchors = F.array_distinct(F.concat(F.array(F.lit("")), around(r"\S{3} \S{3}"), around(r"\S \S")))
+    met = low.select(*keys, "low", F.explode(anchors).alias("anchor")).join(own, "anchor")
+    return met.filter(F.contains("low", F.col("match"))).select(*keys, "dictionary", "match")
 
 
 def match_pattern(words: DataFrame, kind: str, regex: str = "") -> DataFrame:
@@ -101,6 +115,33 @@ def enrich(hits: DataFrame, entries: DataFrame, lang: str | None = None, require
     return joined.withColumn("label", label)
 
 
+def snowball(docs: DataFrame, seed: DataFrame, rounds: int = 2, least: int = 3, key: str = "doc_id") -> DataFrame:
+    """term, round: the seed terms (round 0), then in each round the words of documents that have a known term.
+
+    A round counts the words of those documents, makes entries of the ones with
+    more than ``least`` hits that pass the word filter, and searches again with
+    them. ``docs`` has unique keys.
+    """
+    words = word_rows(docs, key)
+    known = seed.select(F.lower("term").alias("term")).distinct().withColumn("round", F.lit(0))
+    for r in range(1, rounds + 1):
+        found = words.join(known.select(F.col("term").alias("low_")), F.lower("word") == F.col("low_"), "left_semi").select(key).distinct()
+        counted = filter_words(words.join(found, key, "left_semi")).groupBy(F.lower("word").alias("term")).agg(F.count("*").alias("n"))
+        fresh = counted.filter(F.col("n") > least).join(known, "term", "left_anti").select("term", F.lit(r).alias("round"))
+        known = known.unionByName(fresh)
+    return known
+
+
+def annotation_counts(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """match, n, ids: how often each surface form was marked and the ids its entries have; hits without an entry are left out.
+
+    hits: match; entries: term, wikidata_id. Hits are counted before the join, so a frequent form is one row.
+    """
+    per = hits.groupBy("match").agg(F.count("*").alias("n"))
+    ids = entries.groupBy(F.lower("term").alias("low_")).agg(F.array_sort(F.collect_set("wikidata_id")).alias("ids"))
+    return per.join(ids, F.lower("match") == F.col("low_")).select("match", "n", "ids")
+
+
 def keep_hits_in_dictionary(hits: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.join(terms.select(F.lower("term").alias("key_")).distinct(), F.lower("match") == F.col("key_"), "left_semi")
 

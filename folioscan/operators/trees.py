@@ -89,7 +89,7 @@ def body_spans(spans: DataFrame, tops: DataFrame, key: str, header: float, foote
 def nest(divs: pd.DataFrame) -> pd.DataFrame:
     """The stack machine of one document: rows in order, with class and text.
 
-    section, sub_section and sub_sub_section open levels 1 to 3 under the
+    section, sub_section and sub_sub_section (or these with _title) open levels 1 to 3 under the
     level above (not without one; deeper levels stay open), start marks push
     a float, end marks pop it; anything else goes under what is open.
     """
@@ -97,7 +97,7 @@ def nest(divs: pd.DataFrame) -> pd.DataFrame:
     parents: dict[int, int] = {0: -1}
     current, floats, out = -1, [], []
     for r in divs.sort_values("ord").to_dict("records"):
-        level = levels.get(r["class"])
+        level = levels.get((r["class"] or "").removesuffix("_title"))
         if level and level - 1 in parents:
             out.append((r["ord"], parents[level - 1], level, len(floats)))
             parents[level] = current = r["ord"]
@@ -135,8 +135,9 @@ def delete_nodes(nodes: DataFrame, key: str, bad: Column, keep_text: bool = True
     """Nodes without the bad elements; their own texts stay, or with keep_text=False go with all below them."""
     if keep_text:
         return nodes.filter(~((F.col("kind") == "elem") & F.coalesce(bad, F.lit(False))))
-    gone = nodes.filter((F.col("kind") == "elem") & bad).select(F.col(key).alias("key_"), F.col("ord").alias("from_"), F.col("last_desc").alias("to_"))
-    return nodes.join(gone, (F.col(key) == F.col("key_")) & F.col("ord").between(F.col("from_"), F.col("to_")), "left_anti")
+    gone = nodes.filter((F.col("kind") == "elem") & F.coalesce(bad, F.lit(False))).select(key, F.col("ord").alias("at"))
+    below = nodes.select(key, "ord", F.explode(F.array_append("above", F.col("ord"))).alias("at")).join(gone, [key, "at"], "left_semi").select(key, "ord").distinct()
+    return nodes.join(below, [key, "ord"], "left_anti")
 
 
 def paragraphs_of_page(spans: DataFrame, key: str, gap: float, order: str = "ord") -> DataFrame:
@@ -176,8 +177,9 @@ def neighbours(nodes: DataFrame, key: str) -> DataFrame:
 
 
 def unique_prefix(names: DataFrame, name: str, prefix: str) -> DataFrame:
-    """The one name that begins with the prefix; nothing if several do."""
-    return names.filter(F.startswith(name, F.lit(prefix))).withColumn("n_", F.count("*").over(W.partitionBy(F.lit(1)))).filter("n_ = 1").drop("n_") if prefix else names.limit(0)
+    """The one name that begins with the prefix, counted in partial sums; nothing if several do."""
+    found = names.filter(F.startswith(name, F.lit(prefix))) if prefix else names.limit(0)
+    return found.agg(F.min(name).alias(name), F.count("*").alias("n_")).filter("n_ = 1").select(name)
 
 
 def latest(store: DataFrame, key: str = "path", version: str = "version") -> DataFrame:
@@ -243,3 +245,91 @@ def tidy(spans: DataFrame, key: str, rules) -> DataFrame:
 
     marked = A.annotate(merge_continued(spans, key), "text", rules)
     return marked.join(nested(marked.withColumn("class", F.coalesce("class", F.lit(""))), key), [key, "ord"])
+
+
+def in_range(number: Column, low: float, high: float) -> Column:
+    """Whether a number lies in a closed range, whose lower end comes first and is not 0."""
+    if low > high or not low:
+        raise ValueError("a range needs a lower end that is not 0 and an upper one not below it")
+    return number.between(low, high)
+
+
+def run_path_rule(nodes: DataFrame, key: str, path: str, html_class: str | None = None, delete: bool = False) -> DataFrame:
+    """Nodes with the class set on all elements that a path selects, or with ``delete`` without each document's first one and what is below it."""
+    from ..sources.markup import select_path
+
+    found = select_path(nodes, key, path).select(key, "ord")
+    if delete:
+        first = found.groupBy(key).agg(F.min("ord").alias("first_"))
+        return delete_nodes(nodes.join(first, key, "left"), key, F.col("ord") == F.col("first_"), keep_text=False).drop("first_")
+    marked = nodes.join(found.withColumn("hit_", F.lit(True)), [key, "ord"], "left")
+    put = F.map_concat(F.map_filter("attrs", lambda k, _: k != "class"), F.create_map(F.lit("class"), F.lit(html_class)))
+    return marked.withColumn("attrs", F.when(F.col("hit_"), put).otherwise(F.col("attrs"))).select(*nodes.columns)
+
+
+def decimal_sections(nodes: DataFrame, key: str, path: str, pattern: str = r"\d+(\.\d+)+") -> DataFrame:
+    """key, ord, number, text: elements of a path whose own text begins with a dotted number."""
+    from ..sources.markup import select_path
+
+    own = nodes.filter("kind = 'text'").groupBy(key, F.col("parent").alias("ord")).agg(F.min_by("text", "sib").alias("text"))
+    found = select_path(nodes, key, path).select(key, "ord").join(own, [key, "ord"])
+    number = F.regexp_extract("text", rf"^\s*({pattern})\s", 1)
+    return found.select(key, "ord", number.alias("number"), "text").filter("number <> ''")
+
+
+def tidy_nodes(nodes: DataFrame, key: str, left: float = 49.0, font: float = 30.0, names=("position", "border", "writing-mode", "width", "left", "height"), unwanted: tuple = ()) -> DataFrame:
+    """A node table tidied: breaks taken out, line numbers at the left edge and large fonts dropped with what is below them, then
+    empty spans and divs; style names removed, line feeds in texts made spaces, elements without an id numbered.
+
+    left: line numbers are numbers in an element that starts left of it; unwanted: paths of elements to drop as well.
+    """
+    from ..sources.markup import empty_elements, select_path
+
+    css = S.css_map(F.coalesce(F.col("attrs")["style"], F.lit("")))
+    value = lambda n: S.px(F.try_element_at(css, F.lit(n)))
+    out = nodes.filter("NOT (kind = 'elem' AND tag = 'br')")
+    own = out.filter("kind = 'text'").groupBy(key, F.col("parent").alias("ord")).agg(F.min_by("text", "sib").alias("own_"))
+    flagged = out.join(own, [key, "ord"], "left")
+    bad = ((value("left") < left) & F.col("own_").rlike(r"^\s*\d+\s*$")) | (value("font-size") > font)
+    out = delete_nodes(flagged, key, bad, keep_text=False).drop("own_")
+    for path in unwanted:
+        gone = select_path(out, key, path).select(key, "ord").withColumn("gone_", F.lit(True))
+        out = delete_nodes(out.join(gone, [key, "ord"], "left"), key, F.col("gone_"), keep_text=False).drop("gone_")
+    empty = empty_elements(out, key).filter(F.col("tag").isin("span", "div")).select(key, "ord")
+    out = out.join(empty, [key, "ord"], "left_anti")
+    style = F.array_join(F.transform(F.filter(S.css_items(F.col("attrs")["style"]), lambda i: ~F.trim(F.split_part(i, F.lit(":"), F.lit(1))).isin(*names)), lambda i: F.concat(i, F.lit(";"))), " ")
+    other = F.map_filter("attrs", lambda k, _: k != "style")
+    attrs = F.when(F.coalesce(style, F.lit("")) != "", F.map_concat(other, F.create_map(F.lit("style"), style))).otherwise(other)
+    attrs = F.when((F.col("kind") == "elem") & F.col("attrs")["id"].isNull(), F.map_concat(attrs, F.create_map(F.lit("id"), F.concat(F.lit("id"), F.col("ord").cast("string"))))).otherwise(attrs)
+    return out.withColumn("attrs", attrs).withColumn("text", F.regexp_replace("text", r"\n", " "))
+
+
+def repeated_groups(df: DataFrame, keys: list[str], text: str, group: str, split: str) -> DataFrame:
+    """value, n: how often each part of the groups of a text comes, in texts that have more than one group."""
+    found = df.select(*keys, F.regexp_extract_all(F.col(text), F.lit(group), F.lit(1)).alias("g")).filter(F.size("g") > 1)
+    parts = found.select(F.explode("g").alias("g")).select(F.explode(F.split("g", split)).alias("value")).select(F.trim("value").alias("value")).filter("value <> ''")
+    return parts.groupBy("value").agg(F.count("*").alias("n"))
+
+
+def edges_in_box(edges: DataFrame, x0: float, x1: float, y0: float, y1: float, least: float = 2.0) -> DataFrame:
+    """Edges at least so wide and high with an end in the box, its sides included: ax, ay, bx, by."""
+    big = (F.abs(F.col("ax") - F.col("bx")) >= least) & (F.abs(F.col("ay") - F.col("by")) >= least)
+    end = lambda p: F.col(f"{p}x").between(x0, x1) & F.col(f"{p}y").between(y0, y1)
+    return edges.filter(big & (end("a") | end("b")))
+
+
+def sorted_spans(spans: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """Spans with ``at``, their place in their page from 1: by y, then x, then as they came."""
+    return spans.withColumn("at", F.row_number().over(W.partitionBy(key).orderBy("y", "x", order)))
+
+
+def columns_of(names: list[str], kind: str = "string") -> str:
+    """A schema of named columns; blank names, names with spaces and repeated ones are errors."""
+    if not names or not isinstance(names, list):
+        raise ValueError("give a list of names")
+    for i, name in enumerate(names):
+        if not name.strip() or " " in name:
+            raise ValueError(f"no name: {name!r}")
+        if name in names[:i]:
+            raise ValueError(f"{name} comes twice")
+    return ", ".join(f"`{name}` {kind}" for name in names)

@@ -91,12 +91,6 @@ def dict_tools_with_zero(spark, d):
     return X.with_empty_tools(X.count_matches(X.match_words(words(spark, d), tools), "dictionary"), tools)
 
 
-@query(f"SELECT lower(word) AS match, count(*) AS n FROM {_WORDS} WHERE length(word) >= 3 AND NOT regexp_full_match(word, '[0-9]+') AND lower(word) NOT IN ({_STOP}) GROUP BY 1 HAVING count(*) >= 20")
-def word_frequencies_min_hits(spark, d):
-    kept = X.filter_words(words(spark, d)).withColumn("match", F.lower("word"))
-    return X.count_matches(kept, least=20)
-
-
 @query(f"SELECT lang, match, n, rank FROM (SELECT lang, word AS match, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS rank FROM {_WORDS} GROUP BY lang, word) WHERE rank <= 5")
 def top_terms_per_language(spark, d):
     return X.top(X.count_matches(words(spark, d, "lang").withColumnRenamed("word", "match"), "lang"), 5, "n", "lang")
@@ -154,12 +148,6 @@ def page_range_filter(spark, d):
     return table(spark, d, "conversations").filter(T.in_ranges(F.col("turn"), [(1, 3), (5, 9)])).select("conv_id", "turn")
 
 
-@query("SELECT match, n FROM (SELECT lower(word) AS match, count(*) AS n FROM " + _WORDS + f" WHERE lang = 'en' AND length(word) >= 3 AND NOT regexp_full_match(word, '[0-9]+') AND lower(word) NOT IN ({_STOP}) GROUP BY 1) WHERE n >= 2 ORDER BY n DESC, match LIMIT 25")
-def snowball_terms(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'")
-    return X.top(X.count_matches(X.filter_words(X.word_rows(docs)).withColumn("match", F.lower("word")), least=2), 25)
-
-
 @query(f"SELECT doc_id, pos, dictionary, match, before, after FROM (SELECT doc_id, pos, word, lag(word) OVER w AS before, lead(word) OVER w AS after FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents) WHERE NOT contains('{_PUNCT}', word)) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) JOIN (SELECT dictionary, term AS match FROM {_TERMS_SQL} WHERE dictionary IN ('es', 'de')) ON lower(word) = match")
 def concordance_lag_lead(spark, d):
     return X.concordance(table(spark, d, "documents"), terms(spark).filter("dictionary IN ('es', 'de')"), "doc_id")
@@ -279,13 +267,6 @@ def number_predicates(spark, d):
     return v.select("i", "s", T.is_int(F.col("s")).alias("is_int"), T.is_float(F.col("s")).alias("is_float"))
 
 
-@query("SELECT p_name, rank FROM (SELECT DISTINCT p_name, dense_rank() OVER (ORDER BY list_transform(regexp_extract_all(lower(p_name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END).array_to_string(''))::BIGINT AS rank FROM part) WHERE rank <= 20")
-def natural_sort(spark, d):
-    names = table(spark, d, "part").select("p_name").distinct().withColumn("k", T.natural_key(F.col("p_name")))
-    first = names.select("k").distinct().orderBy("k").limit(20)
-    return names.join(first, "k").withColumn("rank", F.dense_rank().over(W.orderBy("k")).cast("long")).select("p_name", "rank")
-
-
 @query("SELECT s, lo::BIGINT AS lo, hi::BIGINT AS hi FROM (VALUES ('_2', 1, 3), ('4_5', 4, 6), ('8', 8, 9), ('16_', 16, 2147483647)) t(s, lo, hi)")
 def page_range_parse(spark, d):
     v = rows(spark, "s string", ("_2",), ("4_5",), ("8",), ("16_",)).withColumn("r", T.page_ranges(F.col("s")))
@@ -317,17 +298,6 @@ def hrefs_by_suffix(spark, d):
     return refs.select(F.explode(F.array_compact(kinds)).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("n"))
 
 
-@query()
-def html_nodes(spark, d):
-    nodes = M.html_nodes(table(spark, d, "pages"))
-    return nodes.groupBy("page_id", "kind", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
-
-
-@query()
-def text_content(spark, d):
-    return M.text_content(M.html_nodes(table(spark, d, "pages")), "page_id", "p")
-
-
 @query("""WITH u AS (SELECT page_id AS t_id, '/' || list_extract(string_split(split_part(split_part(url, '?', 1), '#', 1), '/'), -1) AS t_path, url FROM pages), a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS link FROM pages) SELECT a.page_id, count(*) AS links, count(t.t_id) AS resolved FROM a LEFT JOIN (SELECT t_path, min(t_id) AS t_id FROM u GROUP BY 1) t ON a.link = t.t_path GROUP BY a.page_id""")
 def link_resolution(spark, d):
     pages = table(spark, d, "pages")
@@ -362,13 +332,6 @@ def asof_page_top(spark, d):
     return I.asof(e.filter("event_type <> 'purchase'").select("user_id", "ts", "event_id"), tops, "user_id", "ts", "top").select("event_id", "top")
 
 
-@query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id rows between unbounded preceding and current row) AS section FROM events")
-def section_forward_fill(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
-    return table(spark, d, "events").select("user_id", "event_id", last.alias("section"))
-
-
 _RUNS = f"(SELECT *, sum(CASE WHEN event_type IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id {_ISLAND}) AS run FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events))"
 
 
@@ -394,12 +357,6 @@ def paragraph_ids(spark, d):
     return I.paragraph_ids(table(spark, d, "conversations"), ["conv_id"], "turn", F.concat(F.lit("C"), F.col("conv_id").cast("string"))).select("conv_id", "turn", "paragraph_id")
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
-def concat_str(spark, d):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(ordered, "\n").alias("content"))
-
-
 @query(f"SELECT user_id, span::BIGINT AS span, string_agg(left(event_type, 1), '' ORDER BY event_id) AS text, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR event_type <> p OR abs(value - v) > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id {_ISLAND}) AS span FROM (SELECT *, lag(event_type) OVER w AS p, lag(value) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))) GROUP BY user_id, span")
 def char_runs_to_spans(spark, d):
     e = table(spark, d, "events").withColumn("text", F.substring("event_type", 1, 1))
@@ -434,14 +391,6 @@ def float_boundaries(spark, d):
     return I.float_extents(marks, ["doc"], "ord")
 
 
-@query("SELECT conv_id, event_id, 1 AS ok FROM (SELECT 0 AS conv_id, 0 AS event_id) WHERE false")
-def sentence_order_violations(spark, d):
-    """Turns of a conversation that are not numbered without gaps, of those that are: none."""
-    c = table(spark, d, "conversations")
-    at = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) + F.min("turn").over(W.partitionBy("conv_id")) - 1
-    return c.withColumn("at", at).filter(F.col("turn") != F.col("at")).select(F.col("conv_id"), F.col("turn").alias("event_id"), F.lit(1).alias("ok"))
-
-
 # --- style, geometry --------------------------------------------------------
 
 _STYLES = [(1, "font-size:8 px; left: 20px; color: red"), (2, "left: 60px"), (3, "font-size: 31px; bottom: 10px"), (4, "font-size:8 px border: solid 1 px;"), (5, "top: x; ; ")]
@@ -528,51 +477,14 @@ def geometry_angles(spark, d):
 _BRACES = "by ±0.2°C. {WGI SPM A.1, WGI SPM A.1.2, WGI SPM A.1.3, WGI SPM A.2.2, WGI Figure SPM.2; SRCCL TS.2} "
 
 
-@query("SELECT * FROM (VALUES ('WGI', 'SPM A.1', ''), ('WGI', 'SPM A.1.2', ''), ('WGI', 'SPM A.1.3', ''), ('WGI', 'SPM A.2.2', ''), ('WGI', '', 'Figure SPM.2'), ('SRCCL', 'TS.2', '')) t(package, section, object)")
-def brace_targets(spark, d):
-    v = rows(spark, "s string", (_BRACES,)).select(F.explode(R.targets(R.last_braces(F.col("s")))).alias("t"))
-    return v.select(R.parse_target(F.col("t")).alias("p")).select("p.package", "p.section", "p.object")
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'a'), (1, 0, 'b'), (1, 1, 'c')) t(i, grp, part)")
-def brace_groups_3level(spark, d):
-    v = rows(spark, "i int, s string", (1, "x {a; b} y {c} z"), (2, "none"))
-    return v.select("i", F.posexplode(R.brace_groups(F.col("s"))).alias("grp", "g")).select("i", "grp", F.explode(R.references(F.col("g"))).alias("part"))
-
-
 _BIB = [(1, "as shown (de Coninck et al. 2018; IPCC 2019a) and"), (2, "(d'Arcy & other stuff in 2008)"), (3, "(and other stuff in 2008)"), (4, "no ref (Bindoff et al. 2019; de Coninck et al. 2018)")]
 
 
-@query("SELECT * FROM (VALUES (1, 'de Coninck', ' et al. ', '2018'), (1, 'IPCC', ' ', '2019a'), (2, 'd''Arcy', ' & other stuff in ', '2008'), (4, 'Bindoff', ' et al. ', '2019'), (4, 'de Coninck', ' et al. ', '2018')) t(i, first, others, date)")
-def biblio_refs(spark, d):
-    v = rows(spark, "i int, s string", *_BIB).select("i", F.explode(R.brackets_with_year(F.col("s"))).alias("b"))
-    refs = v.select("i", F.explode(R.references(F.col("b"))).alias("r")).withColumn("p", R.biblioref(F.col("r"))).filter("p IS NOT NULL")
-    return refs.select("i", "p.*")
-
-
-@query("SELECT * FROM (VALUES ('de Coninck', 2::BIGINT), ('IPCC', 1), ('d''Arcy', 1), ('Bindoff', 1)) t(first, n)")
-def author_counts(spark, d):
-    return biblio_refs(spark, d).groupBy("first").agg(F.count("*").alias("n"))
-
-
-@query("SELECT * FROM (VALUES (1, 'https://doi.org/10.1/x'), (2, 'https://doi.org/10.2/y'), (3, NULL)) t(i, url)")
-def doi_rewrite(spark, d):
-    v = rows(spark, "i int, s string", (1, "A paper, doi:10.1/x. More"), (2, "B doi:https://doi.org/10.2/y."), (3, "none"))
-    return v.select("i", R.doi_url(F.col("s")).alias("url"))
-
-
 # --- annotation, dictionaries -----------------------------------------------
 
 _PASS = "CASE WHEN regexp_matches(line, '^\\s*\\d+\\s*$') THEN 'page' WHEN regexp_matches(line, '^[^{]*\\{[^}]*\\}') THEN 'targets' WHEN regexp_matches(line, '^(([A-Z]|\\d+)\\.\\d+)\\s') THEN 'sub_section' WHEN regexp_matches(line, '^([A-Z]|\\d+)\\s+\\S') THEN 'section' END"
 
 
-@query(f"SELECT class, count(*) AS n FROM (SELECT {_PASS} AS class FROM {_LINES}) GROUP BY class")
-def annotate_rules(spark, d):
-    rules = [r for r in A.RULES if r.kind in ("section", "sub_section", "targets", "page")]
-    lines_ = table(spark, d, "documents").select(F.explode(T.lines(F.col("text"))).alias("text"))
-    return A.annotate(lines_, "text", rules).groupBy("class").agg(F.count("*").alias("n"))
-
-
 @query("SELECT doc_id, md5(regexp_replace(text, '(License|the|der|la)', '<a title=\"\\1\">\\1</a>', 'g')) AS h FROM documents")
 def dictionary_markup(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(D.markup(F.col("text"), ["the", "der", "la", "License"])).alias("h"))
@@ -686,12 +598,6 @@ def validation_violations(spark, d):
     return D.violations(v)
 
 
-@query()
-def sparql_enrich(spark, d):
-    results = table(spark, d, "nation").select(F.concat(F.lit("http://e.org/Q"), (F.col("n_nationkey") % 7).cast("string")).alias("uri"), F.col("n_name").alias("value"))
-    return D.sparql_enrich(entries(spark, d), results, "names")
-
-
 # --- plans ------------------------------------------------------------------
 
 
@@ -734,12 +640,6 @@ def merge_span_lines(spark, d):
 # --- trees, spans, further scalars ------------------------------------------
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'fig', ['1', '3']), (1, 0, 'unmatched', ['other']), (1, 1, 'tab', ['2'])) t(i, grp, name, \"values\")")
-def grouped_values(spark, d):
-    v = rows(spark, "i int, s string", (1, "see {fig 1; other; fig 3} and {tab 2}"), (2, "none"))
-    return TR.group_values(v, ["i"], "s", r"\{([^{}]*)\}", ";", r"(fig|tab) (\d+)")
-
-
 @query("SELECT * FROM (VALUES (1, 'A.1.2', 'lead  rest'), (2, NULL, NULL)) t(i, body, rest)")
 def extract_substring(spark, d):
     v = rows(spark, "i int, s string", (1, "lead A.1.2 rest"), (2, "none")).withColumn("x", TR.extract(F.col("s"), r"(.*?)([A-Z](?:\.\d+)+)(.*)"))
@@ -770,24 +670,12 @@ def section_stack(spark, d):
     return TR.nested(v, "doc")
 
 
-@query("SELECT page_id, ord, next_ord FROM (SELECT 0 AS page_id, 0 AS ord, 0 AS next_ord) WHERE false")
-def document_order_gaps(spark, d):
-    """Elements whose next one in document order does not come later: none."""
-    return TR.neighbours(M.html_nodes(table(spark, d, "pages")), "page_id").filter("next_ord <= ord").select("page_id", "ord", "next_ord")
-
-
 @query("SELECT c_mktsegment AS term, 'Q' || min(c_custkey) AS qid FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1")
 def best_entity(spark, d):
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("term"), F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("qid"), F.col("c_name").alias("label"), F.col("c_custkey").alias("rank"), F.when(F.col("c_custkey") % 2 == 0, "en").otherwise("de").alias("lang"))
     return TR.best_candidate(c, "en").select("term", "qid")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_type), 'steel') AND regexp_matches(p_name, '^(?:[a-m])') AND p_brand = 'Brand#11'")
-def json_filter(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("description"), F.col("p_name").alias("label"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("properties"))
-    return TR.json_filter(p, '{"filter": {"description": "steel", "regex": "[a-m]", "property_value": {"brand": "Brand#11"}}}').select("p_partkey")
-
-
 @query("SELECT l_linenumber AS size, l_quantity::INT AS bytes, min(l_orderkey) AS page, count(*) AS n FROM lineitem GROUP BY ALL")
 def image_dedupe(spark, d):
     v = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("size"), F.col("l_quantity").cast("int").alias("bytes"), F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"))
@@ -847,12 +735,6 @@ def property_dictionary(spark, d):
     return TR.property_maps(v).select("entity", "pid", "value", F.size("statements").alias("titles"))
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 30 AND l_linenumber = 1 GROUP BY 1")
-def styled_nodes(spark, d):
-    nodes = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.create_map(F.lit("style"), F.concat(F.lit("left: "), F.col("l_quantity").cast("string"), F.lit("px"))).alias("attrs"))
-    return TR.drop_styled(nodes, ["left < 30.5"]).groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
 @query("SELECT * FROM (VALUES (1, 'section', 'A'), (2, 'subsection', 'A.1')) t(i, kind, id)")
 def extract_section_ids(spark, d):
     v = rows(spark, "i int, a string, b string", (1, "Section A: x", "A.1 y"), (2, "text", "A.1 y"), (3, "text", "none"))

@@ -102,11 +102,11 @@ def read_numbered_sentences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(T.read_numbered(F.col("value")).alias("s")).select("s.n", "s.text")
 
 
-def out_of_order(sentences: DataFrame) -> DataFrame:
-    """Sentences without number, or not numbered 0, 1, 2, ... in their order."""
+def out_of_order(sentences: DataFrame, key: str) -> DataFrame:
+    """Sentences without number, or not numbered 0, 1, 2, ... within their document."""
     from pyspark.sql import Window as W
 
-    at = F.row_number().over(W.orderBy(F.col("n").asc_nulls_first())) - 1  # one document's lines
+    at = F.row_number().over(W.partitionBy(key).orderBy(F.col("n").asc_nulls_first())) - 1
     return sentences.withColumn("expected", at).filter(F.col("n").isNull() | (F.col("n") != F.col("expected")))
 
 

@@ -68,7 +68,14 @@ def test_boxes(spark):
 def test_references(spark):
     r = one(spark, R.biblioref, "de Coninck et al. 2018", "nothing")
     assert tuple(r[0]) == ("de Coninck", " et al. ", "2018") and r[1] is None
-    assert one(spark, R.targets, "WGI SPM A.1, WGI SPM A.1.2; SRCCL TS.2")[0] == ["WGI SPM A.1", "WGI SPM A.1.2", "SRCCL TS.2"]
+    assert one(spark, R.targets, "WGI SPM A.1, WGI SPM A.1.2; SRCCL TS.2")[0] == ["WGI SPM A.1", "WGI SPM A.1.2", "SRCCL TS 2"]
+    text = " by \u00b10.2\u00b0C. {WGI SPM A.1, WGI SPM A.1.2, WGI SPM A.1.3, WGI SPM A.2.2, WGI Figure SPM.2; SRCCL TS.2} "
+    parsed = one(spark, lambda s: F.transform(R.targets(R.last_braces(s)), R.parse_target), text)[0]
+    assert [tuple(p) for p in parsed][:1] == [("WGI", "SPM", "", "A.1", "")] and [tuple(p) for p in parsed][4:] == [("WGI", "", "Figure", "", "SPM 2"), ("SRCCL", "TS", "", "2", "")]
+    assert tuple(one(spark, lambda s: R.normalize_target(R.parse_target(s)), "WGI Figure SPM 2")[0]) == ("WGI", "SPM", "Figure", "2", "")
+    assert tuple(one(spark, lambda s: R.normalize_target(R.parse_target(R.clean_target(s))), "WGII Cross-Chapter Box CLIMATE in Chapter 5")[0]) == ("WGII", "", "CCBox", "CLIMATE", "in Chapter")
+    assert tuple(one(spark, lambda s: R.normalize_target(R.parse_target(s)), "WGII 3.1 in Chapter 5")[0]) == ("WGII", "Chapter", "", "5.3.1", "")
+    assert one(spark, lambda s: R.target_path(R.normalize_target(R.parse_target(s))), "WGII 3.1 in Chapter 5", "SROCC SPM B") == ["WGII/Chapter/5.3.1", "SROCC/SPM/B"]
     assert one(spark, lambda s: R.url_of(F.lit("a"), s), "b", None) == ["a/b", None]
 
 
@@ -116,8 +123,10 @@ def test_scripts_and_lines(spark):
 
 
 def test_rules(spark):
-    v = spark.createDataFrame([("A.1 Title",), ("12",), ("Do Not Cite this",), ("plain",)], "text string")
-    assert sorted((r.text, r["class"]) for r in A.annotate(v).collect()) == [("12", "page"), ("A.1 Title", "sub_section"), ("plain", None)]
+    v = spark.createDataFrame([("1.2 Title",), ("p.12",), ("x Subject to Copy Edit y",), ("plain",), ("Section 3: Energy",), ("[START TABLE 2.1 HERE]",)], "text string")
+    assert sorted(tuple(r) for r in A.annotate(v).na.fill("").collect()) == [
+        ("1.2 Title", "sub_section_title", "subsection_1.2", "Title"), ("Section 3: Energy", "section_title", "section_3", "Energy"), ("[START TABLE 2.1 HERE]", "start", "start_2.1", "start_TABLE"), ("p.12", "page", "", "p.12"), ("plain", "", "", ""),
+    ]
 
 
 def test_dsl(spark):
@@ -135,3 +144,60 @@ def test_pipeline(spark):
     assert p.combine(" ").data.first().content == "A b. C."
     with pytest.raises(Exception, match="fails at"):
         p.check("contains(content, 'A')").data.collect()
+
+
+def test_configurations():
+    from folioscan.plans import pipeline as P
+
+    text = '{"resources": {"classes": {"a": 1}, "projects": {"p": 1}, "patterns": {}, "defaults": {"min_hits": 2}}, "demos": {"one": {"projects": ["p"], "min_hits": 3}, "two": {}}}'
+    assert P.read_config(text) == {"one": {"min_hits": 3, "projects": ["p"]}, "two": {"min_hits": 2}}
+    with pytest.raises(ValueError, match="unknown projects"):
+        P.read_config(text.replace('["p"]', '["q"]'))
+    have = P.flags(["a=1", "b = None"], {"c": "x"})
+    assert have == {"a": "1", "b": "None", "c": "x"} and [P.is_true(have, k) for k in "abcd"] == [True, False, True, False]
+    with pytest.raises(ValueError):
+        P.flags("novalue")
+    with pytest.raises(ValueError):
+        P.converter("pdf2txt")
+
+
+def test_registries(spark):
+    from folioscan.operators import trees as TR
+    from folioscan.sources import markup as M
+
+    assert spark.createDataFrame([], TR.columns_of(["id", "text"])).columns == ["id", "text"]
+    for bad in ([], ["a", " "], ["a b"], ["a", "a"]):
+        with pytest.raises(ValueError):
+            TR.columns_of(bad)
+    for bad in ("", "div", "//div[", "//div[@a=b]"):
+        with pytest.raises(ValueError):
+            M.parse_path(bad)
+    with pytest.raises(ValueError):
+        TR.in_range(F.lit(1), 3, 2)
+    assert tuple(D.minimal(spark).first()) == ("minimal", "0.0.1", None)
+    with pytest.raises(ValueError):
+        D.minimal(spark, version="1.0")
+
+
+def test_paths(spark):
+    from folioscan.operators import trees as TR
+    from folioscan.sources import markup as M
+
+    html = '<html><body><div class="a  b"><span>1</span><div><span id="s">2</span></div></div><span>3</span></body></html>'
+    nodes = M.html_nodes(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    texts = lambda path: [r.content for r in M.text_content(nodes, "page_id", "span").join(M.select_path(nodes, "page_id", path).select("ord"), "ord").orderBy("ord").collect()]
+    assert texts("//div//span") == ["1", "2"] and texts("//div/span") == ["1", "2"] and texts("/html/body/span") == ["3"]
+    assert texts("//div[contains(@class, 'b')]/span") == ["1"] and texts("//span[@id]") == ["2"] and texts("//span[@id='s']") == ["2"]
+    assert nodes.filter(M.attr_equals("class", "a b")).count() == 1 and nodes.filter(M.attr_has_word("class", "b")).count() == 1
+    assert TR.run_path_rule(nodes, "page_id", "//div", delete=True).filter("tag = 'span'").count() == 1
+
+
+def test_phrases_equal_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    text = lambda n: " ".join("".join(r.choice("abé") for _ in range(r.randint(1, 5))) for _ in range(n))
+    sentences = [text(12) + r.choice(["", "  x", "."]) for _ in range(200)]
+    terms = {t for t in ([text(2) for _ in range(60)] + [text(3) for _ in range(20)] + ["a  b", " a", "b ", "aab", "A B"]) if t}
+    got = X.match_phrases(spark.createDataFrame(list(enumerate(sentences)), "i int, sentence string"), spark.createDataFrame([("d", t) for t in terms], "dictionary string, term string"))
+    assert sorted((x.i, x["match"]) for x in got.collect()) == sorted((i, t) for i, s in enumerate(sentences) for t in {t.lower() for t in terms} if t in s.lower())

@@ -3,6 +3,7 @@ import pytest
 from harness import connect, difference
 
 from folioscan.plans import queries as Q
+from folioscan.plans import structure  # noqa: F401 - registers its queries
 
 SF = "/root/testdata/sf0.001"
 

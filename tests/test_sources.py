@@ -40,7 +40,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "s.txt").write_text("0: a b\n1: c: d\n3: e\n")
     rows = scan.read_numbered_sentences(spark, str(tmp_path / "s.txt"))
     assert [tuple(r) for r in rows.orderBy("n").collect()] == [(0, "a b"), (1, "c"), (3, "e")]
-    assert [r.n for r in scan.out_of_order(rows).collect()] == [3]
+    assert [r.n for r in scan.out_of_order(rows.withColumn("doc", F.lit("d")), "doc").collect()] == [3]
     (tmp_path / "c.csv").write_text("keyword/phrase,score\na b,1\n,2\n")
     assert [r.term for r in scan.read_csv_terms(spark, str(tmp_path / "c.csv"), "keyword/phrase").collect()] == ["a b"]
     (tmp_path / "a.ini").write_text(f"[x]\none = 1\nnext_ini = {tmp_path}/b.ini\n")
@@ -62,7 +62,9 @@ def test_html(spark):
 def test_sections(spark):
     xml = "<article><front><article-title>T</article-title></front><body><sec><title>Intro A</title><p>one</p><fig><label>1</label></fig></sec><disp-formula/></body></article>"
     rows = M.xml_sections(spark.createDataFrame([("d", xml), ("e", "<bad"), ("f", None)], "doc_id string, xml string")).orderBy("ord").collect()
-    assert [r.path for r in rows] == ["sections/0_front/0_article-title", "sections/1_body/0_intro_a/0_title", "sections/1_body/0_intro_a/1_p", "sections/1_body/0_intro_a/2_fig"]
+    assert [r.path for r in rows] == ["sections/0_front/0_article-title", "sections/1_body/0_intro_a/0_title", "sections/1_body/0_intro_a/1_p", "sections/1_body/0_intro_a/2_fig", "sections/1_body/1_disp-formula"]
+    with pytest.raises(Exception, match="well-formed"):
+        M.xml_sections(spark.createDataFrame([("e", "<bad")], "doc_id string, xml string"), strict=True).collect()
     fig = spark.createDataFrame([("<fig><label>1</label><caption><p>cap</p></caption></fig>",)], "xml string").select(M.figure(F.col("xml")).alias("f")).first().f
     assert tuple(fig) == ("1", "cap", "")
 
