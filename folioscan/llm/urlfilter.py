@@ -3,21 +3,25 @@
 Rules decide the urls they fit. Those urls train two character models, of
 accepted and of rejected urls: Markov models of variable order up to ORDER,
 interpolated by Witten-Bell smoothing from the empty context upwards. Other
-urls get the sum, over their characters, of the log-ratio of the two models at
-the longest context that training has seen, divided by their length. A fifth
-of the ruled urls is kept out of the counts; half way between the mean scores
-of its two classes is the threshold.
+urls get the difference of their log-likelihoods under the two models, divided
+by their length. A character that training has not seen after a context takes
+the next shorter context's probability times what either model leaves for such
+characters there (its escape mass).
+
+A fifth of the ruled urls is kept out of the counts. Over their scores a
+logistic curve is fitted, both classes with the same weight: a url is accepted
+where it is likelier so.
 
 Counts are taken over all ruled urls that are not kept out, and every counted
-n-gram stays in the model. The distinct n-grams of the urls to be scored are
-looked up in it, each order once; places get their log-ratios by the n-gram.
-The 2 ** BITS most frequent n-grams are broadcast, so none that many places
-have is shuffled; the others are joined by their hash.
+n-gram and context stays in the model. The distinct n-grams of the urls to be
+scored are looked up in it, each order once; places get their log-ratios by the
+n-gram. The 2 ** BITS most frequent n-grams are broadcast, so none that many
+places have is shuffled; the others are joined by their hash.
 
 Defined results: a null url has the verdict block, no rule, empty host and
-path, score null; an empty url scores 0; a url without ``://`` is scored as it
-is; repeated rows are judged each; without ruled urls of both classes every
-score is 0 and the threshold 0, so the rest is allowed.
+path, score null; an empty url is scored by its end alone; a url without
+``://`` is scored as it is; repeated rows are judged each; without ruled urls
+of both classes every score is 0 and p_accept 0.5, so the rest is allowed.
 """
 from __future__ import annotations
 
@@ -70,7 +74,8 @@ def with_grams(df: DataFrame, url: str, order: int) -> DataFrame:
 
 
 def train(ruled: DataFrame, order: int = ORDER) -> DataFrame:
-    """order, gram, ratio: log-ratio of each seen n-gram's last character after the rest.
+    """order, context, gram, ratio: the log-ratio of each seen n-gram's last character after the rest, and, where
+    context is true, of the escape masses after each seen context.
 
     ruled: url and accepted (boolean).
     """
@@ -91,7 +96,9 @@ def train(ruled: DataFrame, order: int = ORDER) -> DataFrame:
         level = own.select(F.col(f"g{k}").alias("gram"), p["acc"].alias("p_acc"), p["rej"].alias("p_rej"))
         level = written(level, f"order{k}")
         lower = level.select("gram", "p_acc", "p_rej")
-        out.append(level.select(F.lit(k).alias("order"), "gram", (F.log("p_acc") - F.log("p_rej")).alias("ratio")))
+        out.append(level.select(F.lit(k).alias("order"), F.lit(False).alias("context"), "gram", (F.log("p_acc") - F.log("p_rej")).alias("ratio")))
+        escape = {x: F.when(F.col(f"n_{x}") == 0, F.lit(0.0)).otherwise(F.log(F.col(f"t_{x}") / (F.col(f"n_{x}") + F.col(f"t_{x}")))) for x in base}
+        out.append(seen.select(F.lit(k).alias("order"), F.lit(True).alias("context"), F.col(f"c{k}").alias("gram"), (escape["acc"] - escape["rej"]).alias("ratio")))
     every = out[0]
     for level in out[1:]:
         every = every.unionByName(level)
@@ -99,20 +106,23 @@ def train(ruled: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def look_up(grams: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, n, ratio of each distinct n-gram of the highest order: the ratio of its longest seen end; 0, if none is.
+    """gram, n, ratio of each distinct n-gram of the highest order: the log-ratio of its last character after the rest.
 
-    grams: g0 to g<order> and n, one row for each g<order>. Each order's
-    distinct n-grams meet the model, then the next shorter one's result.
+    grams: g0 to g<order>, c0 to c<order> and n, one row for each g<order>. Each
+    order's distinct n-grams meet the model; where it has not seen one, the next
+    shorter one's result counts, and the escape of the context, if that was seen.
     """
     lower = None
     for k in range(order + 1):
         below = [F.first(f"g{k - 1}").alias("below")] if k else []
-        own = grams.groupBy(F.col(f"g{k}").alias("gram")).agg(F.sum("n").alias("n"), *below)
-        own = own.join(model.filter(F.col("order") == k).select("gram", F.col("ratio").alias("seen")), "gram", "left")
-        ratio = F.coalesce("seen", F.lit(0.0))
+        own = grams.groupBy(F.col(f"g{k}").alias("gram")).agg(F.sum("n").alias("n"), F.first(f"c{k}").alias("before"), *below)
+        at = model.filter(F.col("order") == k)
+        own = own.join(at.filter(~F.col("context")).select("gram", F.col("ratio").alias("seen")), "gram", "left")
+        own = own.join(at.filter("context").select(F.col("gram").alias("before"), F.col("ratio").alias("escape")), "before", "left")
         if k:
             own = own.join(lower, "below")
-            ratio = F.coalesce("seen", "lower")
+        shorter = F.col("lower") if k else F.lit(0.0)
+        ratio = F.coalesce("seen", F.coalesce("escape", F.lit(0.0)) + shorter)
         lower = own.select(F.col("gram").alias("below"), ratio.alias("lower"))
     return own.select("gram", "n", ratio.alias("ratio"))
 
@@ -123,7 +133,8 @@ def with_score(df: DataFrame, model: DataFrame, order: int = ORDER, bits: int =
     urls = written(df.withColumn(row, F.monotonically_increasing_id()), "urls")  # numbers that stay
     top = f"g{order}"
     places = with_grams(urls.filter(F.col("url").isNotNull()).select(F.col(row).alias("row"), "url"), "url", order)
-    grams = written(places.groupBy(*[f"g{k}" for k in range(order, -1, -1)]).agg(F.count("*").alias("n")), "places")
+    contexts = [F.first(f"c{k}").alias(f"c{k}") for k in range(order + 1)]
+    grams = written(places.groupBy(*[f"g{k}" for k in range(order, -1, -1)]).agg(F.count("*").alias("n"), *contexts), "places")
     found = written(look_up(grams, model, order), "found").withColumnRenamed("gram", top)
     hot = written(found.orderBy(F.desc("n"), top).limit(1 << bits).select(top, "ratio"), "hot")
     met = places.select("row", top).join(F.broadcast(hot), top, "left")
@@ -135,18 +146,53 @@ def with_score(df: DataFrame, model: DataFrame, order: int = ORDER, bits: int =
     return urls.join(sums, row, "left").select(*df.columns, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def calibrate(scored: DataFrame, steps: int = 60, bins: int = 400) -> tuple[float, float]:
+    """(slope, bias) of the logistic curve of accepted over score, both classes weighing the same; (0, 0) without both.
+
+    scored: score, accepted. Fitted on the counts and means of at most ``bins`` ranges of scores a class.
+    """
+    span = scored.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
+    if span["low"] is None:
+        return 0.0, 0.0
+    width = max(span["high"] - span["low"], 1e-9) / bins
+    cell = F.least(F.floor((F.col("score") - span["low"]) / width), F.lit(bins - 1))
+    found = scored.groupBy(cell.alias("cell"), "accepted").agg(F.count("*").alias("n"), F.avg("score").alias("x")).orderBy("cell", "accepted").collect()
+    size = {y: sum(r["n"] for r in found if r["accepted"] == y) for y in (True, False)}
+    if not size[True] or not size[False]:
+        return 0.0, 0.0
+    points = [(r["x"], 1.0 if r["accepted"] else 0.0, r["n"] / size[r["accepted"]] / 2) for r in found]
+    middle = sum(w * x for x, _, w in points)
+    scale = max(math.sqrt(sum(w * (x - middle) ** 2 for x, _, w in points)), 1e-9)
+    points = [((x - middle) / scale, y, w) for x, y, w in points]
+    a = b = 0.0
+    for _ in range(steps):  # Newton, with a small ridge on the slope, as classes may be apart altogether
+        ga, gb, haa, hab, hbb = 1e-3 * a, 0.0, 1e-3, 0.0, 1e-9
+        for x, y, w in points:
+            p = 0.5 * (1 + math.tanh(0.5 * (a * x + b)))
+            ga, gb, v = ga + w * (p - y) * x, gb + w * (p - y), w * max(p * (1 - p), 1e-6)
+            haa, hab, hbb = haa + v * x * x, hab + v * x, hbb + v
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        short = min(1.0, 2 / max(abs(da), abs(db), 1e-12))
+        a, b = a - short * da, b - short * db
+        if max(abs(da), abs(db)) < 1e-9:
+            break
+    return a / scale, b - a * middle / scale
+
+
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER, bits: int = BITS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of every row."""
+    """page_id, host, path, rule, verdict, score, p_accept of every row."""
     host, path = host_path(F.col("url"))
     urls = pages.select("page_id", "url").withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumn("rule", rule).withColumn("ruled", ruled)
     known = urls.filter(F.col("ruled").isNotNull()).select("url", (F.col("ruled") == "allow").alias("accepted"))
     apart = F.crc32(F.col("url").cast("binary")) % 5 == 0
-    model = written(train(known.filter(~apart), order), "urlmodel")
+    both = known.filter(~apart).groupBy("accepted").count().count() == 2
+    model = written(train(known.filter(~apart if both else F.lit(False)), order), "urlmodel")
     scored = written(with_score(urls, model, order, bits), "scored")
-    means = scored.filter(F.col("ruled").isNotNull() & apart).groupBy((F.col("ruled") == "allow").alias("accepted")).agg(F.avg("score").alias("m")).collect()
-    found = {r["accepted"]: r["m"] for r in means if r["m"] is not None and math.isfinite(r["m"])}
-    threshold = (found[True] + found[False]) / 2 if len(found) == 2 else 0.0
-    verdict = F.coalesce("ruled", F.when(F.col("url").isNotNull() & (F.col("score") >= threshold), "allow").otherwise("block"))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("url").isNotNull(), F.col("score")).alias("score"))
+    slope, bias = calibrate(scored.filter(F.col("ruled").isNotNull() & apart).select("score", (F.col("ruled") == "allow").alias("accepted")))
+    p = F.when(F.col("url").isNotNull(), 1 / (1 + F.exp(-(F.lit(slope) * F.col("score") + F.lit(bias)))))
+    verdict = F.coalesce("ruled", F.when(F.col("p_accept") >= 0.5, "allow").otherwise("block"))
+    scored = scored.withColumn("p_accept", p)
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("url").isNotNull(), F.col("score")).alias("score"), "p_accept")

@@ -307,16 +307,67 @@ def test_url_model_keeps_every_counted_gram(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     known = df.withColumn("accepted", F.col("page_id") % 2 == 1).filter("page_id < 300")
     model = urlfilter.train(known)
-    ratio = {(x.order, x.gram): x.ratio for x in model.collect()}
-    places = urlfilter.with_grams(df, "url", urlfilter.ORDER)
-    counted = {(k, x[f"g{k}"]) for x in places.filter("page_id < 300").collect() for k in range(5)}
-    assert counted == set(ratio)
-    want = defaultdict(list)
-    for x in places.collect():
-        want[x.page_id].append(next((v for k in range(4, -1, -1) if (v := ratio.get((k, x[f"g{k}"]))) is not None), 0.0))
+    places = urlfilter.with_grams(df, "url", urlfilter.ORDER).collect()
+    for context, letter in ((False, "g"), (True, "c")):
+        assert {(k, x[f"{letter}{k}"]) for x in places if x.page_id < 300 for k in range(5)} == {(x.order, x.gram) for x in model.filter(F.col("context") == context).collect()}
+    want = markov_scores([u for k, u in enumerate(urls) if k < 300 and k % 2], [u for k, u in enumerate(urls) if k < 300 and not k % 2], urls)
     for bits in (4, urlfilter.BITS):
         got = {x.page_id: x.score for x in urlfilter.with_score(df, model, bits=bits).collect()}
-        assert got == pytest.approx({i: np.mean(v) for i, v in want.items()})
+        assert got == pytest.approx(dict(enumerate(want)))
+
+
+def markov_scores(accepted, rejected, urls, order=4):
+    """Difference of log-likelihoods a character under two Witten-Bell models, by brute force."""
+    shown = lambda u: "\2" * order + re.sub(r"\d", "0", u.lower()) + "\3"
+
+    def model(texts):
+        counts = defaultdict(lambda: defaultdict(int))
+        for t in map(shown, texts):
+            for i in range(order, len(t)):
+                for k in range(order + 1):
+                    counts[t[i - k : i]][t[i]] += 1
+
+        def p(context, c):
+            base = p(context[1:], c) if context else 1 / urlfilter.SYMBOLS
+            seen = counts.get(context)
+            if not seen:
+                return base
+            n = sum(seen.values())
+            return (seen.get(c, 0) + len(seen) * base) / (n + len(seen))
+
+        return lambda context, c: p(context, c) if context or counts else 1 / urlfilter.SYMBOLS
+
+    a, b = model(accepted), model(rejected)
+    return [np.mean([np.log(a(t[i - order : i], t[i]) / b(t[i - order : i], t[i])) for i in range(order, len(t))]) for t in map(shown, urls)]
+
+
+def test_url_query_equals_brute_force(spark):
+    """Verdicts of the query on real urls: models of the ruled urls, the logistic curve on those kept out, by brute force."""
+    urls = [u for (u,) in duckdb.sql("SELECT DISTINCT url FROM '/root/testdata/sf0.01/pages.parquet' WHERE url IS NOT NULL").fetchall()]
+    urls += ["http://w.example.org/" + "very/long/" * 3000, "x", "http://www.example.com/fr/" + "9" * 50]
+    df = spark.createDataFrame(list(enumerate(urls + urls[:3])), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge(df).collect()}
+    assert len(got) == len(urls) + 3 and all(got[len(urls) + k].score == got[k].score for k in range(3))
+    rule = {k: r.verdict if r.rule else None for k, r in got.items()}
+    every = urls + urls[:3]
+    apart = [k for k, u in enumerate(every) if zlib.crc32(u.encode()) % 5 == 0]
+    inside = [k for k in range(len(every)) if k not in set(apart)]
+    scores = markov_scores([every[k] for k in inside if rule[k] == "allow"], [every[k] for k in inside if rule[k] == "block"], every)
+    assert [got[k].score for k in range(len(every))] == pytest.approx(scores)
+    slope, bias = curve(np.array([scores[k] for k in apart if rule[k]]), np.array([rule[k] == "allow" for k in apart if rule[k]]))
+    for k, r in got.items():
+        p = 1 / (1 + np.exp(-(slope * r.score + bias)))
+        assert r.p_accept == pytest.approx(p, abs=0.02)
+        assert r.rule or abs(p - 0.5) < 0.02 or r.verdict == ("allow" if p >= 0.5 else "block")
+
+
+def curve(x, y):
+    from folioscan.llm.models import fit_logistic
+
+    weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
+    z = (x - (weight * x).sum()) / (scale := np.sqrt((weight * (x - (weight * x).sum()) ** 2).sum()))
+    a, b = fit_logistic(z[:, None], y.astype(float), weight, ridge=1e-3)
+    return a / scale, b - a * (weight * x).sum() / scale
 
 
 def accuracy(got, column, sf=SF):
