@@ -54,21 +54,58 @@ class Model:
         self.languages, self.bits = languages, bits
         if languages:
             smooth = counts + 0.5
-            self.table = np.ascontiguousarray(np.log(smooth / smooth.sum(1, keepdims=True)).T.astype("f4"))
+            table = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype("f4")
+            self.table = np.concatenate([table, np.zeros((1, len(languages)), "f4")])
             self.prior = np.log(documents / documents.sum())
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not has_letter(text):
-            return "und", 0.0
-        total, n = self.prior.astype("f8"), 0
-        for idx in buckets(text, self.bits):
-            total = total + self.table.take(idx, axis=0).sum(axis=0, dtype="f8")
-            n += len(idx)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text; n-grams of many texts are looked up and added at once."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        if not self.languages:
+            return out
+        group: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not has_letter(text):
+                continue
+            if len(text) > _CHUNK:  # by itself, a chunk at a time
+                total, n = self.prior.astype("f8"), 0
+                for idx in buckets(text, self.bits):
+                    total, n = total + self.table.take(idx, axis=0).sum(axis=0, dtype="f8"), n + len(idx)
+                self._decide(out, [i], total[None], np.array([n]))
+                continue
+            group.append(i)
+            size += len(text)
+            if size > _CHUNK:
+                self._some(texts, group, out)
+                group, size = [], 0
+        if group:
+            self._some(texts, group, out)
+        return out
+
+    def _some(self, texts: list, group: list[int], out: list) -> None:
+        coded = [np.frombuffer(texts[i].lower().encode("utf-32-le", "surrogatepass"), "<u4") for i in group]
+        length = np.array([len(c) for c in coded])
+        ends = np.repeat(np.cumsum(length), length)
+        codes, starts = np.concatenate(coded), np.cumsum(length) - length
+        total, n, h, at = np.zeros((len(group), len(self.languages))) + self.prior, np.zeros(len(group)), np.zeros(len(codes), np.uint32), np.arange(len(codes))
+        for k in range(1, max(ORDERS) + 1):
+            h = (h[: len(codes) - k + 1] ^ codes[k - 1 :]) * np.uint32(0x9E3779B1)
+            if k in ORDERS and len(h):
+                idx = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - self.bits)
+                own = np.full(len(codes), len(self.table) - 1)  # the last row is zero: for what would cross into the next text
+                own[: len(idx)] = np.where(at[: len(idx)] + k <= ends[: len(idx)], idx, own[: len(idx)])
+                total += np.add.reduceat(self.table.take(own, axis=0), starts, axis=0, dtype="f8")
+                n += np.maximum(length - k + 1, 0)
+        self._decide(out, group, total, n)
+
+    def _decide(self, out: list, group: list[int], total: np.ndarray, n: np.ndarray) -> None:
         # n-grams overlap and are far from independent: their evidence is tempered for the score
-        odds = (total - total.max()) / max(1.0, n / 64)
-        p = np.exp(odds) / np.exp(odds).sum()
-        best = int(np.argmax(total))
-        return self.languages[best], float(p[best])
+        odds = (total - total.max(1, keepdims=True)) / np.maximum(1.0, n / 64)[:, None]
+        p = np.exp(odds) / np.exp(odds).sum(1, keepdims=True)
+        best = total.argmax(1)
+        for i, k, score in zip(group, best.tolist(), p[np.arange(len(group)), best].tolist(), strict=True):
+            out[i] = (self.languages[k], score)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model:
@@ -111,7 +148,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(m.predict(texts.tolist()), columns=["lang_pred", "score"])
 
     judged = docs.select("doc_id", held_out().alias("held_out"), judge("text").alias("found"))
     return judged.select("doc_id", "held_out", "found.lang_pred", "found.score")
