@@ -65,10 +65,22 @@ def _get(folder: str, name: str, dtype: str) -> np.ndarray:
     return np.frombuffer(store.open_input_file(f"{path}/{name}").read(), dtype)
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, wide: bool = False) -> list[dict]:
-    """Encode ``docs`` into the data set ``folder``; returns the manifest, a row for each shard."""
+def vocabulary(tokenizer: str) -> int:
+    """One more than the largest id of a tokenizers file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
+
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, wide: bool | None = None) -> list[dict]:
+    """Encode ``docs`` into the data set ``folder``; returns the manifest, a row for each shard.
+
+    wide: ids of 32 bits; by default where the vocabulary or the end id needs them.
+    """
     spark = docs.sparkSession
     tune(spark)
+    if wide is None:
+        wide = max(vocabulary(tokenizer), end_id + 1) > 1 << 16
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     dtype = "<u4" if wide else "<u2"
