@@ -10,8 +10,8 @@ labels by gradient ascent on its exact log-likelihood. A document's bad share
 is the mean of its lines' forward-backward marginals weighted by length, and a
 logistic curve over it is the score.
 
-Fitting uses at most ``sample`` labelled documents; every document is scored,
-whole, with memory for one Arrow batch.
+Fitting uses at most ``sample`` labelled documents of at most LONGEST
+characters; every document is scored, whole, with memory for one Arrow batch.
 
 Defined results: a null text is an empty one, which is one empty line; rows
 with a null id are scored (held_out is false) and teach nothing; without
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_texts, map_batches, sample_labels, tune
 from .models import fit_logistic, sigmoid
 
-SAMPLE, THRESHOLD = 4000, 0.3
+SAMPLE, THRESHOLD, LONGEST = 4000, 0.3, 20_000
 _KINDS = ("upper", "lower", "digit", "space", "bar", "loud", "symbol", "stop", "high")
 
 
@@ -80,15 +80,16 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.column_stack([own, 0.5 * before, 0.5 * after, edge]), size + 1, starts
 
 
-def marginals(emission: np.ndarray, transition: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(emission: np.ndarray, transition: np.ndarray, starts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over many chains at once: (P(bad) of each line, pair marginals summed, log-partition of each).
 
     emission: lines by states; transition: states by states; chains are the
-    runs of lines between ``starts``.
+    runs of lines between ``starts``, and count in the sum by their weight.
     """
     length = np.diff(starts)
     order = np.argsort(-length, kind="stable")
     first, length = starts[:-1][order], length[order]
+    share = np.ones(len(length)) if weight is None else weight[order]
     most = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(most), "left")  # chains longer than t
     forward, backward = np.zeros_like(emission), np.zeros_like(emission)
@@ -111,7 +112,7 @@ def marginals(emission: np.ndarray, transition: np.ndarray, starts: np.ndarray)
         nxt = emission[at + 1] + backward[at + 1]
         backward[at] = np.logaddexp(transition[:, 0] + nxt[:, 0, None], transition[:, 1] + nxt[:, 1, None])
         joint = forward[at][:, :, None] + transition + nxt[:, None, :] - log_z[:n, None, None]
-        pairs += np.exp(joint).sum(0)
+        pairs += (np.exp(joint) * share[:n, None, None]).sum(0)
     chain = np.repeat(np.arange(len(length)), length)
     line = np.concatenate([np.arange(f, f + k) for f, k in zip(first, length, strict=True)]) if most else np.empty(0, int)
     bad = np.zeros(len(emission))
@@ -141,20 +142,22 @@ class Model:
 
 
 def fit_field(x: np.ndarray, starts: np.ndarray, label: np.ndarray, weight: np.ndarray, begin: np.ndarray, steps: int = 120, ridge: float = 1e-3):
-    """Weights and transitions that maximise the likelihood of line labels, by Adam on the exact gradient."""
+    """Weights and transitions that maximise the likelihood of line labels, documents by their weight, by Adam on the exact gradient."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w, trans = begin.copy(), np.zeros((2, 2))
+    weight = weight / weight.mean()
+    each = np.repeat(weight, np.diff(starts))
     inner = np.ones(len(x), bool)
     inner[starts[:-1]] = False
     seen = np.zeros((2, 2))
     at = np.flatnonzero(inner)
-    np.add.at(seen, (label[at - 1].astype(int), label[at].astype(int)), 1)
+    np.add.at(seen, (label[at - 1].astype(int), label[at].astype(int)), each[at])
     moments = [np.zeros(len(w) + 4), np.zeros(len(w) + 4)]
-    n = len(x)
+    n = each.sum()
     for step in range(1, steps + 1):
         z = x1 @ w
-        bad, pairs, _ = marginals(np.column_stack([np.zeros(n), z]), trans, starts)
-        g = np.concatenate([x1.T @ (label - bad) / n - ridge * w, ((seen - pairs) / n - ridge * trans).ravel()])
+        bad, pairs, _ = marginals(np.column_stack([np.zeros(len(z)), z]), trans, starts, weight)
+        g = np.concatenate([x1.T @ (each * (label - bad)) / n - ridge * w, ((seen - pairs) / n - ridge * trans).ravel()])
         moments = [0.9 * moments[0] + 0.1 * g, 0.99 * moments[1] + 0.01 * g * g]
         move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
         w, trans = w + move[:-4], trans + move[-4:].reshape(2, 2)
@@ -186,9 +189,9 @@ def train(texts: list[str], label: np.ndarray, weight: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` documents outside fold 0."""
+    """Learn from at most ``sample`` documents outside fold 0, none longer than LONGEST characters: at most 80 million come to the driver."""
     tune(docs.sparkSession)
-    chosen = labelled_texts(docs, sample_labels(labels, "quality", sample)).select("doc_id", "label", "weight", "text")
+    chosen = labelled_texts(docs, sample_labels(labels, "quality", sample), LONGEST).select("doc_id", "label", "weight", "text")
     got = chosen.toArrow().sort_by("doc_id").to_pydict()  # bounded by sample
     return train([t or "" for t in got["text"]], np.array(got["label"], "f8"), np.array(got["weight"], "f8"))
 
