@@ -12,10 +12,12 @@ need of it: the k + 1 smallest, each k times at most.
 Queries and vectors meet in blocks: a task gets one block of each, makes a
 query's table of 16 partial products for each subspace, joins the tables of
 two neighbouring subspaces into one of 256, scans a byte of codes for two
-subspaces at a time, and takes each query's RERANK best vectors of the block, and all that tie with the last of them. Those are scored exactly, in
-double precision, with the block's own vectors, then their ids take their
-places, and the best ``k`` go on; a query's blocks are merged in the end. So only k rows a
-query and block are shuffled.
+subspaces at a time, and takes each query's best vectors of the block, and all
+that tie with the last of them: as many as it takes that the RERANK best of all
+blocks are among them (see quota; blocks are dealt by a hash). Those are scored
+exactly, in double precision, with the block's own vectors, then their ids take
+their places, and the best ``k`` go on; a query's blocks are merged in the end.
+So only k rows a query and block are shuffled.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite
 components take no part, nor do rows with a null id or another dimension than
@@ -25,6 +27,8 @@ query, and the query uses the least vector; other columns are ignored.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, tune, written
 
-K, EVERY, DIMS, PARALLEL, SAMPLE, RERANK, BLOCK, QUERIES = 20, 20, 2, 4.0, 8192, 160, 4096, 2048
+K, EVERY, DIMS, PARALLEL, SAMPLE, RERANK, BLOCK, QUERIES = 20, 20, 2, 4.0, 8192, 640, 4096, 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -149,6 +153,12 @@ def equal_vectors(coded: DataFrame, k: int, most: int = 16_384) -> DataFrame:
     return map_batches(found.select("x", "code", "ids"), merge, schema)
 
 
+def quota(blocks: int, rerank: int = RERANK) -> int:
+    """So many of each of ``blocks`` blocks that the ``rerank`` best of all are among them: six standard deviations above their mean number."""
+    mean = rerank / max(1, blocks)
+    return math.ceil(mean + 6 * math.sqrt(mean) + 8)
+
+
 def best(query_ids, queries, ids, starts, vectors, packed, centres, k: int, rerank: int):
     """(query, vector, exact score) of each query's k best in a block; vector j has ids[starts[j] : starts[j + 1]]."""
     near = scan(pad(queries), packed, centres)
@@ -201,6 +211,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, rerank: int = RER
     distinct = written(equal_vectors(coded, k), "vectors")
     wanted = coded.filter(F.col("vec_id") % every == 0)
     blocks, groups = -(-distinct.count() // BLOCK), max(1, -(-wanted.count() // QUERIES))
+    most = quota(blocks, rerank)
     base = distinct.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = wanted.groupBy("vec_id").agg(F.min("x").alias("x"))
     asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -217,7 +228,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, rerank: int = RER
             ids, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             q, v, packed = matrix(left, "x", "f8"), matrix(right, "x", "f8"), matrix(right, "code", "u1")
             for at in range(0, len(q), 256):
-                found += best(q_ids[at : at + 256].tolist(), q[at : at + 256], ids, starts, v, packed, shared.value, k, rerank)
+                found += best(q_ids[at : at + 256].tolist(), q[at : at + 256], ids, starts, v, packed, shared.value, k, most)
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 

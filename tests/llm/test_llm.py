@@ -133,6 +133,14 @@ def test_token_files(spark, texts, tokenizer, awkward, empty):
         ids = ids_of(tokenizer, t, 2)
         assert tuple(r) == (i, at, len(ids), crc(ids))
         at += len(ids)
+    assert tokenbin.vocabulary(LIBRARY) == 50_257
+    from folioscan.llm.common import new_path
+
+    for wide in (False, True):
+        folder = new_path(spark, "width")
+        manifest = tokenbin.write(awkward, LIBRARY, folder, wide=wide)
+        assert {m["dtype"] for m in manifest} == {"<u4" if wide else "<u2"}
+        assert sorted((r.start, r.ids_crc32) for r in tokenbin.read(spark, folder, manifest).collect()) == sorted((r.start, r.ids_crc32) for r in tokenbin.round_trip(awkward, LIBRARY).collect())
     rows = tokenbin.round_trip(awkward, LIBRARY).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 1, 2, 3, 4, 4, 5, 6, 7] and rows[2].n_tokens == 1
     assert tokenbin.round_trip(empty, LIBRARY).count() == 0
@@ -421,6 +429,38 @@ def distance(a, b):
     return row[-1]
 
 
+def test_quoted_abuse_is_told_from_abuse(spark):
+    """The same words, addressed to somebody in toxic texts and reported in quotation marks in clean ones."""
+    import random
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    plain, slurs = [*(word() for _ in range(400)), *["you", "he"] * 9], ["vermin", "halfwit", "parasite"]
+    docs, labels = [], []
+    for i in range(3000):
+        words = [r.choice(plain) for _ in range(40)]
+        s = r.choice(slurs)
+        toxic = int(i % 3 == 0)
+        if toxic:
+            words[10:10] = ["you", s + r.choice(["", "s"])]
+        elif i % 6 == 1:
+            words[10:10] = ["he", "wrote", f'"{s}"']
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(slurs) <= set(model.lexicon.weights)
+    got = {x.doc_id: x for x in toxicity.score_table(df, model).collect() if x.held_out}
+    kind = lambda i: 0 if i % 3 == 0 else 1 if i % 6 == 1 else 2
+    share = [np.mean([x.predicted for i, x in got.items() if kind(i) == k]) for k in range(3)]
+    assert share[0] > 0.95 and share[1] < 0.1 and share[2] < 0.05
+    for words in ('a "b c" d', "no marks", '"a', 'a" "b', '"a b c d e f g h i j" k', "'tis o'clock 'x'"):
+        w = words.split()
+        assert toxicity.unquoted(w) == [x for i, x in enumerate(w) if toxicity.context(w, i) not in (0.3, 0.3 * 0.7, 0.3 * 1.2, 0.3 * 0.7 * 1.2)]
+    hits = toxicity.find(df, model.lexicon).collect()
+    assert np.mean([h.factor < 1 for h in hits if kind(h.doc_id) == 1]) > 0.95 and np.mean([h.factor < 1 for h in hits if kind(h.doc_id) == 0]) < 0.05
+
+
 def test_automata_equal_brute_force():
     import random
 
@@ -447,6 +487,18 @@ def test_quality(spark, awkward, empty):
     assert quality.score_table(awkward, quality.fit(empty, labels)).count() == len(AWKWARD)
 
 
+def test_field_takes_weights():
+    """A document of weight 3 teaches as three of weight 1 do."""
+    r = np.random.default_rng(5)
+    starts, x = np.array([0, 2, 5, 9]), r.normal(size=(9, 3))
+    label = (r.random(9) < 0.5).astype(float)
+    again = np.concatenate([np.arange(9), np.arange(2, 5), np.arange(2, 5)])
+    begin = np.zeros(4)
+    one = quality.fit_field(x, starts, label, np.array([1.0, 3.0, 1.0]), begin, ridge=0)
+    three = quality.fit_field(x[again], np.array([0, 2, 5, 9, 12, 15]), label[again], np.ones(5), begin, ridge=0)
+    assert one[0] == pytest.approx(three[0]) and one[1] == pytest.approx(three[1])
+
+
 def test_field_marginals_equal_enumeration():
     r = np.random.default_rng(0)
     starts = np.array([0, 1, 4, 8])
@@ -480,6 +532,42 @@ def test_language(spark, awkward, empty):
     assert {r.lang_pred for r in langid.predict(awkward, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_language_scores_equal_brute_force(spark):
+    """Counts, smoothing and choice of the multinomial model, text by text; texts of many lengths in one batch."""
+    big = "/root/testdata/sf0.001"
+    docs = read(spark, big, "documents")
+    model = langid.fit(docs, sample=10**9)
+
+    def grams(t):
+        codes, out = np.frombuffer(t.lower().encode("utf-32-le"), "<u4").astype(object), []
+        for n in (1, 2, 3):
+            for i in range(len(codes) - n + 1):
+                h = 0
+                for c in codes[i : i + n]:
+                    h = ((h ^ int(c)) * 0x9E3779B1) & 0xFFFFFFFF
+                out.append((((h ^ h >> 15) * 0x85EBCA6B) & 0xFFFFFFFF) >> 16)
+        return out
+
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = {k: np.full(1 << 16, 0.5) for k in model.languages}
+    size = defaultdict(int)
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            np.add.at(counts[r.lang], grams(r.text or ""), 1)
+            size[r.lang] += 1
+    tables = np.stack([np.log(counts[k] / counts[k].sum()) for k in model.languages])
+    prior = np.log(np.array([size[k] for k in model.languages]) / sum(size.values()))
+    some = [r.text for r in rows[:40]] + ["a", "", None, "12 3", "é", "und " * 70_000, "x y"]
+    for text, (lang, score) in zip(some, model.predict(some), strict=True):
+        if not any(c.isalpha() for c in text or ""):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        g = grams(text)
+        total = prior + tables[:, g].sum(1)
+        p = np.exp((total - total.max()) / max(1, len(g) / 64))
+        assert lang == model.languages[int(total.argmax())] and score == pytest.approx(p.max() / p.sum(), rel=1e-3)
+
+
 def test_nearest_neighbours(spark):
     x = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet' ORDER BY vec_id").fetchall()
     ids, v = np.array([i for i, _ in x]), np.array([e for _, e in x], "f8")
@@ -497,11 +585,28 @@ def test_nearest_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_neighbours_of_many(spark):
+    """50,000 clustered vectors in 13 blocks, of which under a twentieth are scored exactly: recall at 20 against brute force."""
+    r = np.random.default_rng(11)
+    v = r.normal(size=(200, 64))[r.integers(0, 200, 50_000)] + 0.7 * r.normal(size=(50_000, 64))
+    v = (v * r.uniform(0.5, 1.5, (50_000, 1))).astype("f4")
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(v)})).repartition(4)
+    got = defaultdict(list)
+    for x in ann.search(df, every=400).collect():
+        got[x.query_id].append(x.vec_id)
+    assert 13 * ann.quota(13) < 50_000 / 20 and len(got) == 125
+    w = v.astype("f8")
+    hits = sum(len(set(got[q]) & set([k for k in np.argsort(-(w @ w[q]), kind="stable")[:21] if k != q][:20])) for q in got)
+    assert hits / (20 * len(got)) >= 0.97
+
+
 def test_nearest_neighbours_awkward(spark):
-    rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 1.0, 0.0]), (2, [1.0, 1.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [1.0, None, 0.0]), (6, [float("nan"), 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (20, [0.0, 1.0, 0.0]), (7, [1.0]), (8, [])]
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 1.0, 0.0]), (2, [1.0, 1.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [1.0, None, 0.0]), (6, [float("nan"), 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (20, [0.0, 1.0, 0.0]), (7, [1.0]), (8, []), (2, [1.0, 1.0, 0.0])]
     df = spark.createDataFrame([(i, e, "x", 1) for i, e in rows], "vec_id long, embedding array<float>, code string, rank int")
     got = sorted(tuple(r) for r in ann.search(df).collect())
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 2, 1.0), (20, 3, 0, 0.0)]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 2, 1.0), (0, 4, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 2, 1.0), (20, 3, 2, 1.0), (20, 4, 0, 0.0)]
     assert ann.search(df.limit(0)).count() == 0
 
 
