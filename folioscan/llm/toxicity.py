@@ -166,6 +166,17 @@ class Scanner:
         return out, len(words)
 
 
+def unquoted(words: list[str], window: int = WINDOW) -> list[str]:
+    """The words that do not stand between an opening and a closing quotation mark of their window."""
+    opens = np.cumsum([0] + [w.startswith(_OPEN) for w in words])
+    closes = np.cumsum([0] + [w.rstrip(".,;:!?").endswith(_CLOSE) for w in words])
+    if not opens[-1] or not closes[-1]:
+        return words
+    at = np.arange(len(words))
+    inside = (opens[at + 1] > opens[np.maximum(at - window, 0)]) & (closes[np.minimum(at + window + 1, len(words))] > closes[at])
+    return [w for w, quoted in zip(words, inside.tolist(), strict=True) if not quoted]
+
+
 def context(words: list[str], i: int, window: int = WINDOW) -> float:
     """What a hit at place i counts for, from its neighbours: under 1 where it is quoted or reported, over 1 as an address."""
     before, after = words[max(0, i - window) : i + 1], words[i : i + window + 1]
@@ -201,13 +212,13 @@ class Model:
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """word, pos, neg: toxic and other documents of the sample that have it."""
+    """word, pos, neg: toxic and other documents of the sample that use it outside quotation marks."""
 
     def run(batches):
         seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
-                for w in {w.strip(_STRIP) for w in (text or "").lower().split()}:
+                for w in {w.strip(_STRIP) for w in unquoted((text or "").lower().split())}:
                     if 3 <= len(w) <= 64:
                         seen.setdefault(w, [0, 0])[1 - label] += 1
             if len(seen) > 200_000:
