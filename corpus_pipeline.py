@@ -38,8 +38,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.classes(docs, percent=NEAR).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays: of the rows with the group's least id the one with the least text.
+
+    Rows without an id all stay.
+    """
+    found = written(neardup.classes(docs, percent=NEAR), "classes")
+    rest = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+    again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return rest.select(*docs.columns)
+    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id")  # partial minima, so an id of very many rows is no hot key
+    one = one.agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
