@@ -631,6 +631,39 @@ def test_nearest_neighbours_among_copies(spark, copies):
     assert {len(x) for x in got.values()} == {20}
 
 
+def test_pipeline_equals_brute_force(spark, tokenizer):
+    """What each stage keeps, decided text by text, and the pieces of what is left."""
+    import corpus_pipeline as C
+
+    big = "/root/testdata/sf0.01"
+    docs, labels = read(spark, big, "documents"), read(spark, big, "labels")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    model = toxicity.fit(docs, labels)
+    scores = model.scores([t for _, t in rows], toxicity.Scanner(model.lexicon))
+    clean = [r for r, s in zip(rows, scores, strict=True) if s < 0.5]
+    assert 0 < len(clean) < len(rows)
+    judge = quality.fit(docs.join(spark.createDataFrame([(i,) for i, _ in clean], "doc_id long"), "doc_id"), labels)
+    good = [r for r in clean if judge.score([r[1] or ""])[0] >= 0.3]
+    assert 0 < len(good) < len(clean)
+    left = [r for r, c in zip(good, brute_classes(good, percent=80), strict=True) if c[0] == c[2]]
+    assert 0 < len(left) < len(good)
+    got = C.run(spark, big).toPandas()
+    want = sorted((i, n, s, k, crc(ids[s : s + k])) for i, t in left for ids in [ids_of(tokenizer, t, 0)] for n, (s, k) in enumerate(packing.cut_points(len(ids), 2048)))
+    assert sorted(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32, strict=True)) == want
+    placed = got.sort_values(["sequence_id", "offset"])
+    assert (placed.groupby("sequence_id").length.cumsum() - placed.length == placed.offset).all() and placed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_pipeline_keeps_one_row_of_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "b c d e f g", 1), (1, "b c d e f g", 2), (1, "a b c d e f", 3), (2, "b c d e f g", 4), (3, None, 5), (3, None, 6), (None, "b c d e f g", 7), (None, "b c d e f g", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = C.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "a b c d e f"), (3, None), (None, "b c d e f g"), (None, "b c d e f g")], key=str)
+
+
 def test_pipeline_stages(spark, awkward, empty):
     import corpus_pipeline as C
 
