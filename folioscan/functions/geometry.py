@@ -97,3 +97,21 @@ def floats(s: Column) -> Column:
 
 def is_rotated(matrix: Column) -> Column:
     return F.slice(matrix, 1, 4) != F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1)])
+
+
+def with_range(b: Column, axis: str, low: Column, high: Column) -> Column:
+    """A box with its x or y range set, to whole numbers in order."""
+    if axis not in ("x", "y"):
+        raise ValueError(f"no axis {axis}")
+    low, high = low.cast("int"), high.cast("int")
+    return b.withField(f"{axis}0", F.least(low, high)).withField(f"{axis}1", F.greatest(low, high))
+
+
+def is_ordered(low: Column, high: Column) -> Column:
+    """Whether two numbers are there and in order."""
+    return F.coalesce(low <= high, F.lit(False))
+
+
+def has_ranges(b: Column, x0: int, x1: int, y0: int, y1: int) -> Column:
+    """Whether a box is there and just that one."""
+    return F.coalesce((b["x0"] == x0) & (b["x1"] == x1) & (b["y0"] == y0) & (b["y1"] == y1), F.lit(False))

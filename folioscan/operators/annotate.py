@@ -111,3 +111,30 @@ def resolve_links(anchors: DataFrame, targets: DataFrame) -> DataFrame:
 
 def bad_links(anchors: DataFrame, targets: DataFrame) -> DataFrame:
     return resolve_links(anchors, targets).filter("t_id IS NULL").select("a_id", "link_id").distinct()
+
+
+def confidences(spans: DataFrame, keys: list[str], order: str = "ord", most: int = 50) -> DataFrame:
+    """keys, statement, ord, part, class, level, text: a paragraph's spans cut into statements.
+
+    A statement ends with a span of fewer than ``most`` characters that speaks of confidence; that span gets the class
+    and the level before the word. A span with braces becomes what is before, in (class targets) and after them.
+    Blank spans are left out.
+    """
+    from .islands import group_until
+
+    kept = spans.filter(F.coalesce("text", F.lit("")) != "")
+    ends = F.contains("text", F.lit("confidence")) & (F.length("text") < most)
+    cut = group_until(kept, keys, order, ends, "statement").withColumn("ends_", ends)
+    curly, said = r"(?d)^(.*)\{(.*)\}(.*)", r"^\s*\(?(.*)\s+confidence\s*\)?\s*(.*)"
+    level = F.when(F.col("ends_") & F.col("text").rlike(said), F.regexp_extract("text", said, 1))
+    one = lambda kind, text: F.struct(kind.cast("string").alias("class"), text.alias("text"))
+    thirds = F.array(*[one(F.lit("targets" if i == 2 else None), F.regexp_extract("text", curly, i)) for i in (1, 2, 3)])
+    parts = F.when(F.col("ends_"), F.array(one(F.lit("confidence"), F.col("text")))).when(F.col("text").rlike(curly), thirds).otherwise(F.array(one(F.lit(None), F.col("text"))))
+    rows = cut.withColumn("level", level).select(*keys, "statement", order, "level", F.posexplode(parts).alias("part", "p"))
+    return rows.select(*keys, "statement", order, "part", "p.class", "level", "p.text")
+
+
+def followed_by_class(spans: DataFrame, keys: list[str], kind: str, order: str = "ord", name: str = "marks") -> DataFrame:
+    """Whether the span after each has a class: how the number of a footnote is told from one in the text."""
+    w = W.partitionBy(*keys).orderBy(order)
+    return spans.withColumn(name, F.coalesce(F.lead("class").over(w) == kind, F.lit(False)))

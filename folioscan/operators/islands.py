@@ -71,6 +71,27 @@ def spans_from_chars(chars: DataFrame, keys: list[str], order: str, font: list[s
     return cut.groupBy(*keys, "span").agg(joined.alias(text), *[F.min_by(c, order).alias(c) for c in font], F.min_by(y, order).alias(y))
 
 
+def spans_from_upright(chars: DataFrame, keys: list[str], order: str, font: list[str], y: str, text: str, tolerance: float = 0.1, upright: str | None = None) -> DataFrame:
+    """Characters to spans as a page's text has them: white space never begins one.
+
+    A character that is no space begins a span where the font or the line differs from the last such character's. White
+    space joins the span on whose line it stands, and is dropped elsewhere. upright: only characters where it is 1.
+    """
+    if upright:
+        chars = chars.filter(F.col(upright) == 1)
+    solid = F.trim(F.col(text)) != ""
+    before = upto(keys, order, -1)
+    last = lambda c: F.last(F.when(solid, F.col(c)), ignorenulls=True).over(before)
+    fresh = last(order).isNull() | (F.abs(F.col(y) - last(y)) > tolerance)
+    changed = fresh
+    for c in font:
+        changed = changed | ~F.col(c).eqNullSafe(last(c))
+    cut = group_from(chars.withColumn("fresh_", fresh), keys, order, F.coalesce(solid & changed, F.lit(False)), "span")
+    cut = cut.filter(solid | ~F.col("fresh_"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "")
+    return cut.groupBy(*keys, "span").agg(joined.alias(text), *[F.min_by(c, order).alias(c) for c in font], F.min_by(y, order).alias(y))
+
+
 def script_kind(df: DataFrame, keys: list[str], order: str, size: str, y: str, up: bool = False) -> DataFrame:
     """sub or super where a span is smaller than 0.9 of the one before and lower or higher than it (y grows downwards, or up)."""
     w = W.partitionBy(*keys).orderBy(order)

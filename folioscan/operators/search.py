@@ -164,6 +164,27 @@ def refine(hits: Column, new: Column) -> Column:
     return F.when(F.size(new) > 0, new).otherwise(hits)
 
 
+def filter_chain(text: Column, steps: list[tuple[str, str | list[str]]]) -> Column:
+    """The hits of a text after a chain of commands, each of which sees the hits before it.
+
+    contains adds its value where the text has it; dictionary adds the text's words that are among its terms; regex
+    keeps the hits that begin so, and lookup those among its values, but both only where something is left.
+    """
+    hits = F.array().cast("array<string>")
+    for command, value in steps:  # lambdas run at once, so they see this step's value
+        if command == "contains":
+            hits = F.when(F.contains(text, F.lit(value)), F.array_append(hits, F.lit(value))).otherwise(hits)
+        elif command == "dictionary":
+            hits = F.concat(hits, F.filter(T.words(F.lower(text)), lambda w: w.isin(*[v.lower() for v in value])))
+        elif command == "regex":
+            hits = refine(hits, F.filter(hits, lambda h: T.prefix_match(h, value)))
+        elif command == "lookup":
+            hits = refine(hits, F.filter(hits, lambda h: h.isin(*value)))
+        else:
+            raise ValueError(f"unknown command {command}")
+    return hits
+
+
 def search(docs: DataFrame, dictionaries: DataFrame | None = None, patterns: dict[str, tuple[str, str]] | None = None, keys: tuple[str, ...] = ("doc_id",), phrases: bool = True, facets: tuple = ()) -> DataFrame:
     """keys, tool, kind, match, n: the hits of all dictionaries and patterns {name: (kind, regex)}."""
     unknown = set(facets) - {"dictionary", "pattern"}

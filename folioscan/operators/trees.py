@@ -152,9 +152,10 @@ def paragraphs_of_page(spans: DataFrame, key: str, gap: float, order: str = "ord
     return rows.groupBy(key, "paragraph", "run", "family", "size").agg(joined.alias("text"))
 
 
-def list_items(spans: DataFrame, key: str, order: str = "ord") -> DataFrame:
-    """key, item, text: an item begins at each whole number."""
-    cut = I.group_from(spans, [key], order, T.is_int(F.col("text")), "item")
+def list_items(spans: DataFrame, key: str, order: str = "ord", mark: Column | None = None) -> DataFrame:
+    """key, item, text: an item begins at each whole number, or at those alone where ``mark`` holds (a small or raised font)."""
+    starts = T.is_int(F.col("text")) if mark is None else T.is_int(F.col("text")) & F.coalesce(mark, F.lit(False))
+    cut = I.group_from(spans, [key], order, starts, "item")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]), " ")
     return cut.groupBy(key, "item").agg(joined.alias("text"))
 
@@ -333,3 +334,11 @@ def columns_of(names: list[str], kind: str = "string") -> str:
         if name in names[:i]:
             raise ValueError(f"{name} comes twice")
     return ", ".join(f"`{name}` {kind}" for name in names)
+
+
+def figure_captions(docs: DataFrame, key: str = "doc_id", column: str = "xml") -> DataFrame:
+    """key, path, label, caption, title of every figure of the documents."""
+    from ..sources.markup import figure, xml_sections
+
+    figures = xml_sections(docs, key, column).filter("tag = 'fig'").withColumn("f", figure(F.col("xml")))
+    return figures.select(key, "path", "f.*")

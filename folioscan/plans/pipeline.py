@@ -136,6 +136,28 @@ def read_config(text: str) -> dict[str, dict]:
     return runs
 
 
+def arguments(spec: dict[str, dict], values: dict) -> dict:
+    """Values for the arguments of a specification {name: {type, default, choices, required}}, checked and converted at once.
+
+    type is str, int, float or bool. Unknown names, missing required ones, values outside the choices and values of
+    another type are errors.
+    """
+    kinds = {"str": str, "int": int, "float": float, "bool": lambda v: str(v).lower() in ("true", "1", "yes")}
+    if unknown := set(values) - set(spec):
+        raise ValueError(f"unknown arguments {sorted(unknown)}")
+    out = {}
+    for name, rule in spec.items():
+        value = values.get(name, rule.get("default"))
+        if value is None and rule.get("required"):
+            raise ValueError(f"{name} is missing")
+        many = isinstance(value, list)
+        made = [kinds[rule.get("type", "str")](v) for v in (value if many else [value])] if value is not None else [None]
+        if value is not None and "choices" in rule and (bad := [v for v in made if v not in rule["choices"]]):
+            raise ValueError(f"{name}: {bad} not among {rule['choices']}")
+        out[name] = made if many else made[0]
+    return out
+
+
 def flags(items: list[str] | str, have: dict | None = None) -> dict:
     """Flags name=value added to those there are; anything else is an error."""
     out = dict(have or {})

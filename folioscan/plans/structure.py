@@ -561,3 +561,61 @@ def linked_files(spark, d):
 def sibling_paths(spark, d):
     p = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a/svg/b"), F.col("doc_id").cast("string"), F.lit(".svg"))).otherwise("b.xml")
     return table(spark, d, "documents").select("doc_id", P.sibling(p, "txt").alias("p"))
+
+
+_SAID = pick("event_id", 5, "the ice melts", "(high confidence)", "seen {WGI A.1} there", "very likely", "medium confidence ) now")
+
+
+@query(f"SELECT event_id, statement::BIGINT AS statement, part::INT AS part, CASE WHEN e THEN 'confidence' WHEN c AND part = 1 THEN 'targets' END AS class, CASE WHEN e THEN regexp_extract(text, '^\\s*\\(?(.*)\\s+confidence\\s*\\)?\\s*(.*)', 1) END AS level, CASE WHEN c THEN ['seen ', 'WGI A.1', ' there'][part + 1] ELSE text END AS text FROM (SELECT *, unnest(CASE WHEN c THEN [0, 1, 2] ELSE [0] END) AS part FROM (SELECT *, coalesce(sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id rows between unbounded preceding and 1 preceding), 0) AS statement FROM (SELECT user_id, event_id, text, contains(text, 'confidence') AS e, contains(text, '{{') AS c FROM (SELECT user_id, event_id, {_SAID} AS text FROM events))))")
+def confidence_statements(spark, d):
+    v = table(spark, d, "events").select("user_id", "event_id", F.expr(_SAID).alias("text"))
+    return A.confidences(v, ["user_id"], "event_id").select("event_id", "statement", "part", "class", "level", "text")
+
+
+@query("SELECT event_id, coalesce(lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = 'click', false) AS marks FROM events")
+def footnote_fonts(spark, d):
+    return A.followed_by_class(table(spark, d, "events").withColumn("class", F.col("event_type")), ["user_id"], "click", "event_id").select("event_id", "marks")
+
+
+_CHARS = "SELECT user_id, event_id AS ord, event_type AS font, (event_id % 3 // 2) * 10.0 AS y, CASE WHEN event_id % 4 = 1 THEN ' ' ELSE substr(event_type, 1, 1) END AS t FROM events WHERE event_id % 11 > 0"
+
+
+@query(f"WITH c AS ({_CHARS}), b AS (SELECT *, last_value(CASE WHEN t <> ' ' THEN y END IGNORE NULLS) OVER w AS ly, last_value(CASE WHEN t <> ' ' THEN font END IGNORE NULLS) OVER w AS lf FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ord rows between unbounded preceding and 1 preceding)), s AS (SELECT *, sum(CASE WHEN t <> ' ' AND (ly IS NULL OR abs(y - ly) > 0.1 OR font <> lf) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ord rows between unbounded preceding and current row) AS span FROM b WHERE true) SELECT user_id, span::BIGINT AS span, string_agg(t, '' ORDER BY ord) AS text FROM s WHERE t <> ' ' OR (ly IS NOT NULL AND abs(y - ly) <= 0.1) GROUP BY 1, 2")
+def upright_spans(spark, d):
+    y = F.floor(F.col("event_id") % 3 / 2) * 10.0
+    t = F.when(F.col("event_id") % 4 == 1, " ").otherwise(F.substring("event_type", 1, 1))
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("font"), y.alias("y"), t.alias("text"), (F.col("event_id") % 11 > 0).cast("int").alias("up"))
+    return I.spans_from_upright(e, ["user_id"], "event_id", ["font"], "y", "text", upright="up").select("user_id", "span", "text")
+
+
+@query("SELECT user_id, item::BIGINT AS item, count(*) AS n FROM (SELECT *, sum(CASE WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id rows between unbounded preceding and current row) AS item FROM events) GROUP BY user_id, item")
+def small_list_items(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("ord"), F.when(F.col("event_id") % 7 == 0, F.col("event_id").cast("string")).otherwise("x").alias("text"))
+    return TR.list_items(e, "user_id", mark=F.col("ord") % 2 == 0).select("user_id", "item", F.size(F.split("text", " ")).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN len(list_filter(h, lambda x: starts_with(x, 'L'))) > 0 THEN list_filter(h, lambda x: starts_with(x, 'L')) ELSE h END AS hits FROM (SELECT doc_id, list_concat(CASE WHEN contains(text, 'License') THEN ['License'] ELSE [] END, list_filter(string_split(lower(text), ' '), lambda w: w IN ('the', 'die', 'les'))) AS h FROM documents)")
+def chained_hits(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.filter_chain(F.col("text"), [("contains", "License"), ("dictionary", ["The", "die", "les"]), ("regex", "L")]).alias("hits"))
+
+
+_FIG = "concat('<article><body><sec><title>A</title><fig><label>', CAST(doc_id AS STRING), '</label><caption>', " + pick("doc_id", 2, "<p>one</p><p>two</p>", "<title>T</title>") + ", '</caption></fig></sec></body></article>')"
+
+
+@query("SELECT doc_id, 'sections/0_body/0_a/1_fig' AS path, doc_id::VARCHAR AS label, CASE doc_id % 2 WHEN 0 THEN 'one' ELSE '' END AS caption, CASE doc_id % 2 WHEN 0 THEN '' ELSE 'T' END AS title FROM documents")
+def figure_captions(spark, d):
+    return TR.figure_captions(table(spark, d, "documents").select("doc_id", F.expr(_FIG).alias("xml")))
+
+
+@query("SELECT p_partkey, least(p_size, 20) AS x0, greatest(p_size, 20) AS x1, p_size <= 20 AS ordered, p_size = 20 AS same FROM part")
+def box_ranges(spark, d):
+    b = G.with_range(G.box(*[F.lit(v) for v in (0, 1, 5, 6)]), "x", F.col("p_size"), F.lit(20))
+    return table(spark, d, "part").select("p_partkey", b["x0"].alias("x0"), b["x1"].alias("x1"), G.is_ordered(F.col("p_size"), F.lit(20)).alias("ordered"), G.has_ranges(b, 20, 20, 5, 6).alias("same"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'https://www.wikidata.org/wiki/Q' || p_partkey WHEN 1 THEN 'https://www.wikidata.org/wiki/Property:P' || p_partkey END AS url, 'a/b' || p_partkey || '.txt' AS path FROM part")
+def entity_urls(spark, d):
+    n = F.col("p_partkey").cast("string")
+    q = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Q"), n)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("P"), n)).otherwise("x")
+    p = F.concat(F.lit("a/b"), n, F.when(F.col("p_partkey") % 2 == 0, ".xml").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", scan.entity_url(q).alias("url"), scan.with_suffix(p, ".txt").alias("path"))

@@ -161,3 +161,18 @@ def register(catalog: dict[str, str], name: str, path: str) -> dict[str, str]:
     if name in catalog:
         raise ValueError(f"{name} is already registered")
     return catalog | {name: path}
+
+
+def fulltexts(spark: SparkSession, project: str) -> DataFrame:
+    """The plain full texts of a project's trees."""
+    return load_files(spark, f"{project.rstrip('/')}/*/fulltext*.txt")
+
+
+def with_suffix(path: Column, suffix: str) -> Column:
+    """A path with another suffix; a name without one gets it."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit(suffix))
+
+
+def entity_url(qid: Column, site: str = "https://www.wikidata.org/wiki/") -> Column:
+    """The page of an entity or, for a P number, a property; null for another id."""
+    return F.when(qid.rlike(r"^Q\d+$"), F.concat(F.lit(site), qid)).when(qid.rlike(r"^P\d+$"), F.concat(F.lit(f"{site}Property:"), qid))

@@ -159,6 +159,11 @@ def test_configurations():
         P.flags("novalue")
     with pytest.raises(ValueError):
         P.converter("pdf2txt")
+    spec = {"n": {"type": "int", "default": 3}, "kind": {"choices": ["a", "b"], "required": True}, "on": {"type": "bool"}}
+    assert P.arguments(spec, {"kind": ["a", "b"], "on": "True"}) == {"n": 3, "kind": ["a", "b"], "on": True}
+    for bad in ({}, {"kind": "c"}, {"kind": "a", "n": "x"}, {"kind": "a", "other": 1}):
+        with pytest.raises(ValueError):
+            P.arguments(spec, bad)
 
 
 def test_registries(spark):
