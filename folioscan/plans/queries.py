@@ -153,11 +153,6 @@ def concordance_lag_lead(spark, d):
     return X.concordance(table(spark, d, "documents"), terms(spark).filter("dictionary IN ('es', 'de')"), "doc_id")
 
 
-@query()
-def rake_keywords(spark, d):
-    return X.keywords(table(spark, d, "documents").filter("lang = 'en'"))
-
-
 @query(f"SELECT source, tool, kind, match, count(*) AS n FROM (SELECT source, dictionary AS tool, 'dictionary' AS kind, lower(word) AS match FROM {_WORDS} JOIN {_TERMS_SQL} ON lower(word) = term UNION ALL SELECT source, dictionary, 'dictionary', term FROM {_SENT} JOIN {_TERMS_SQL} ON contains(lower(sentence), term) WHERE contains(term, ' ') UNION ALL SELECT source, 'caps', 'pattern', word FROM {_WORDS} WHERE word = upper(word) AND word <> lower(word)) GROUP BY ALL")
 def search_all_facets(spark, d):
     docs = table(spark, d, "documents")
@@ -221,11 +216,6 @@ def url_basename(spark, d):
     return table(spark, d, "pages").select("page_id", T.basename(F.col("url")).alias("base"))
 
 
-@query()
-def flatten_text_nfkd(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.nfkd_ascii(F.col("text"))).alias("h"))
-
-
 @query("SELECT i, CASE WHEN i >= 256 THEN '@.' || i ELSE (CASE WHEN i >= 26 THEN chr((96 + i // 26)::INT) ELSE '' END) || chr((97 + i % 26)::INT) END AS letters FROM (SELECT unnest(range(0, 300)) AS i)")
 def letter_ids(spark, d):
     return spark.range(300).select(F.col("id").alias("i"), T.letter_id(F.col("id")).alias("letters"))

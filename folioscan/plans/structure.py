@@ -483,7 +483,8 @@ def sparql_enrich(spark, d):
 
 
 #: The stop words once more, as the SQL has them.
-_STOPPED = "'" + "','".join("""i|me|my|myself|we|our|ours|ourselves|you|you''re|you''ve|you''ll|you''d|your|yours|yourself|yourselves|he|him|his|himself|she|she''s|her|hers|herself|it|it''s|its|itself|they|them|their|theirs|themselves|what|which|who|whom|this|that|that''ll|these|those|am|is|are|was|were|be|been|being|have|has|had|having|do|does|did|doing|a|an|the|and|but|if|or|because|as|until|while|of|at|by|for|with|about|against|between|into|through|during|before|after|above|below|to|from|up|down|in|out|on|off|over|under|again|further|then|once|here|there|when|where|why|how|all|any|both|each|few|more|most|other|some|such|no|nor|not|only|own|same|so|than|too|very|s|t|can|will|just|don|don''t|should|should''ve|now|d|ll|m|o|re|ve|y|ain|aren|aren''t|couldn|couldn''t|didn|didn''t|doesn|doesn''t|hadn|hadn''t|hasn|hasn''t|haven|haven''t|isn|isn''t|ma|mightn|mightn''t|mustn|mustn''t|needn|needn''t|shan|shan''t|shouldn|shouldn''t|wasn|wasn''t|weren|weren''t|won|won''t|wouldn|wouldn''t|figure|permission|reproduced|copyright|authors|society|university|table|manuscript|published|declare|conflict|research|diagram|images|version|data|different|time|min|experiments|group|analysis|study|activity|treated|using|mean|work|path|samples|performed|analyzed|support|values|approved|significant|thank|interest|supported""".split("|")) + "'"
+_STOPPED_EN = "'" + "','".join("""i|me|my|myself|we|our|ours|ourselves|you|you''re|you''ve|you''ll|you''d|your|yours|yourself|yourselves|he|him|his|himself|she|she''s|her|hers|herself|it|it''s|its|itself|they|them|their|theirs|themselves|what|which|who|whom|this|that|that''ll|these|those|am|is|are|was|were|be|been|being|have|has|had|having|do|does|did|doing|a|an|the|and|but|if|or|because|as|until|while|of|at|by|for|with|about|against|between|into|through|during|before|after|above|below|to|from|up|down|in|out|on|off|over|under|again|further|then|once|here|there|when|where|why|how|all|any|both|each|few|more|most|other|some|such|no|nor|not|only|own|same|so|than|too|very|s|t|can|will|just|don|don''t|should|should''ve|now|d|ll|m|o|re|ve|y|ain|aren|aren''t|couldn|couldn''t|didn|didn''t|doesn|doesn''t|hadn|hadn''t|hasn|hasn''t|haven|haven''t|isn|isn''t|ma|mightn|mightn''t|mustn|mustn''t|needn|needn''t|shan|shan''t|shouldn|shouldn''t|wasn|wasn''t|weren|weren''t|won|won''t|wouldn|wouldn''t""".split("|")) + "'"
+_STOPPED = _STOPPED_EN + ",'" + "','".join("""figure|permission|reproduced|copyright|authors|society|university|table|manuscript|published|declare|conflict|research|diagram|images|version|data|different|time|min|experiments|group|analysis|study|activity|treated|using|mean|work|path|samples|performed|analyzed|support|values|approved|significant|thank|interest|supported""".split("|")) + "'"
 _KEPT = f"length(word) > 2 AND NOT regexp_full_match(word, '\\p{{N}}+') AND lower(word) NOT IN ({_STOPPED})"
 
 
@@ -619,3 +620,21 @@ def entity_urls(spark, d):
     q = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Q"), n)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("P"), n)).otherwise("x")
     p = F.concat(F.lit("a/b"), n, F.when(F.col("p_partkey") % 2 == 0, ".xml").otherwise(""))
     return table(spark, d, "part").select("p_partkey", scan.entity_url(q).alias("url"), scan.with_suffix(p, ".txt").alias("path"))
+
+
+_PHRASES = chain(
+    r"SELECT regexp_replace(lower(text), '[^\p{L}\s-]+', ' ' || chr(1) || ' ', 'g') AS c FROM documents",
+    rf"SELECT array_to_string(list_transform(list_filter(string_split_regex(c, '\s+'), lambda x: x <> ''), lambda x: CASE WHEN x IN ({_STOPPED_EN}) OR NOT regexp_full_match(x, '[\p{{L}}-]+') THEN chr(1) ELSE x END), ' ') AS m FROM t",
+    "SELECT trim(unnest(string_split(m, chr(1)))) AS match FROM t",
+    "SELECT match, count(*) AS n FROM t WHERE match <> '' GROUP BY 1",
+)
+
+
+@query(f"WITH c AS ({_PHRASES}), p AS (SELECT match, n, unnest(string_split(match, ' ')) AS w, len(string_split(match, ' ')) AS k FROM c), g AS (SELECT w, sum(n * k) / sum(n) AS weight FROM p GROUP BY w) SELECT match, n, round(sum(weight), 6) AS score FROM p JOIN g USING (w) WHERE n > 1 AND k BETWEEN 2 AND 6 GROUP BY match, n")
+def rake_keywords(spark, d):
+    return X.keywords(table(spark, d, "documents"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')) AS h FROM documents")
+def flatten_text_nfkd(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.nfkd_ascii("text")).alias("h"))
