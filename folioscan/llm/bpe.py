@@ -19,7 +19,7 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_batches, tune
+from .common import KEPT, map_batches, tune
 from .tokens import PATTERN, ChunkEncoder, byte_characters
 
 
@@ -98,14 +98,11 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each worker process, rank file and pattern."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    if ("codec", path, pattern) not in KEPT:
+        KEPT["codec", path, pattern] = Codec(path, pattern)
+    return KEPT["codec", path, pattern]
 
 
 def encode_table(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -126,4 +123,4 @@ def encode_table(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fals
                 rows.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(plain).hexdigest(), *([ids, plain] if with_ids else [])))
             yield {"doc_id": batch["doc_id"], **dict(zip(names, zip(*rows, strict=True), strict=True))}
 
-    return map_batches(docs.select("doc_id", "text"), run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, schema, keeps=True)

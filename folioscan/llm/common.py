@@ -2,6 +2,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -23,10 +26,27 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+#: What a Python worker keeps from task to task: loaded tokenizers.
+KEPT: dict = {}
+
+
+def release(keeps: bool = False) -> None:
+    """Give a worker's freed memory back to the system, and, unless it keeps them, the tokenizers of an earlier stage.
+
+    Workers live as long as executors and serve one stage after the other, so
+    what one stage has freed or kept would add to the memory of the next.
+    """
+    if not keeps:
+        KEPT.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run, schema: str, keeps: bool = False) -> DataFrame:
     """mapInArrow with columns by name: ``run`` gets an iterator of {name: list} and yields {name: values}.
 
-    Arrow keeps null integers exact, where pandas would make them floats.
+    Arrow keeps null integers exact, where pandas would make them floats. ``keeps``: ``run`` uses KEPT.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -36,8 +56,11 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     def go(batches):
         import pyarrow as pa
 
+        if not keeps:
+            release()
         for made in run({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches):
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in target], schema=target)
+        release(keeps)
 
     return df.mapInArrow(go, schema)
 

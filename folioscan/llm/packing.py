@@ -173,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             if out:
                 yield dict(zip(names, zip(*out, strict=True), strict=True))
 
-    return map_batches(docs.select("doc_id", "text"), run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, schema, keeps=True)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

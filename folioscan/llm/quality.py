@@ -19,12 +19,14 @@ labels of both classes every score is the share of good labels, or 0.5.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_texts, map_batches, sample_labels, tune
+from .common import held_out, labelled_texts, release, sample_labels, tune
 from .models import fit_logistic, sigmoid
 
 SAMPLE, THRESHOLD, LONGEST = 4000, 0.3, 20_000
@@ -201,8 +203,11 @@ def scorer(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(["" if t is None else t for t in texts]))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
+        for texts in batches:
+            yield pd.Series(shared.value.score(["" if t is None else t for t in texts]))
+        release()
 
     return score
 

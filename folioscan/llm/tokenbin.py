@@ -107,7 +107,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, wi
             yield {"shard": [task], "path": [name], "docs": [len(ends) - 1], "tokens": [ends[-1]]}
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = map_batches(dealt, run, _MANIFEST).collect()  # a row for each shard
+    rows = map_batches(dealt, run, _MANIFEST, keeps=True).collect()  # a row for each shard
     base, manifest = 0, []
     for r in sorted(rows, key=lambda r: r["shard"]):
         manifest.append(r.asDict() | {"base": base, "dtype": dtype})

@@ -16,6 +16,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import KEPT
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # executors' cores are Spark's
 
 #: The pre-tokenisation that the cuts below are right for.
@@ -100,18 +102,18 @@ class ChunkEncoder:
 
     ``learn`` maps a list of chunks to (all their ids in order, how many each
     has). At most about ``limit`` chunks are known at a time; when there are
-    more, those that the last texts did not use are forgotten. So memory is
-    bounded by ``limit`` and the longest text.
+    more, those that were used least are forgotten. So memory is bounded by
+    ``limit`` and the longest text.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000, batch: int = 1 << 20):
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000, batch: int = 1 << 20):
         self.learn, self.limit, self.batch = learn, limit, batch
         self.bits = max(10, (2 * limit).bit_length())
         self.slots = np.full(1 << self.bits, -1, "i4")
         self.size = self.filled = 0
         self.keys = np.empty((3, 1024), "u8")
         self.hash = np.empty(1024, "u8")
-        self.at, self.count = np.empty(1024, "i8"), np.empty(1024, "i4")
+        self.at, self.count, self.uses = np.empty(1024, "i8"), np.empty(1024, "i4"), np.empty(1024, "u4")
         self.pool = np.empty(4096, "u4")
         self.far: dict[bytes, int] = {}  # chunks of more than _SHORT bytes
 
@@ -119,21 +121,25 @@ class ChunkEncoder:
         """New entries for the chunks; their numbers."""
         ids, counts = self.learn(chunks)
         n, end = len(chunks), self.filled + len(ids)
-        while self.size + n > len(self.hash):
-            self.keys = np.concatenate([self.keys, np.empty_like(self.keys)], 1)
-            self.hash, self.at, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.at, self.count))
-        while end > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        if self.size + n > len(self.hash):
+            more = max(1024, len(self.hash), n)
+            self.keys = np.concatenate([self.keys, np.empty((3, more), "u8")], 1)
+            self.hash, self.at, self.count, self.uses = (np.concatenate([x, np.empty(more, x.dtype)]) for x in (self.hash, self.at, self.count, self.uses))
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(4096, len(self.pool), len(ids)), "u4")])
         own = slice(self.size, self.size + n)
-        self.keys[:, own], self.hash[own] = keys, hashes
+        self.keys[:, own], self.hash[own], self.uses[own] = keys, hashes, 0
         self.at[own], self.count[own] = self.filled + np.cumsum(counts) - counts, counts
         self.pool[self.filled : end] = ids
         self.size, self.filled = self.size + n, end
         return np.arange(own.start, own.stop)
 
-    def _forget(self, used: np.ndarray) -> None:
-        """Keep the entries ``used`` only, and no more than half the limit of them."""
-        keep = np.unique(used)[: self.limit // 2]
+    def _forget(self) -> None:
+        """Keep the entries of most uses, no more than half the limit of them; uses count half from then on."""
+        keep = np.flatnonzero(self.uses[: self.size] > 1)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep].astype("i8"), self.limit // 2)[: self.limit // 2]])
+        self.uses = self.uses[keep] // 2
         count = self.count[keep]
         where = np.repeat(self.at[keep] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         pool = self.pool[where]
@@ -185,12 +191,13 @@ class ChunkEncoder:
         raw = np.frombuffer(data, "u1")
         starts = chunk_starts(raw, begins, n)
         entry = self._entries(data, raw, starts, np.append(starts[1:], n))
+        self.uses[: self.size] += np.bincount(entry, minlength=self.size).astype("u4")
         count = self.count[entry]
         total = np.concatenate([[0], np.cumsum(count)])
         out = self.pool[np.repeat(self.at[entry] - total[:-1], count) + np.arange(total[-1])].tobytes()
         at = (4 * total[np.searchsorted(starts, begins)]).tolist()
         if self.size > self.limit or self.filled > 8 * self.limit:
-            self._forget(entry)
+            self._forget()
         for c in [c for c in self.far if len(c) > 256]:  # not kept, so that memory does not follow the longest chunk
             del self.far[c]
         return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -242,16 +249,13 @@ def _cuts_by_pattern(path: str) -> bool:
     return not d.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
 
 
-_loaded: dict[tuple, Callable] = {}
-
-
 def library_encoder(path: str) -> Callable[[list], list[bytes]]:
     """Encoder for a tokenizers file: little-endian unsigned 32-bit ids. One for each worker and file.
 
     Strings of special tokens in a text are ordinary text.
     """
-    if ("library", path) in _loaded:
-        return _loaded["library", path]
+    if ("library", path) in KEPT:
+        return KEPT["library", path]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -289,5 +293,5 @@ def library_encoder(path: str) -> Callable[[list], list[bytes]]:
             parts[i], counts[i] = np.array(own, "u4"), len(own)
         return np.concatenate(parts), counts
 
-    _loaded["library", path] = ChunkEncoder(learn) if newline is not None and _cuts_by_pattern(path) else plain
-    return _loaded["library", path]
+    KEPT["library", path] = ChunkEncoder(learn) if newline is not None and _cuts_by_pattern(path) else plain
+    return KEPT["library", path]

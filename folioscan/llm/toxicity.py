@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, fold, held_out, labelled_texts, map_batches, sample_labels, tune, written
+from .common import drop_written, fold, held_out, labelled_texts, map_batches, release, sample_labels, tune, written
 from .models import fit_logistic, sigmoid
 from .neardup import _Forest, _signed
 
@@ -307,9 +307,12 @@ def scorer(docs: DataFrame, model: Model):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         scanner = Scanner(shared.value.lexicon)
         for texts in batches:
             yield pd.Series(shared.value.scores(texts.tolist(), scanner), dtype="float64")
+        del scanner
+        release()
 
     return score
 
