@@ -4,11 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions import refs as R
 from ..functions import style as S
 from ..functions import text as T
 from ..operators import annotate as A
@@ -49,7 +47,6 @@ _SENT = "(SELECT * FROM (SELECT doc_id, lang, source, unnest(string_split(regexp
 _LINES = "(SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)"
 _TERMS = [("en", "the"), ("en", "that"), ("en", "with"), ("fr", "les"), ("fr", "des"), ("de", "die"), ("de", "und"), ("es", "las"), ("es", "que"), ("fr", "que"), ("en", "of the"), ("en", "was and"), ("de", "die der")]
 _TERMS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TERMS) + ") t(dictionary, term)"
-_STOP = ", ".join(f"'{w}'" for w in (*T.STOPWORDS, *T.STOPWORDS_PUB))
 _ISLAND = "rows between unbounded preceding and current row"
 
 
@@ -221,20 +218,6 @@ def letter_ids(spark, d):
     return spark.range(300).select(F.col("id").alias("i"), T.letter_id(F.col("id")).alias("letters"))
 
 
-_IDS = ["A", "A.1", "A.1.2", "B.3.4.1", "TS.2.10"]
-_IDS_SQL = "(VALUES " + ", ".join(f"('{i}')" for i in _IDS) + ") t(id)"
-
-
-@query(f"SELECT id, CASE WHEN contains(id, '.') THEN regexp_replace(id, '\\.[^.]*$', '') END AS parent FROM {_IDS_SQL}")
-def dotted_parent(spark, d):
-    return rows(spark, "id string", *[(i,) for i in _IDS]).select("id", T.dotted_parent(F.col("id")).alias("parent"))
-
-
-@query(f"WITH RECURSIVE c(id, up) AS (SELECT id, id FROM {_IDS_SQL} UNION ALL SELECT id, regexp_replace(up, '\\.[^.]*$', '') FROM c WHERE contains(up, '.')) SELECT id, up AS ancestor FROM c")
-def ancestor_closure(spark, d):
-    return rows(spark, "id string", *[(i,) for i in _IDS]).select("id", F.explode(T.dotted_ancestors(F.col("id"))).alias("ancestor"))
-
-
 @query("SELECT doc_id, length(regexp_replace(text, '[^0-9]+', '', 'g')) AS digits, len(regexp_extract_all(text, '\\d+')) AS matches, length(text) AS chars FROM documents")
 def split_matches(spark, d):
     pieces = table(spark, d, "documents").select("doc_id", F.explode_outer(T.split_matches(F.col("text"), r"\d+")).alias("p"))
@@ -243,26 +226,6 @@ def split_matches(spark, d):
     return pieces.groupBy("doc_id").agg(F.sum(F.when(hit, size).otherwise(0)).alias("digits"), F.count_if(hit).alias("matches"), F.sum(size).alias("chars"))
 
 
-_TAGGED = [(1, "a <sup>2</sup>"), (2, "see <xref rid='b1'>1</xref> and x <sub>i</sub>"), (3, "plain\ntext")]
-
-
-@query("SELECT * FROM (VALUES (1, 'a^2'), (2, 'see@1 and x_i'), (3, 'plaintext')) t(i, plain)")
-def para_tags_to_signs(spark, d):
-    return rows(spark, "i int, s string", *_TAGGED).select("i", T.para_tags(F.col("s")).alias("plain"))
-
-
-@query("SELECT i, s, CASE WHEN regexp_matches(s, '^\\s*[+-]?\\d+\\s*$') THEN true ELSE false END AS is_int, try_cast(trim(s) AS DOUBLE) IS NOT NULL AS is_float FROM (VALUES (1, '12'), (2, '+12'), (3, '-12.0'), (4, 'b12'), (5, ' 7 ')) t(i, s)")
-def number_predicates(spark, d):
-    v = rows(spark, "i int, s string", (1, "12"), (2, "+12"), (3, "-12.0"), (4, "b12"), (5, " 7 "))
-    return v.select("i", "s", T.is_int(F.col("s")).alias("is_int"), T.is_float(F.col("s")).alias("is_float"))
-
-
-@query("SELECT s, lo::BIGINT AS lo, hi::BIGINT AS hi FROM (VALUES ('_2', 1, 3), ('4_5', 4, 6), ('8', 8, 9), ('16_', 16, 2147483647)) t(s, lo, hi)")
-def page_range_parse(spark, d):
-    v = rows(spark, "s string", ("_2",), ("4_5",), ("8",), ("16_",)).withColumn("r", T.page_ranges(F.col("s")))
-    return v.select("s", "r.lo", "r.hi")
-
-
 # --- HTML -------------------------------------------------------------------
 
 
@@ -297,21 +260,6 @@ def link_resolution(spark, d):
     return links.join(targets, F.col("link") == F.col("t_id"), "left").groupBy("page_id").agg(F.count("*").alias("links"), F.count("t_page").alias("resolved"))
 
 
-_ANCHORS = [("a1", "first", "x,y"), ("a2", "second", "y; z"), ("a3", "third", "q")]
-_TARGETS = [("x", "text x"), ("y", "text y"), ("z", "text z")]
-
-
-@query("SELECT * FROM (VALUES ('a1','first','x','text x'), ('a1','first','y','text y'), ('a2','second','y','text y'), ('a2','second','z','text z'), ('a3','third','q',NULL)) t(a_id, a_text, link_id, t_text)")
-def link_table(spark, d):
-    out = A.resolve_links(rows(spark, "a_id string, a_text string, links string", *_ANCHORS), rows(spark, "t_id string, t_text string", *_TARGETS))
-    return out.select("a_id", "a_text", "link_id", "t_text")
-
-
-@query("SELECT 'a3' AS a_id, 'q' AS link_id")
-def bad_links_anti(spark, d):
-    return A.bad_links(rows(spark, "a_id string, a_text string, links string", *_ANCHORS), rows(spark, "t_id string, t_text string", *_TARGETS))
-
-
 # --- windows ----------------------------------------------------------------
 
 
@@ -374,38 +322,8 @@ def accept_sequence(spark, d):
     return I.accept_numbers(v, "k", "ord", "num")
 
 
-@query("SELECT * FROM (VALUES ('d', 'BOX', '1.1', 1, 4), ('d', 'TABLE', '2', 5, 6)) t(doc, object, id, first, last)")
-def float_boundaries(spark, d):
-    v = rows(spark, "doc string, ord int, text string", ("d", 0, "intro"), ("d", 1, "[START BOX 1.1 HERE]"), ("d", 2, "body"), ("d", 4, "[END BOX 1.1 HERE]"), ("d", 5, "[START TABLE 2 HERE]"), ("d", 6, "[END TABLE 2 HERE]"), ("d", 7, "[START FIGURE 9 HERE]"))
-    marks = v.select("doc", "ord", I.boundary(F.col("text")).alias("b")).filter("b IS NOT NULL").select("doc", "ord", "b.*")
-    return I.float_extents(marks, ["doc"], "ord")
-
-
 # --- style, geometry --------------------------------------------------------
 
-_STYLES = [(1, "font-size:8 px; left: 20px; color: red"), (2, "left: 60px"), (3, "font-size: 31px; bottom: 10px"), (4, "font-size:8 px border: solid 1 px;"), (5, "top: x; ; ")]
-_STYLES_SQL = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in _STYLES) + ") t(i, s)"
-
-
-def styles(spark):
-    return rows(spark, "i int, s string", *_STYLES).withColumn("m", S.css_map(F.col("s")))
-
-
-@query(f"SELECT i, trim(split_part(x, ':', 1)) AS name, trim(split_part(x, ':', 2)) AS value FROM (SELECT i, unnest(string_split(s, ';')) AS x FROM {_STYLES_SQL} WHERE i <> 4) WHERE trim(x) <> ''")
-def css_parse(spark, d):
-    return styles(spark).select("i", F.explode("m").alias("name", "value"))
-
-
-@query("SELECT * FROM (VALUES (1, 'color: red; font-size: 8 px;', 'left: 20px;'), (2, '', 'left: 60px;'), (3, 'font-size: 31px;', 'bottom: 10px;'), (5, '', 'top: x;')) t(i, named, rest)")
-def css_partition(spark, d):
-    named, rest = S.css_partition(F.col("m"))
-    return styles(spark).filter("m IS NOT NULL").select("i", S.css_render(named).alias("named"), S.css_render(rest).alias("rest"))
-
-
-@query("SELECT * FROM (VALUES (1, true, false), (2, false, false), (3, false, true), (5, false, false)) t(i, left_margin, large)")
-def style_condition(spark, d):
-    return styles(spark).filter("m IS NOT NULL").select("i", S.condition(F.col("m"), "left < 49").alias("left_margin"), S.condition(F.col("m"), "font-size > 30").alias("large"))
-
 
 @query("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand) AS canonical FROM part")
 def style_canonicalise(spark, d):
@@ -413,18 +331,6 @@ def style_canonicalise(spark, d):
     return A.canonical_styles(p).select(F.col("ref").alias("p_partkey"), "canonical")
 
 
-@query("SELECT * FROM (VALUES ('foo bar', 'bar foo plugh', 'bar', 'bar plugh')) t(s, added, removed, replaced)")
-def class_tokens(spark, d):
-    s = F.col("s")
-    return rows(spark, "s string", ("foo bar",)).select("s", S.add_class(s, "plugh").alias("added"), S.remove_class(s, "foo").alias("removed"), S.replace_class(s, "foo", "plugh").alias("replaced"))
-
-
-@query("SELECT * FROM (VALUES ('ArialBoldItalic', 'Arial', 'Bold', 'Italic', ''), ('FrutigerLTPro-BoldCnIta', 'FrutigerLTPro', 'Bold', 'Italic', 'Narrow'), ('FrutigerLTPro-Roman', 'FrutigerLTProRoman', '', '', '')) t(name, family, weight, style, stretch)")
-def font_properties(spark, d):
-    v = rows(spark, "name string", ("ArialBoldItalic",), ("FrutigerLTPro-BoldCnIta",), ("FrutigerLTPro-Roman",))
-    return v.withColumn("f", S.font(F.col("name"))).select("name", "f.*")
-
-
 _BOX = "(SELECT l_orderkey, l_linenumber, (l_partkey % 500)::INT AS x0, (l_partkey % 500 + l_quantity)::INT AS x1, (l_suppkey % 300)::INT AS y0, (l_suppkey % 300 + l_linenumber * 5)::INT AS y1 FROM lineitem)"
 
 
@@ -462,18 +368,8 @@ def geometry_angles(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(turned, 9).alias("angle"), F.round(G.distance(z, z, p, s), 6).alias("dist"), G.is_gray(s, F.lit(25), F.lit(30)).alias("gray"), G.hex2(s).alias("hex"))
 
 
-# --- references -------------------------------------------------------------
-
-_BRACES = "by ±0.2°C. {WGI SPM A.1, WGI SPM A.1.2, WGI SPM A.1.3, WGI SPM A.2.2, WGI Figure SPM.2; SRCCL TS.2} "
-
-
-_BIB = [(1, "as shown (de Coninck et al. 2018; IPCC 2019a) and"), (2, "(d'Arcy & other stuff in 2008)"), (3, "(and other stuff in 2008)"), (4, "no ref (Bindoff et al. 2019; de Coninck et al. 2018)")]
-
-
 # --- annotation, dictionaries -----------------------------------------------
 
-_PASS = "CASE WHEN regexp_matches(line, '^\\s*\\d+\\s*$') THEN 'page' WHEN regexp_matches(line, '^[^{]*\\{[^}]*\\}') THEN 'targets' WHEN regexp_matches(line, '^(([A-Z]|\\d+)\\.\\d+)\\s') THEN 'sub_section' WHEN regexp_matches(line, '^([A-Z]|\\d+)\\s+\\S') THEN 'section' END"
-
 
 @query("SELECT doc_id, md5(regexp_replace(text, '(License|the|der|la)', '<a title=\"\\1\">\\1</a>', 'g')) AS h FROM documents")
 def dictionary_markup(spark, d):
@@ -582,12 +478,6 @@ def triples_pattern(spark, d):
     return both.select(F.col("subject").alias("p_partkey")).distinct()
 
 
-@query("SELECT * FROM (VALUES (1, 'entry', 'colour'), (2, 'dictionary', 'lang')) t(id, tag, attribute)")
-def validation_violations(spark, d):
-    v = rows(spark, "id int, tag string, attrs map<string,string>", (1, "entry", {"term": "a", "colour": "b"}), (2, "dictionary", {"title": "a", "lang": "b"}), (3, "entry", {"term": "x"}))
-    return D.violations(v)
-
-
 # --- plans ------------------------------------------------------------------
 
 
@@ -630,18 +520,6 @@ def merge_span_lines(spark, d):
 # --- trees, spans, further scalars ------------------------------------------
 
 
-@query("SELECT * FROM (VALUES (1, 'A.1.2', 'lead  rest'), (2, NULL, NULL)) t(i, body, rest)")
-def extract_substring(spark, d):
-    v = rows(spark, "i int, s string", (1, "lead A.1.2 rest"), (2, "none")).withColumn("x", TR.extract(F.col("s"), r"(.*?)([A-Z](?:\.\d+)+)(.*)"))
-    return v.select("i", "x.body", "x.rest")
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'a1', 'node'), (1, 0, 'zz', 'unmatched'), (1, 1, 'a2', 'node')) t(i, chunk, piece, kind)")
-def chunk_nodes(spark, d):
-    v = rows(spark, "i int, s string", (1, "[a1, zz] x [a2]"))
-    return v.select("i", F.inline(TR.chunks(F.col("s"), r"\[([^\]]*)\]", ",", "a", True)))
-
-
 @query("SELECT user_id, item::BIGINT AS item, string_agg(CASE WHEN event_id % 7 = 0 THEN event_id::VARCHAR ELSE event_type END, ' ' ORDER BY event_id) AS text FROM (SELECT *, sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id rows between unbounded preceding and current row) AS item FROM events) GROUP BY user_id, item")
 def footnote_list_items(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("event_id").alias("ord"), F.when(F.col("event_id") % 7 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type")).alias("text"))
@@ -690,11 +568,6 @@ def content_store_upsert(spark, d):
     return TR.latest(v).withColumnRenamed("path", "user_id")
 
 
-@query("SELECT * FROM (VALUES (1, ['A', 'B']), (2, ['A.2', 'A.10']), (3, ['A.2.1'])) t(level, ids)")
-def ids_by_level(spark, d):
-    return TR.levels(rows(spark, "id string", ("A.10",), ("A.2",), ("B",), ("A",), ("A.2.1",)))
-
-
 @query("SELECT user_id, paragraph::BIGINT AS paragraph, count(*) AS runs FROM (SELECT DISTINCT user_id, paragraph, run FROM (SELECT *, sum(c) OVER (PARTITION BY user_id, paragraph ORDER BY event_id rows between unbounded preceding and current row) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id, paragraph ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS c FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY event_id rows between unbounded preceding and current row) AS paragraph FROM (SELECT *, CASE WHEN lag(value) OVER w IS NULL OR abs(value - lag(value) OVER w) > 50 THEN 1 ELSE 0 END AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)))))) GROUP BY user_id, paragraph")
 def page_paragraph_runs(spark, d):
     v = table(spark, d, "events").select("user_id", F.col("event_id").alias("ord"), F.col("value").alias("y0"), F.col("event_type").alias("family"), F.lit(1.0).alias("size"), F.col("event_type").alias("text"))
@@ -713,31 +586,6 @@ def script_detection(spark, d):
     return I.script_kind(table(spark, d, "part"), ["p_brand"], "p_partkey", "p_size", "p_retailprice").select("p_partkey", "script")
 
 
-@query("SELECT * FROM (VALUES ('https://x/a/b.xml', 'jpeg', true), ('y', 'png', false)) t(s, kind, ok)")
-def magic_numbers(spark, d):
-    v = rows(spark, "s string, hex string, b string", ("https://x/a/b.xml", "FFD8FFE0", "aGVsbG8="), ("y", "89504E47", "%%"))
-    return v.select("s", T.file_kind(F.unhex("hex")).alias("kind"), T.is_base64(F.col("b")).alias("ok"))
-
-
-@query("SELECT entity, pid, v AS value, k AS titles FROM (VALUES ('e', 'P1', 'x', 2::BIGINT), ('e', 'P2', NULL, 1)) t(entity, pid, v, k)")
-def property_dictionary(spark, d):
-    v = rows(spark, "entity string, ord int, pid string, name string, title string, value string", ("e", 0, "P1", "n", "a", "1"), ("e", 1, "P1", "n", "b", "2"), ("e", 2, "P1", "n", None, "x"), ("e", 3, "P2", "m", "a", "3"), ("e", 4, "P1", "n", "a", "4"))
-    return TR.property_maps(v).select("entity", "pid", "value", F.size("statements").alias("titles"))
-
-
-@query("SELECT * FROM (VALUES (1, 'section', 'A'), (2, 'subsection', 'A.1')) t(i, kind, id)")
-def extract_section_ids(spark, d):
-    v = rows(spark, "i int, a string, b string", (1, "Section A: x", "A.1 y"), (2, "text", "A.1 y"), (3, "text", "none"))
-    v = v.select("i", TR.section_ids(F.col("a"), F.col("b"), r"Section (\w+):", r"([A-Z]\.\d+)").alias("x")).filter("x IS NOT NULL")
-    return v.select("i", "x.kind", "x.id")
-
-
-@query("SELECT doc, n, text FROM (VALUES ('d', 1, 'a b'), ('d', 0, NULL)) t(doc, n, text) WHERE n = 1")
-def numbered_sentence_read(spark, d):
-    v = rows(spark, "doc string, line string", ("d", "1: a b"), ("d", "x: no"))
-    return v.select("doc", T.read_numbered(F.col("line")).alias("s")).filter("s.n IS NOT NULL").select("doc", "s.n", "s.text")
-
-
 @query("SELECT c_custkey, round(c_acctbal, 1) AS r FROM (SELECT c_custkey, round_even(c_acctbal, 1) AS c_acctbal FROM customer)")
 def px_rounding(spark, d):
     px = S.px(F.concat(F.col("c_acctbal").cast("string"), F.lit("px")), 1)

@@ -15,7 +15,6 @@ from ..functions import text as T
 from ..operators import annotate as A
 from ..operators import dictionary as D
 from ..operators import islands as I
-from ..operators import layout as L
 from ..operators import search as X
 from ..operators import trees as TR
 from ..sources import markup as M
@@ -274,10 +273,10 @@ def document_order_gaps(spark, d):
     return TR.neighbours(nodes(spark, d), "page_id").filter("tag = 'li' AND next_ord > ord AND previous_ord < ord").groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-_BOXES = "concat('<body><span style=\"position:absolute; height:', CAST(page_id % 700 AS STRING), 'px\"></span><a name=\"', CAST(page_id AS STRING), '\">Page</a></body>')"
+_BOXES = "concat('<body><span style=\"position:absolute; height:', CAST(page_id * 7 % 700 AS STRING), 'px\"></span><a name=\"', CAST(page_id AS STRING), '\">Page</a></body>')"
 
 
-@query("SELECT page_id, page_id::INT AS page FROM pages WHERE page_id % 700 > 300")
+@query("SELECT page_id, page_id::INT AS page FROM pages WHERE page_id * 7 % 700 > 300")
 def page_box_numbers(spark, d):
     return TR.page_boxes(M.html_nodes(table(spark, d, "pages").select("page_id", F.expr(_BOXES).alias("html"))), "page_id").select("page_id", "page")
 
@@ -351,10 +350,10 @@ def closed_range(spark, d):
 _FONT = pick("p_partkey", 3, "Arial-BoldMT", "Arial", "Times-Bold")
 
 
-@query(f"SELECT p_brand, p_partkey FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT p_brand, p_partkey, {_FONT} AS font FROM part WHERE starts_with(p_name, 'a') AND p_size BETWEEN 8 AND 20) WHERE contains(font, 'Bold')) WHERE n = 1")
+@query(f"SELECT p_brand, p_partkey FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT p_brand, p_partkey, {_FONT} AS font FROM part WHERE starts_with(p_name, 'b') AND p_size BETWEEN 8 AND 12) WHERE contains(font, 'Bold')) WHERE n = 1")
 def single_headings(spark, d):
     v = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_name").alias("text"), F.expr(_FONT).alias("font"), F.col("p_size").alias("size"))
-    return TR.single_heading(v, "p_brand", "a", 8, 20).select("p_brand", "p_partkey")
+    return TR.single_heading(v, "p_brand", "b", 8, 12).select("p_brand", "p_partkey")
 
 
 @query(f"SELECT p_brand, p_partkey, sum(CASE WHEN contains(font, 'Bold') AND p_size BETWEEN 10 AND 30 AND regexp_matches(p_name, '^(?:[a-m])') THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY p_partkey rows between unbounded preceding and current row)::BIGINT AS chunk FROM (SELECT *, {_FONT} AS font FROM part)")
@@ -638,3 +637,179 @@ def rake_keywords(spark, d):
 @query(r"SELECT doc_id, md5(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')) AS h FROM documents")
 def flatten_text_nfkd(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.nfkd_ascii("text")).alias("h"))
+
+
+# --- scalars and small operators over tables --------------------------------------
+
+_DOTTED = "concat(" + pick("p_partkey", 3, "A", "B", "TS") + ", '.', CAST(p_size AS STRING), " + pick("p_partkey", 2, "", ".2") + ")"
+
+
+@query(f"SELECT p_partkey, regexp_replace(id, '\\.[^.]*$', '') AS parent FROM (SELECT p_partkey, {_DOTTED} AS id FROM part)")
+def dotted_parent(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.dotted_parent(F.expr(_DOTTED)).alias("parent"))
+
+
+@query(f"WITH RECURSIVE c(p_partkey, up) AS (SELECT p_partkey, {_DOTTED} FROM part UNION ALL SELECT p_partkey, regexp_replace(up, '\\.[^.]*$', '') FROM c WHERE contains(up, '.')) SELECT p_partkey, up AS ancestor FROM c")
+def ancestor_closure(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.explode(T.dotted_ancestors(F.expr(_DOTTED))).alias("ancestor"))
+
+
+_INLINE = "concat(p_name, " + pick("p_partkey", 4, " <sup>2</sup> x", " <xref rid=\"b1\">1</xref> and  <sub>i</sub>", "plain\ntext", "<sub> a</sub>") + ")"
+
+
+@query(f"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(s, chr(10), ''), '</sup>', ''), '</sub>', ''), '</xref>', ''), ' +<', '<', 'g'), '<xref[^>]*>', '@', 'g'), ' *<sup>', '^', 'g'), ' *<sub>', '_', 'g') AS plain FROM (SELECT p_partkey, {_INLINE} AS s FROM part)")
+def para_tags_to_signs(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.para_tags(F.expr(_INLINE)).alias("plain"))
+
+
+_NUMBERS = pick("p_partkey", 6, "=CAST(p_size AS STRING)", "=concat('+', CAST(p_size AS STRING))", "=concat('-', CAST(p_size AS STRING), '.0')", "=concat('b', CAST(p_size AS STRING))", "=concat(' ', CAST(p_size AS STRING), ' ')", "1e3")
+
+
+@query(f"SELECT p_partkey, regexp_full_match(s, '\\s*[+-]?\\d+\\s*') AS is_int, try_cast(trim(s) AS DOUBLE) IS NOT NULL AS is_float FROM (SELECT p_partkey, {_NUMBERS} AS s FROM part)")
+def number_predicates(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.is_int(F.expr(_NUMBERS)).alias("is_int"), T.is_float(F.expr(_NUMBERS)).alias("is_float"))
+
+
+_RANGES = "concat(" + pick("p_partkey", 4, "=concat('_', CAST(p_size AS STRING))", "=concat(CAST(p_size AS STRING), '_', CAST(p_size + 3 AS STRING))", "=CAST(p_size AS STRING)", "=concat(CAST(p_size AS STRING), '_')") + ", '')"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1 ELSE p_size END::BIGINT AS lo, CASE p_partkey % 4 WHEN 1 THEN p_size + 4 WHEN 3 THEN 2147483647 ELSE p_size + 1 END::BIGINT AS hi FROM part")
+def page_range_parse(spark, d):
+    v = table(spark, d, "part").select("p_partkey", F.expr(_RANGES).alias("s")).withColumn("r", T.page_ranges(F.col("s")))
+    return v.select("p_partkey", "r.lo", "r.hi")
+
+
+_LINKS = "concat('n', CAST(p_partkey % 40 AS STRING), " + pick("p_partkey", 3, ",", "; ", " ") + ", " + pick("p_partkey", 2, "", "=concat(',n', CAST(p_size AS STRING))") + ")"
+_LINKED = f"(SELECT p_partkey, trim(unnest(string_split_regex(l, '[,;]'))) AS link FROM (SELECT p_partkey, {_LINKS} AS l FROM part))"
+
+
+def anchors(spark, d) -> tuple[DataFrame, DataFrame]:
+    a = table(spark, d, "part").select(F.col("p_partkey").alias("a_id"), F.col("p_name").alias("a_text"), F.expr(_LINKS).alias("links"))
+    return a, table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("t_id"), F.col("n_name").alias("t_text"))
+
+
+@query(f"SELECT p_partkey AS a_id, link AS link_id, n_name AS t_text FROM {_LINKED} LEFT JOIN nation ON link = 'n' || n_nationkey WHERE link <> ''")
+def link_table(spark, d):
+    return A.resolve_links(*anchors(spark, d)).select("a_id", "link_id", "t_text")
+
+
+@query(f"SELECT DISTINCT p_partkey AS a_id, link AS link_id FROM {_LINKED} WHERE link <> '' AND link NOT IN (SELECT 'n' || n_nationkey FROM nation)")
+def bad_links_anti(spark, d):
+    return A.bad_links(*anchors(spark, d))
+
+
+_MARKS = "concat('[', " + pick("event_id", 2, "START", "END") + ", ' ', " + pick("event_id", 3, "BOX", "FIGURE", "CHART") + ", ' ', CAST(event_id // 60 AS STRING), '.1 HERE]')"
+
+
+@query("SELECT user_id, object, id, min(event_id) AS first, max(event_id) AS last FROM (SELECT user_id, event_id, CASE event_id % 3 WHEN 0 THEN 'BOX' WHEN 1 THEN 'FIGURE' END AS object, (event_id // 60) || '.1' AS id FROM events) WHERE object IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = 2")
+def float_boundaries(spark, d):
+    text = F.expr(_MARKS.replace("event_id // 60", "event_id DIV 60"))
+    marks = table(spark, d, "events").select("user_id", "event_id", I.boundary(text).alias("b")).filter("b IS NOT NULL").select("user_id", "event_id", "b.*")
+    return I.float_extents(marks, ["user_id"], "event_id").select("user_id", "object", "id", "first", "last")
+
+
+_STYLE = "concat('left: ', CAST(p_size AS STRING), 'px;', " + pick("p_partkey", 4, " color: red", "font-size:31 px; top: x; ; ", "font-size: 8px border: solid", "font-size: 40px;left: 3") + ")"
+_VALID = f"(SELECT p_partkey, s FROM (SELECT p_partkey, p_size, {_STYLE} AS s FROM part) WHERE p_partkey % 4 < 2)"
+_ITEMS = f"(SELECT p_partkey, trim(split_part(x, ':', 1)) AS name, trim(split_part(x, ':', 2)) AS value FROM (SELECT p_partkey, unnest(string_split(s, ';')) AS x FROM {_VALID}) WHERE trim(x) <> '')"
+
+
+def styles(spark, d) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", S.css_map(F.expr(_STYLE)).alias("m"))
+
+
+@query(f"SELECT * FROM {_ITEMS}")
+def css_parse(spark, d):
+    return styles(spark, d).select("p_partkey", F.explode("m").alias("name", "value"))
+
+
+@query(f"SELECT p_partkey, coalesce(string_agg(name || ': ' || value || ';', ' ' ORDER BY name) FILTER (name IN ('color', 'font-size')), '') AS named, coalesce(string_agg(name || ': ' || value || ';', ' ' ORDER BY name) FILTER (name NOT IN ('color', 'font-size')), '') AS rest FROM {_ITEMS} GROUP BY 1")
+def css_partition(spark, d):
+    named, rest = S.css_partition(F.col("m"))
+    return styles(spark, d).filter("m IS NOT NULL").select("p_partkey", S.css_render(named).alias("named"), S.css_render(rest).alias("rest"))
+
+
+@query(f"SELECT p_partkey, bool_or(name = 'left' AND try_cast(replace(value, 'px', '') AS DOUBLE) < 25) AS left_margin, bool_or(name = 'font-size' AND try_cast(replace(value, 'px', '') AS DOUBLE) > 30) AS large FROM {_ITEMS} GROUP BY 1")
+def style_condition(spark, d):
+    return styles(spark, d).filter("m IS NOT NULL").select("p_partkey", S.condition(F.col("m"), "left < 25").alias("left_margin"), S.condition(F.col("m"), "font-size > 30").alias("large"))
+
+
+_TOKENS = pick("p_partkey", 4, "foo bar", " bar  foo bar", "plugh", "foo")
+_SPLIT = "list_sort(list_distinct(list_filter(string_split_regex(trim(s), '\\s+'), lambda x: x <> '')))"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_append({_SPLIT}, 'plugh'))), ' ') AS added, array_to_string(list_filter({_SPLIT}, lambda x: x <> 'foo'), ' ') AS removed FROM (SELECT p_partkey, {_TOKENS} AS s FROM part)")
+def class_tokens(spark, d):
+    s = F.expr(_TOKENS)
+    return table(spark, d, "part").select("p_partkey", S.add_class(s, "plugh").alias("added"), S.remove_class(s, "foo").alias("removed"))
+
+
+_FONTS = "concat(" + pick("p_partkey", 3, "Arial", "FrutigerLTPro-", "ABCDEF+Times") + ", " + pick("p_partkey", 4, "Bold", "", "Light", "Black") + ", " + pick("p_partkey", 5, "Italic", "", "Oblique", "", "") + ")"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Arial' WHEN 1 THEN 'FrutigerLTPro' ELSE 'Times' END AS family, CASE p_partkey % 4 WHEN 1 THEN '' WHEN 2 THEN 'Light' ELSE 'Bold' END AS weight, CASE WHEN p_partkey % 5 IN (0, 2) THEN 'Italic' ELSE '' END AS style, '' AS stretch FROM part")
+def font_properties(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.font(F.expr(_FONTS)).alias("f")).select("p_partkey", "f.*")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'entry' ELSE 'dictionary' END AS tag, a AS attribute FROM part, (VALUES ('term'), ('title'), ('colour')) v(a) WHERE (p_size % 3 = 0 OR a <> 'colour') AND CASE WHEN p_partkey % 2 = 0 THEN a <> 'term' ELSE a <> 'title' END")
+def validation_violations(spark, d):
+    attrs = F.create_map(*[F.lit(x) for k in ("term", "title") for x in (k, "v")])
+    attrs = F.when(F.col("p_size") % 3 == 0, F.map_concat(attrs, F.create_map(F.lit("colour"), F.lit("v")))).otherwise(attrs)
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "entry").otherwise("dictionary").alias("tag"), attrs.alias("attrs"))
+    return D.violations(v)
+
+
+_CUT = "concat(p_name, " + pick("p_partkey", 3, " A.1.2 rest", " none", " B.7") + ")"
+_CUT_RE = r"(.*?)([A-Z](?:\.\d+)+)(.*)"
+
+
+@query(f"SELECT p_partkey, CASE WHEN f THEN regexp_extract(s, '^{_CUT_RE}', 2) END AS body, CASE WHEN f THEN regexp_extract(s, '^{_CUT_RE}', 1) || regexp_extract(s, '^{_CUT_RE}', 3) END AS rest FROM (SELECT p_partkey, s, regexp_matches(s, '^{_CUT_RE}') AS f FROM (SELECT p_partkey, {_CUT} AS s FROM part))")
+def extract_substring(spark, d):
+    return table(spark, d, "part").select("p_partkey", TR.extract(F.expr(_CUT), _CUT_RE).alias("x")).select("p_partkey", "x.body", "x.rest")
+
+
+_CHUNKS = "concat('[a', CAST(p_size AS STRING), ', zz] ', p_name, " + pick("p_partkey", 2, " [a2]", "") + ")"
+
+
+@query(f"SELECT p_partkey, (c - 1)::INT AS chunk, trim(x) AS piece, CASE WHEN starts_with(trim(x), 'a') THEN 'node' ELSE 'unmatched' END AS kind FROM (SELECT p_partkey, c, unnest(string_split(s, ',')) AS x FROM (SELECT p_partkey, unnest(regexp_extract_all(s, '\\[([^\\]]*)\\]', 1)) AS s, generate_subscripts(regexp_extract_all(s, '\\[([^\\]]*)\\]', 1), 1) AS c FROM (SELECT p_partkey, {_CHUNKS} AS s FROM part)))")
+def chunk_nodes(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.inline(TR.chunks(F.expr(_CHUNKS), r"\[([^\]]*)\]", ",", "a", True)))
+
+
+@query("SELECT level, list(id ORDER BY k) AS ids FROM (SELECT DISTINCT id, len(string_split(id, '.')) AS level, list_transform(string_split(id, '.'), lambda x: lpad(x, 20, '0')) AS k FROM (SELECT " + "concat(CAST(p_size AS STRING), " + pick("p_partkey", 3, "", "=concat('.', CAST(p_partkey % 20 AS STRING))", ".1.10") + ")" + " AS id FROM part)) GROUP BY level")
+def ids_by_level(spark, d):
+    id_ = F.expr("concat(CAST(p_size AS STRING), " + pick("p_partkey", 3, "", "=concat('.', CAST(p_partkey % 20 AS STRING))", ".1.10") + ")")
+    return TR.levels(table(spark, d, "part").select(id_.alias("id")).distinct())
+
+
+_HEX = pick("p_partkey", 3, "FFD8FFE0", "89504E47", "00")
+_B64 = pick("p_partkey", 3, "aGVsbG8=", "%%", "abc")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' END AS kind, p_partkey % 3 = 0 AS ok FROM part WHERE p_partkey % 3 < 2")
+def magic_numbers(spark, d):
+    v = table(spark, d, "part").filter("p_partkey % 3 < 2")
+    return v.select("p_partkey", T.file_kind(F.unhex(F.expr(_HEX))).alias("kind"), T.is_base64(F.expr(_B64)).alias("ok"))
+
+
+@query("SELECT user_id AS entity, 'P' || (event_id % 3) AS pid, arg_max(event_type, event_id) FILTER (event_id % 2 = 0) AS value, count(DISTINCT event_type) FILTER (event_id % 2 = 1) AS titles FROM events GROUP BY 1, 2")
+def property_dictionary(spark, d):
+    odd = F.col("event_id") % 2 == 1
+    v = table(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("ord"), F.concat(F.lit("P"), (F.col("event_id") % 3).cast("string")).alias("pid"), F.lit("n").alias("name"), F.when(odd, F.col("event_type")).alias("title"), F.col("event_type").alias("value"))
+    return TR.property_maps(v).select("entity", "pid", "value", F.size("statements").cast("long").alias("titles"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'section' ELSE 'subsection' END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'S' || p_size ELSE 'A.' || p_size END AS id FROM part WHERE p_partkey % 3 < 2")
+def extract_section_ids(spark, d):
+    n = F.col("p_size").cast("string")
+    div = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Section S"), n, F.lit(": x"))).otherwise("text")
+    span = F.when(F.col("p_partkey") % 3 == 2, "none").otherwise(F.concat(F.lit("A."), n, F.lit(" y")))
+    v = table(spark, d, "part").select("p_partkey", TR.section_ids(div, span, r"Section (\w+):", r"([A-Z]\.\d+)").alias("x"))
+    return v.filter("x IS NOT NULL").select("p_partkey", "x.kind", "x.id")
+
+
+@query("SELECT p_partkey, p_size AS n, p_name AS text FROM part WHERE p_partkey % 2 = 0")
+def numbered_sentence_read(spark, d):
+    n = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise("x")
+    v = table(spark, d, "part").select("p_partkey", T.read_numbered(F.concat(n, F.lit(": "), F.col("p_name"), F.lit(": lost"))).alias("s"))
+    return v.filter("s.n IS NOT NULL").select("p_partkey", "s.n", "s.text")
