@@ -82,7 +82,7 @@ def word_breaks(chars: DataFrame, keys: list[str], order: str = "pos") -> DataFr
     from pyspark.sql import Window as W
 
     gap = F.lead("x0").over(W.partitionBy(*keys).orderBy(order)) - F.col("x1")
-    return chars.filter(gap > 2.8 * F.col("width") * F.col("size"))
+    return chars.withColumn("gap_", gap).filter(F.col("gap_") > 2.8 * F.col("width") * F.col("size")).drop("gap_")
 
 
 def object_profile(objects: DataFrame, kinds: list[str]) -> DataFrame:

@@ -83,6 +83,13 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """title, version, path of dictionary files; a file without a title is an error when it is read."""
+    raw = spark.read.format("xml").option("rowTag", "dictionary").schema("_title string, _version string").load(path).withColumn("path", F.input_file_name())
+    title = F.coalesce(F.nullif(F.trim("_title"), F.lit("")), F.raise_error(F.concat(F.lit("a dictionary without title: "), "path")))
+    return raw.select(title.alias("title"), F.col("_version").alias("version"), "path")
+
+
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """(ord, term) of a word list, a term a line, blank lines left out."""
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.trim("value").alias("term")).filter("term <> ''")
@@ -111,8 +118,10 @@ def out_of_order(sentences: DataFrame, key: str) -> DataFrame:
 
 
 def read_sparql_results(spark: SparkSession, path: str) -> DataFrame:
-    """result, name, uri, literal: a row for each binding of a results file."""
+    """result, name, uri, literal: a row for each binding of a results file; a file without results is an error."""
     raw = spark.read.format("xml").option("rowTag", "result").schema("binding array<struct<_name:string,uri:string,literal:struct<_VALUE:string>>>").load(path)
+    if raw.isEmpty():
+        raise ValueError(f"no results in {path}")
     return raw.select(F.monotonically_increasing_id().alias("result"), F.explode("binding").alias("b")).select("result", F.col("b._name").alias("name"), F.col("b.uri").alias("uri"), F.col("b.literal._VALUE").alias("literal"))
 
 

@@ -77,3 +77,73 @@ def test_stream(spark, tmp_path):
     q = hits.append_parquet(hits.match_stream(stream, terms, "doc_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted((r.doc_id, r["match"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "the"), (2, "dog"), (2, "the")]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "b, c", "I. Intro!"), (0, "a", "intro")], "n int, text string, marker string")
+    sinks.write_numbered(df, str(tmp_path / "n"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "n")).collect()) == ["0: a", "1: b, c"]
+    sinks.write_csv(df.select("n", "text"), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in spark.read.option("header", "true").csv(str(tmp_path / "c")).collect()) == [("0", "a"), ("1", "b, c")]
+    sinks.write_lines(df, "n", str(tmp_path / "l"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "l")).collect()) == ["0", "1"]
+    sinks.write_by_marker(df, str(tmp_path / "m"))
+    assert len([p for p in (tmp_path / "m").iterdir() if p.name.startswith("marker=")]) == 2
+    sections = M.xml_sections(spark.createDataFrame([("d", "<a><p>x</p></a>"), ("e", "<a><p>y</p><p>z</p></a>")], "doc_id string, xml string"))
+    sinks.write_sections(sections, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).filter("doc_id = 'e'").count() == 2
+    assert sinks.html_table(df.select("n", "marker").orderBy("n")) == '<table id="results"><thead><tr><th>n</th><th>marker</th></tr></thead><tbody><tr><td>0</td><td>intro</td></tr><tr><td>1</td><td>I. Intro!</td></tr></tbody></table>'
+    names = sinks.tree_names(spark.createDataFrame([("x/a b.pdf",), ("y/a b.pdf",), ("z/c.pdf",)], "path string")).orderBy("path").collect()
+    assert [r.tree for r in names] == ["a_b_1", "a_b_2", "c"]
+
+
+def test_file_readers(spark, tmp_path):
+    (tmp_path / "d.xml").write_text('<dictionary title="one" version="1.0.0"><entry term="A"/></dictionary>')
+    assert [(r.title, r.version) for r in scan.read_header(spark, str(tmp_path / "d.xml")).collect()] == [("one", "1.0.0")]
+    (tmp_path / "bad.xml").write_text('<dictionary version="1.0.0"><entry term="A"/></dictionary>')
+    with pytest.raises(Exception, match="without title"):
+        scan.read_header(spark, str(tmp_path / "bad.xml")).collect()
+    (tmp_path / "r.xml").write_text('<sparql><results><result><binding name="i"><uri>http://x/Q1</uri></binding><binding name="l"><literal xml:lang="en">One</literal></binding></result></results></sparql>')
+    assert [tuple(r)[1:] for r in scan.read_sparql_results(spark, str(tmp_path / "r.xml")).collect()] == [("i", "http://x/Q1", None), ("l", None, "One")]
+    (tmp_path / "e.xml").write_text("<sparql><results></results></sparql>")
+    with pytest.raises(ValueError):
+        scan.read_sparql_results(spark, str(tmp_path / "e.xml"))
+    (tmp_path / "w.txt").write_text("one\n\n two \n")
+    assert [r.term for r in scan.read_terms(spark, str(tmp_path / "w.txt")).collect()] == ["one", "two"]
+    (tmp_path / "c.csv").write_text("a,b\n1,x\n2,y\n3,x\n")
+    assert [r.a for r in scan.select_csv(spark, str(tmp_path / "c.csv"), "a", "b", "x").collect()] == ["1", "3"]
+    (tmp_path / "l.txt").write_text("{'a': 1, 'b': ['x',],}")
+    assert scan.read_literal(str(tmp_path / "l.txt")) == {"a": 1, "b": ["x"]}
+    (tmp_path / "p.json").write_text('{"pages": [{"page_number": 1, "width": 10, "height": 20, "chars": [{"text": "a", "x0": 1}, {"text": "b", "x0": 2}]}]}')
+    assert [(r.page, r.pos, r.text, r.x0) for r in scan.read_pages_json(spark, str(tmp_path / "p.json")).collect()] == [(1, 0, "a", 1.0), (1, 1, "b", 2.0)]
+    tops = scan.page_tops(spark.createDataFrame([("d", 1, 100.0), ("d", 2, 80.0), ("d", 3, 10.0)], "doc_id string, page int, height double"))
+    assert [r.top for r in tops.orderBy("page").collect()] == [0.0, 150.0, 280.0]
+    paths = spark.createDataFrame([("p/t/fulltext.txt",), ("p/t/x.xml",), ("p/t/svg/a.svg",)], "path string")
+    assert [r.path for r in scan.children(paths, "p/t", "x").collect()] == ["p/t/x.xml"]
+    names = spark.createDataFrame([("fulltext.xml",), ("_x",), ("a.count.xml",), ("svg",), ("other.txt",)], "name string")
+    assert [r[0] for r in names.select(scan.is_reserved(F.col("name"))).collect()] == [True, True, True, True, False]
+    tree = tmp_path / "proj" / "T1"
+    tree.mkdir(parents=True)
+    (tree / "fulltext.raw.txt").write_text("body")
+    (tree / "other.txt").write_text("no")
+    assert [r.text for r in scan.fulltexts(spark, str(tmp_path / "proj")).collect()] == ["body"]
+
+
+def test_svg(spark):
+    head = '<svg xmlns="http://www.w3.org/2000/svg" xmlns:svgx="http://www.xml-cml.org/schema/svgx">'
+    text = lambda x, y, more="", t="a": f'<text x="{x}" svgx:width="0.5" y="{y}" style="font-size:10px;font-family:F;stroke:none" fill="red" {more}>{t}</text>'
+    svg = head + text("100,110", 100) + text("90", 100, t="b") + text("80", 90, t="c") + text("80", 20) + text("5", 100) + text("80", 95, 'rotateDegrees="90"', "r") + text("80", 99, t="  ") + text("x", 1) + "</svg>"
+    pages = spark.createDataFrame([(1, svg), (2, "<bad"), (3, None)], "page int, svg string")
+    rows = M.svg_spans(pages, "page").orderBy("at").collect()
+    assert [(r.text, r.x, r.end_x, r.x1, r.y0, r.y1) for r in rows] == [("c", 80, 80, 85, 80, 90), ("b", 90, 90, 95, 90, 100), ("a", 100, 110, 115, 90, 100)]
+    assert (rows[0].family, rows[0].fill, rows[0].stroke, rows[0].weight, rows[0].last_width) == ("F", "red", "none", None, 0.5)
+    assert [r.text for r in M.svg_spans(pages, "page", rotated=True).orderBy("at").collect()] == ["c", "r", "b", "a"]
+
+
+def test_tidy_and_lines(spark):
+    from folioscan.operators import layout as L
+
+    chars = spark.createDataFrame([("k", 0, 0.0, 5.0), ("k", 1, 5.0, 10.0), ("k", 2, 60.0, 65.0)], "k string, pos int, x0 double, x1 double").withColumns({"width": F.lit(0.5), "size": F.lit(10.0)})
+    assert [r.pos for r in L.word_breaks(chars, ["k"]).collect()] == [1]
+    spans = spark.createDataFrame([(1, 10.0, 20.0), (1, 100.0, 110.0), (1, 280.0, 295.0)], "page int, y0 double, y1 double")
+    assert [r.y0 for r in L.page_frame(spans, 50, 20, 300).collect()] == [100.0]
