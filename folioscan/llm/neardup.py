@@ -153,9 +153,12 @@ def _slot(node: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """node, x (its set), signature of the documents that ``nodes`` names.
 
-    A bit filter of fixed size keeps the texts of others from being moved; the
-    join after it makes the choice exact, so a full filter costs time only.
+    A bit filter of fixed size keeps the texts of others from being moved. While
+    it lets at most an eighth of the others pass, these sets stay, as no join
+    asks for them; beyond that a join makes the choice exact.
     """
+    nodes = nodes.distinct()
+    loose = nodes.count() <= 1 << _FILTER_BITS - 3
 
     def slots(batches):
         bits = np.zeros(1 << _FILTER_BITS - 3, "u1")
@@ -188,7 +191,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFra
                 yield {"node": ids[part], "x": [x.tobytes() for x in xs], "signature": [signature(x, percent).tobytes() for x in xs]}
 
     own = map_batches(docs.filter(F.col("doc_id").isNotNull()), run, "node long, x binary, signature binary")
-    return own.join(nodes, "node", "left_semi")
+    return own if loose else own.join(nodes, "node", "left_semi")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -283,8 +286,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     crowded = written(members.join(buckets, "bucket"), "crowded")
     drop_written(members)
     pairs = crowded.filter(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
-    nodes = crowded.select("node").distinct()
-    sets = written(_sets(docs, nodes, size, percent), "sets")
+    sets = written(_sets(docs, crowded.select("node"), size, percent), "sets")
     links = written(_confirm(pairs, sets, percent), "links")
     found = written(components(links), "components")
     blocks = F.ceil(F.col("size") / BLOCK)
