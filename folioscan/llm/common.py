@@ -104,6 +104,12 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffles of plans that nothing holds any more: it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as fold 1, a training fold without labels."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5, F.lit(1))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_batches, tune, written
+from .common import drop_written, map_batches, settle, tune, written
 from .components import components
 
 SIZE, PERCENT, BLOCK, SHARE = 5, 85, 128, 512
@@ -287,18 +287,25 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     drop_written(members)
     pairs = crowded.filter(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
     sets = written(_sets(docs, crowded.select("node"), size, percent), "sets")
+    settle(spark)
     links = written(_confirm(pairs, sets, percent), "links")
+    settle(spark)
     found = written(components(links), "components")
+    drop_written(links)
     blocks = F.ceil(F.col("size") / BLOCK)
     labelled = crowded.filter("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("own", F.pmod(F.xxhash64("node"), blocks))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).filter("low < high")
     split = split.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"))  # by bucket and block, so no bucket is one task
     more = written(_blocks(labelled.join(split, ["bucket", "own"]), sets, percent), "more")
+    drop_written(sets)
+    drop_written(crowded)
+    settle(spark)
     # rows that repeat an id with another text hold their classes together
     twice = usable.select("doc_id", "key").join(leaders, "key").groupBy("doc_id").agg(F.min("leader").alias("b"), F.max("leader").alias("a")).filter("a > b").select("a", "b")
     if not more.isEmpty() or not twice.isEmpty():
         old = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(old.unionByName(more).unionByName(twice))
+    drop_written(more)
     top = signed.select("doc_id", "n", "key").join(leaders, "key", "left").join(found.withColumnRenamed("node", "leader"), "leader", "left")
     component = F.coalesce("component", "leader", "doc_id")
     return top.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
