@@ -39,6 +39,8 @@ from .models import fit_logistic, sigmoid
 from .neardup import _Forest, _signed
 
 SAMPLE, TERMS, THRESHOLD, WINDOW, LEAST = 20_000, 2_000, 0.5, 8, 20.0
+#: Tables made from the sample, which is bounded, have so many parts.
+PARTS = 32
 #: So many sightings of rare words that resemble a term can show that they do so by chance.
 SIGHTINGS = 3
 _STRIP = string.punctuation + "“”„«»‘’…–—"
@@ -255,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     """Lexicon from folds 1 to 3, the logistic model from fold 4; fold 0 is held out."""
     tune(docs.sparkSession)
     train = labelled_texts(docs, sample_labels(labels, "toxic", sample))
-    train = written(train.withColumn("fold", fold()), "labelled")
+    train = written(train.withColumn("fold", fold()).repartition(PARTS), "labelled")  # few texts of very many files
     train = written(independent(train).select("text", "label", "weight", "fold"), "toxic")
     sizes = {r["label"]: (r["n"], r["w"]) for r in train.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
     if set(sizes) != {0, 1}:
@@ -265,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     n_pos, n_neg = parts.get(1, 0), parts.get(0, 0)
     if not n_pos or not n_neg:
         return Model(Lexicon({}), None, sizes[1][1] / (sizes[0][1] + sizes[1][1]))
-    counts = written(count_words(first), "words")
+    counts = written(count_words(first).coalesce(PARTS), "words")
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     expect = (pos + neg) * (n_pos / (n_pos + n_neg))
     ratio = 2 * (pos * F.log(pos / expect) + F.when(neg > 0, neg * F.log(neg / (pos + neg - expect))).otherwise(0.0))
