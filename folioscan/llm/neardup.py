@@ -278,13 +278,12 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(_signed(docs, size, percent), "signed")
     usable = signed.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    leaders = written(usable.groupBy("key").agg(F.min("doc_id").alias("leader")), "leaders")
-    # the least id of a set leads it: its row has the bands
-    mine = usable.select("doc_id", "key", "n", "bands").join(leaders, "key").filter(F.col("doc_id") == F.col("leader"))
-    members = written(mine.select("n", F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct(), "members")
+    # the least id of a set leads it, with its bands; of rows that repeat one, one is left
+    led = written(usable.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("leader"), "m.bands"), "leaders")
+    leaders = led.select("key", "leader")
+    members = led.select(F.col("leader").alias("node"), F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     crowded = written(members.join(buckets, "bucket"), "crowded")
-    drop_written(members)
     pairs = crowded.filter(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
     sets = written(_sets(docs, crowded.select("node"), size, percent), "sets")
     settle(spark)
