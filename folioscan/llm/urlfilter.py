@@ -15,8 +15,8 @@ where it is likelier so.
 Counts are taken over all ruled urls that are not kept out, and every counted
 n-gram and context stays in the model. The distinct n-grams of the urls to be
 scored are looked up in it, each order once; places get their log-ratios by the
-n-gram. The 2 ** BITS most frequent n-grams are broadcast, so none that many
-places have is shuffled; the others are joined by their hash.
+n-gram. The most frequent n-grams, at most 2 ** BITS, are broadcast, so none
+that many places have is shuffled; the others are joined by their hash.
 
 Defined results: a null url has the verdict block, no rule, empty host and
 path, score null; an empty url is scored by its end alone; a url without
@@ -127,6 +127,19 @@ def look_up(grams: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame
     return own.select("gram", "n", ratio.alias("ratio"))
 
 
+def frequent(grams: DataFrame, most: int) -> DataFrame:
+    """The n-grams of most places, at most ``most``: all from some eighth of an octave of n on, found from counts of these."""
+    level = F.floor(F.log2("n") * 8)
+    sizes = {r["level"]: r["count"] for r in grams.groupBy(level.alias("level")).count().collect()}  # a few hundred at most
+    least, total = math.inf, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > most:
+            break
+        least = k
+    return grams.filter(level >= least) if sizes and least < math.inf else grams.limit(0)
+
+
 def with_score(df: DataFrame, model: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
     """Adds score, the length-normalised log-ratio of the column url; 0 for none."""
     row = unused(df, "row")
@@ -136,7 +149,7 @@ def with_score(df: DataFrame, model: DataFrame, order: int = ORDER, bits: int =
     contexts = [F.first(f"c{k}").alias(f"c{k}") for k in range(order + 1)]
     grams = written(places.groupBy(*[f"g{k}" for k in range(order, -1, -1)]).agg(F.count("*").alias("n"), *contexts), "places")
     found = written(look_up(grams, model, order), "found").withColumnRenamed("gram", top)
-    hot = written(found.orderBy(F.desc("n"), top).limit(1 << bits).select(top, "ratio"), "hot")
+    hot = written(frequent(found, 1 << bits).select(top, "ratio"), "hot")
     met = places.select("row", top).join(F.broadcast(hot), top, "left")
     often = met.groupBy("row").agg(F.sum("ratio").alias("often"), F.count("*").alias("n"))
     rest = met.filter(F.col("ratio").isNull()).select("row", top).join(found.join(F.broadcast(hot.select(top)), top, "left_anti").select(top, "ratio"), top)
