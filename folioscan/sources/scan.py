@@ -4,17 +4,34 @@ from __future__ import annotations
 import ast
 import configparser
 import itertools
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Where the sections of a document stand, as regexes over paths below its folder.
+#: Where the sections of a document stand below its folder.
 SECTIONS = {
-    "xml": r".*\.xml$", "abstract": r".*abstract\.xml$", "intro": r".*introd[^/]*/.*\.xml$", "method": r".*(method|material)[^/]*/.*\.xml$", "figure": r".*_fig\.xml$", "table": r".*_table\.xml$",
-    "title": r".*article-title\.xml$", "journal": r".*journal-title[^/]*\.xml$", "publisher": r".*publisher-name\.xml$", "para": r".*_p\.xml$", "ref": r".*_ref\.xml$", "ref-list": r".*ref-list/.*\.xml$", "back_xml": r".*_back/.*\.xml$", "body_xml": r".*_body/.*\.xml$",
-}
+    "xml": "sections/**/*.xml",
+    "journal": "sections/*_front/*_journal-meta/*_journal-id.xml",
+    "publisher": "sections/*_front/*_journal-meta/*_publisher.xml",
+    "abstract": "sections/*_front/*_article-meta/*_abstract.xml",
+    "body_xml": "sections/*_body/**/*.xml",
+    "intro": "sections/*_body/*_introduction/*_p.xml",
+    "figure": "sections/*_body/**/*_fig.xml",
+    "figure_old": "sections/figures/figure_*.xml",
+    "note": "sections/*_back/**/*_notes.xml",
+    "para": "sections/*_body/**/*_p.xml",
+    "table": "sections/**/*_table-wrap",
+    "table_label": "sections/**/*_table-wrap/*_label.xml",
+    "table_caption": "sections/**/*_table-wrap/*_caption.xml",
+    "table_body": "sections/**/*_table-wrap/*_table.xml",
+    "title": "sections/*_body/**/*_title.xml",
+    "back_xml": "sections/*_back/**/*.xml",
+    "ref-list": "sections/*_back/*_ref-list",
+    "ref": "sections/*_back/*_ref-list/*_ref.xml",
+}
 RESERVED_FILES = ("fulltext.xml", "fulltext.pdf", "fulltext.html", "eupmc_result.json", "fulltext.txt", "scholarly.html")
 RESERVED_DIRS = ("html", "pdfimages", "results", "sections", "svg")
 
@@ -49,10 +66,22 @@ def load_files(spark: SparkSession, glob: str) -> DataFrame:
     return files.select("path", suffix.alias("kind"), F.when(textual, F.try_validate_utf8(F.col("content").cast("string"))).alias("text"), F.when(suffix.isin("png", "jpg", "gif"), F.col("content")).alias("content"))
 
 
+def glob_pattern(glob: str) -> str:
+    """The regex of a path that ends as the glob says: ** stands for any folders or none, * for what has no slash."""
+    parts = re.split(r"(\*\*/|\*)", glob)
+    made = "".join({"**/": "(?:[^/]+/)*", "*": "[^/]*"}.get(p, re.escape(p)) for p in parts)
+    return f"(?:^|/){made}$"
+
+
 def sections(paths: DataFrame, *kinds: str) -> DataFrame:
-    """path, section of files whose path fits a section's pattern; one pass over the paths for all kinds."""
-    fits = F.array_compact(F.array(*[F.when(F.col("path").rlike(SECTIONS[k]), F.lit(k)) for k in (kinds or SECTIONS)]))
-    return paths.select("path", F.explode(fits).alias("section"))
+    """path, section of files, or of folders for those kinds, whose path fits a section's glob; one pass over the paths for all kinds.
+
+    A folder fits where the path of a file has it.
+    """
+    folder = lambda k: not SECTIONS[k].endswith(".xml")
+    pattern = lambda k: glob_pattern(SECTIONS[k])[:-1] + ("(?=/|$)" if folder(k) else "$")
+    found = [F.when(F.col("path").rlike(pattern(k)), F.struct((F.regexp_extract("path", f"^.*?{pattern(k)}", 0) if folder(k) else F.col("path")).alias("path"), F.lit(k).alias("section"))) for k in (kinds or SECTIONS)]
+    return paths.select(F.explode(F.array_compact(F.array(*found))).alias("s")).select("s.*").distinct()
 
 
 def trees(paths: DataFrame) -> DataFrame:

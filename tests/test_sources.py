@@ -26,10 +26,10 @@ def test_dictionary_round_trip(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    root = tmp_path / "proj" / "PMC1" / "sections" / "0_front"
+    root = tmp_path / "proj" / "PMC1" / "sections" / "0_front" / "1_article-meta"
     root.mkdir(parents=True)
     (root / "1_abstract.xml").write_text("<p>x</p>")
-    (root.parent.parent / "fulltext.xml").write_text("<a/>")
+    (root.parent.parent.parent / "fulltext.xml").write_text("<a/>")
     (tmp_path / "proj" / "bad.txt").write_bytes(b"\xff\xfe")
     paths = scan.list_paths(spark, str(tmp_path / "proj"))
     assert paths.count() == 3
@@ -48,6 +48,17 @@ def test_files(spark, tmp_path):
     assert scan.read_symbols(str(tmp_path / "a.ini"))["one"] == "2"
 
 
+def test_section_kinds(spark):
+    paths = ["t/sections/0_front/0_journal-meta/1_journal-id.xml", "t/sections/1_body/0_introduction/3_p.xml", "t/sections/1_body/4_p.xml", "t/sections/1_body/2_x/0_table-wrap/0_label.xml", "t/sections/1_body/2_x/0_table-wrap/1_table.xml",
+             "t/sections/2_back/0_ref-list/0_ref.xml", "t/sections/2_back/0_ref-list/1_ref.xml", "t/sections/figures/figure_1.xml", "t/other/4_p.xml"]
+    got = {}
+    for r in scan.sections(spark.createDataFrame([(p,) for p in paths], "path string")).collect():
+        got.setdefault(r.section, set()).add(r.path)
+    assert got["xml"] == set(paths[:-1]) and got["journal"] == {paths[0]} and got["intro"] == {paths[1]} and got["para"] == {paths[1], paths[2]}
+    assert got["table"] == {"t/sections/1_body/2_x/0_table-wrap"} and got["table_label"] == {paths[3]} and got["table_body"] == {paths[4]}
+    assert got["ref-list"] == {"t/sections/2_back/0_ref-list"} and got["ref"] == {paths[5], paths[6]} and got["figure_old"] == {paths[7]} and "abstract" not in got
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "<div id=a>x<p>one<p>two <b>bold<br></div>tail &amp; more</i>"), (2, None), (3, "")], "page_id int, html string")
     nodes = M.html_nodes(pages).cache()
