@@ -194,25 +194,34 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFra
     return own if loose else own.join(nodes, "node", "left_semi")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures and full sets agree enough.
+def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b, size) with ``column`` of both as xa and xb.
 
-    pairs: a, b, size, a bound of how many pairs b has in one place. A hub's pairs are dealt out by a to a task
-    for every SHARE of them, and its set goes to each.
+    size bounds how many pairs b has in one place. A hub's pairs are dealt out by a to a task for every SHARE of them,
+    and what it has goes to each.
     """
+    own = sets.select("node", F.col(column).alias("x"))
+    parts = F.ceil(F.col("size") / SHARE)
+    hubs = pairs.groupBy("b").agg(F.max("size").alias("size")).join(own.withColumnRenamed("node", "b"), "b")
+    one = hubs.select("b", F.col("x").alias("xb"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = pairs.select("a", "b", "size", F.pmod(F.xxhash64("a"), parts).alias("part"))
+    return dealt.join(one, ["b", "part"]).join(own.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").drop("part")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures and then full sets agree enough; only what passes the first moves sets."""
     least = least_agreement(percent)
 
     @F.pandas_udf("boolean")
-    def holds(x: pd.Series, y: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
-        near = [np.mean(np.frombuffer(p, "u4") == np.frombuffer(q, "u4")) >= least for p, q in zip(sx, sy, strict=True)]
-        return pd.Series([ok and linked(np.frombuffer(p, "u8"), np.frombuffer(q, "u8"), percent) for ok, p, q in zip(near, x, y, strict=True)], dtype=bool)
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([np.mean(np.frombuffer(p, "u4") == np.frombuffer(q, "u4")) >= least for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    parts = F.ceil(F.col("size") / SHARE)
-    hubs = pairs.groupBy("b").agg(F.max("size").alias("size")).join(sets.withColumnRenamed("node", "b"), "b")
-    one = hubs.select("b", F.col("x").alias("xb"), F.col("signature").alias("sb"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
-    two = sets.select(F.col("node").alias("a"), F.col("x").alias("xa"), F.col("signature").alias("sa"))
-    return pairs.join(one, ["b", "part"]).join(two, "a").filter(holds("xa", "xb", "sa", "sb")).select("a", "b")
+    @F.pandas_udf("boolean")
+    def holds(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([linked(np.frombuffer(p, "u8"), np.frombuffer(q, "u8"), percent) for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    kept = written(_beside(pairs, sets, "signature").filter(near("xa", "xb")).select("a", "b", "size").distinct(), "near")
+    return _beside(kept, sets, "x").filter(holds("xa", "xb")).select("a", "b")
 
 
 class _Forest:
