@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_batches, settle, tune, written
+from .common import drop_written, map_batches, settle, tune, unused, written
 from .components import components
 
 SIZE, PERCENT, BLOCK, SHARE = 5, 85, 128, 512
@@ -150,15 +150,8 @@ def _slot(node: np.ndarray) -> np.ndarray:
     return (_mix(node.astype("i8").view("u8")) >> np.uint64(64 - _FILTER_BITS)).astype("i8")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, x (its set), signature of the documents that ``nodes`` names.
-
-    A bit filter of fixed size keeps the texts of others from being moved. While
-    it lets at most an eighth of the others pass, these sets stay, as no join
-    asks for them; beyond that a join makes the choice exact.
-    """
-    nodes = nodes.distinct()
-    loose = nodes.count() <= 1 << _FILTER_BITS - 3
+def id_filter(ids: DataFrame):
+    """A broadcast bit filter of fixed size (4 MB) of the column node: what it does not have is not among them."""
 
     def slots(batches):
         bits = np.zeros(1 << _FILTER_BITS - 3, "u1")
@@ -174,18 +167,49 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFra
         bits = np.bitwise_or.reduce([np.frombuffer(b, "u1") for b in pages.column("bits").to_pylist()])
         return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    pages = map_batches(nodes.repartition(8), slots, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary")
+    pages = map_batches(ids.repartition(8), slots, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary")
     found = np.zeros(1 << _FILTER_BITS - 3, "u1")
     for r in pages.collect():  # at most 4 MB
         found[4096 * r["page"] : 4096 * r["page"] + 4096] = np.frombuffer(r["bits"], "u1")
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    return ids.sparkSession.sparkContext.broadcast(found)
+
+
+def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    s = _slot(ids)
+    return (bits[s >> 3] >> (s & 7).astype("u1") & 1).astype(bool)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among the nodes ``gone``; rows without an id stay.
+
+    What the bit filter rules out stays where it is; only the other rows are moved, for a join that decides.
+    """
+    shared, name = id_filter(gone), unused(docs, "maybe")
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        return pd.Series(_passes(shared.value, ids.to_numpy("i8")), dtype=bool)
+
+    asked = docs.withColumn(name, F.when(F.col("doc_id").isNotNull(), maybe(F.coalesce("doc_id", F.lit(0)).cast("long"))).otherwise(False))
+    hit = asked.filter(name).join(gone.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti")
+    return asked.filter(~F.col(name)).select(*docs.columns).unionByName(hit.select(*docs.columns))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, x (its set), signature of the documents that ``nodes`` names.
+
+    A bit filter of fixed size keeps the texts of others from being moved. While
+    it lets at most an eighth of the others pass, these sets stay, as no join
+    asks for them; beyond that a join makes the choice exact.
+    """
+    nodes = nodes.distinct()
+    loose = nodes.count() <= 1 << _FILTER_BITS - 3
+    shared = id_filter(nodes)
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
             ids = np.array(batch["doc_id"], "i8")
-            s = _slot(ids)
-            at = np.flatnonzero(bits[s >> 3] >> (s & 7).astype("u1") & 1)
+            at = np.flatnonzero(_passes(shared.value, ids))
             for part in np.array_split(at, len(at) // 64 + 1):
                 xs = [shingles(batch["text"][i], size) for i in part]
                 yield {"node": ids[part], "x": [x.tobytes() for x in xs], "signature": [signature(x, percent).tobytes() for x in xs]}
@@ -221,6 +245,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.Series([linked(np.frombuffer(p, "u8"), np.frombuffer(q, "u8"), percent) for p, q in zip(x, y, strict=True)], dtype=bool)
 
     kept = written(_beside(pairs, sets, "signature").filter(near("xa", "xb")).select("a", "b", "size").distinct(), "near")
+    settle(sets.sparkSession)
     return _beside(kept, sets, "x").filter(holds("xa", "xb")).select("a", "b")
 
 
@@ -293,6 +318,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     members = led.select(F.col("leader").alias("node"), F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     crowded = written(members.join(buckets, "bucket"), "crowded")
+    settle(spark)
     pairs = crowded.filter(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
     sets = written(_sets(docs, crowded.select("node"), size, percent), "sets")
     settle(spark)
