@@ -43,7 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without an id all stay.
     """
     found = written(neardup.classes(docs, percent=NEAR), "classes")
-    rest = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("node")).distinct()
+    rest = neardup.without(docs, gone)
     again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return rest.select(*docs.columns)
