@@ -9,11 +9,12 @@ bucket; 1 - (1 - s ** ROWS) ** BANDS of the pairs with Jaccard measure s do
 1. every member is compared with the bucket's least id, first by signature
    (pairs whose signatures agree far too little stop there), then by the exact
    Jaccard measure of the full sets; links make components;
-2. buckets that still hold several components are dealt out in blocks, and all
-   pairs of blocks are compared the same way where the components differ, in
-   tasks of at most two blocks. They report a spanning forest of the links
-   found. So no task holds a whole bucket, pairs are never written out, and
-   there is no cap that would lose a link.
+2. documents of buckets that still hold several components are joined exactly,
+   across components: with every set in one order, rare shingles first, a link's
+   first common shingle stands early enough in both sets that the rest can still
+   reach the threshold (see _entries). Only pairs that meet at such a shingle are
+   compared, the same way. So no task holds a whole bucket, sets move only for
+   pairs that places do not rule out, and there is no cap that would lose a link.
 
 Components come from alternating large-star and small-star steps.
 
@@ -36,12 +37,15 @@ from pyspark.sql import functions as F
 from .common import drop_written, map_batches, settle, tune, unused, written
 from .components import components
 
+#: BLOCK: members of a bucket, or sets with their entries, that go together; SHARE: a hub's pairs in one task.
 SIZE, PERCENT, BLOCK, SHARE = 5, 85, 128, 512
 #: Share of the pairs at the threshold that meet in no bucket, at most.
 MISSED = 2e-6
 #: Signatures agree in ``percent`` of minima on average; so many standard deviations below a pair is given up.
 SLACK = 5.5
 _FILTER_BITS = 25
+#: Sets, about, and slots that tell rare shingles from common ones; they decide on work, not on results.
+SAMPLE, _RARITY_BITS = 16_384, 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -266,43 +270,80 @@ class _Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components within buckets: a spanning forest of those in each pair of blocks.
+def _place(x: np.ndarray) -> np.ndarray:
+    return (_mix(x) >> np.uint64(64 - _RARITY_BITS)).astype("i8")
 
-    members: bucket, node, component, size (of the bucket), own (the block).
-    """
-    least = least_agreement(percent)
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK) - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    full = dealt.join(sets, "node")
 
-    def compare(key, group):
+def _rarity(sets: DataFrame):
+    """A broadcast table of fixed size (2 MB): how often the sets have shingles of each slot."""
+
+    def slots(batches):
+        for batch in batches:
+            s = np.sort(_place(np.frombuffer(b"".join(batch["x"]), "u8")))
+            pages, at = np.unique(s >> 12, return_index=True)
+            yield {"page": pages, "slots": [(s[a:b] & 4095).astype("u2").tobytes() for a, b in zip(at, [*at[1:], len(s)])]}
+
+    def merge(key, pages):
         import pyarrow as pa
 
-        i, j = key[1].as_py(), key[2].as_py()
-        node, comp, own = (group.column(c).to_numpy() for c in ("node", "component", "own"))
-        sig = np.stack([np.frombuffer(s, "u4") for s in group.column("signature").to_pylist()])
-        x = [np.frombuffer(s, "u8") for s in group.column("x").to_pylist()]
-        n = np.array([len(s) for s in x])
-        keys = np.stack([band_keys(s, percent) for s in sig])
-        band = int(np.flatnonzero((keys == key[0].as_py()).all(0))[0])
-        forest, out = _Forest(), []
-        for p in range(len(node)):
-            q = np.arange(p + 1, len(node))
-            q = q[(comp[q] != comp[p]) & (node[q] != node[p])]
-            if i != j:
-                q = q[own[q] != own[p]]
-            q = q[(100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
-            q = q[~(keys[q, :band] == keys[p, :band]).any(1)]  # an earlier band compares these
-            q = q[(sig[q] == sig[p]).mean(1) >= least]
-            for k in q:
-                if forest.root(comp[k]) != forest.root(comp[p]) and linked(x[p], x[k], percent):
-                    forest.join(comp[k], comp[p])
-                    out.append((node[p], node[k]))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return full.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+        n = np.bincount(np.concatenate([np.frombuffer(b, "u2") for b in pages.column("slots").to_pylist()]), minlength=4096)
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([np.minimum(n, 65535).astype("u2").tobytes()], pa.binary())})
+
+    pages = map_batches(sets, slots, "page int, slots binary").groupBy("page").applyInArrow(merge, "page int, n binary")
+    found = np.zeros(1 << _RARITY_BITS, "u2")
+    for r in pages.collect():  # at most 2 MB
+        found[4096 * r["page"] : 4096 * r["page"] + 4096] = np.frombuffer(r["n"], "u2")
+    return sets.sparkSession.sparkContext.broadcast(found)
+
+
+def _entries(sets: DataFrame, rarity, percent: int) -> DataFrame:
+    """gram, node, component, n, reach: the first shingles of each set (of n) in one order of all shingles, rare ones first.
+
+    Let a link's first common shingle have i others before it in a set of n. They share n - i shingles
+    at most, so the other set has at most reach = (n - i) (100 + percent) / percent - n. It also has at
+    least percent / 100 of n, and later places are left out. So linked sets meet at a shingle where
+    neither's n is above the other's reach, whatever the order.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch["node"]), BLOCK):
+                own = slice(at, at + BLOCK)
+                grams, sizes, reaches = [], [], []
+                for x in batch["x"][own]:
+                    x = np.frombuffer(x, "u8")
+                    reach = (len(x) - np.arange(len(x))) * (100 + percent) // percent - len(x)
+                    reach = reach[100 * reach >= percent * len(x)]  # they fall
+                    grams.append(x[np.argsort(rarity.value[_place(x)], kind="stable")[: len(reach)]])
+                    sizes.append(len(x))
+                    reaches.append(reach)
+                k = [len(r) for r in reaches]
+                node, component, n = (np.repeat(np.array(v, "i8"), k) for v in (batch["node"][own], batch["component"][own], sizes))
+                yield {"gram": np.concatenate(grams).view("i8"), "node": node, "component": component, "n": n, "reach": np.concatenate(reaches)}
+
+    return map_batches(sets, run, "gram long, node long, component long, n long, reach long")
+
+
+def _across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, size) across components that meet in _entries; size: the pairs of b.
+
+    apart: node, component. Members of a component with equal places meet others as one cell.
+    """
+    own = sets.select("node", "x").join(apart, "node")
+    every = math.ceil(apart.count() / SAMPLE)
+    rarity = _rarity(own.filter(F.pmod(F.xxhash64("node"), every) == 0))
+    entries = written(_entries(own, rarity, percent), "entries")
+    span = entries.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("reach").alias("most"))
+    met = written(entries.join(span.filter("low < high"), "gram").filter("reach >= least AND n <= most").select(*entries.columns), "met")
+    drop_written(entries)
+    cells = met.select("gram", "component", "n", "reach").distinct()
+    both = cells.toDF("gram", "ca", "na", "ra").join(cells.toDF("gram", "cb", "nb", "rb"), "gram").filter("ca < cb AND na <= rb AND nb <= ra")
+    for s in "ab":
+        keys = ["gram", f"c{s}", f"n{s}", f"r{s}"]
+        both = both.join(met.select("gram", "component", "n", "reach", "node").toDF(*keys, s), keys)
+    pairs = written(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    drop_written(met)
+    return pairs.join(pairs.groupBy("b").agg(F.count("*").alias("size")), "b").select("a", "b", "size")
 
 
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -330,7 +371,8 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     labelled = crowded.filter("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("own", F.pmod(F.xxhash64("node"), blocks))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).filter("low < high")
     split = split.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"))  # by bucket and block, so no bucket is one task
-    more = written(_blocks(labelled.join(split, ["bucket", "own"]), sets, percent), "more")
+    apart = written(labelled.join(split, ["bucket", "own"]).select("node", "component").distinct(), "apart")
+    more = spark.createDataFrame([], "a long, b long") if apart.isEmpty() else written(_confirm(_across(apart, sets, percent), sets, percent), "more")
     drop_written(sets)
     drop_written(crowded)
     settle(spark)

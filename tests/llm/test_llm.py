@@ -222,6 +222,49 @@ def test_near_duplicates_in_families(spark, monkeypatch):
     assert sorted(tuple(x)[:3] for x in got) == brute_classes(rows)
 
 
+def most_joined(spark, run):
+    """The most rows that one inner or outer join makes while ``run`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = [0]
+    for k in range(before, store.executionsCount()):
+        one = store.executionsList().apply(k)
+        values, nodes = store.executionMetrics(one.executionId()), store.planGraph(one.executionId()).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in n.name():
+                of = (n.metrics().apply(i) for i in range(n.metrics().size()))
+                ids = [m.accumulatorId() for m in of if m.name() == "number of output rows"]
+                rows += [int(values.apply(i).replace(",", "")) for i in ids if values.contains(i)]
+    return max(rows)
+
+
+def edited_copies(n, words=150):
+    """n copies of one text, each with up to 7 words of its own: many are linked, more only share buckets."""
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(n):
+        own = [f"w{k}" for k in range(words)]
+        for k in r.choice(words, r.integers(8), replace=False):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_near_duplicates_in_a_large_group_of_edited_copies(spark, monkeypatch):
+    """Its joins grow with the group, not with its square, and find every link."""
+    rows = edited_copies(1600)
+    for percent in (80, 85):
+        got = neardup.classes(spark.createDataFrame(rows[:300], "doc_id long, text string"), percent=percent).collect()
+        assert sorted(tuple(x)[:3] for x in got) == brute_classes(rows[:300], percent=percent)
+    made = [most_joined(spark, lambda n=n: neardup.classes(spark.createDataFrame(rows[:n], "doc_id long, text string"), percent=80).collect()) for n in (400, 1600)]
+    assert 1000 < made[0] and made[1] < 6 * made[0]
+    monkeypatch.setattr(neardup, "SAMPLE", 1)  # the order of shingles decides on work alone
+    got = neardup.classes(spark.createDataFrame(rows[:150], "doc_id long, text string"), percent=80).collect()
+    assert sorted(tuple(x)[:3] for x in got) == brute_classes(rows[:150], percent=80)
+
+
 def test_components_equal_union_find(spark):
     r = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 440)]
