@@ -92,10 +92,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, wi
             if name is None:
                 name = f"{task:06d}-{uuid.uuid4().hex}"
                 out = _put(folder, f"{name}.bin")
-            for code in encode(batch["text"]):
-                code += end
-                out.write(code if wide else np.frombuffer(code, "<u4").astype(dtype).tobytes())
-                ends.append(ends[-1] + len(code) // 4)
+            codes = encode(batch["text"])
+            ids_out = b"".join([part for code in codes for part in (code, end)])
+            out.write(ids_out if wide else np.frombuffer(ids_out, "<u4").astype(dtype).tobytes())
+            ends.extend((ends[-1] + np.cumsum([len(code) // 4 + 1 for code in codes])).tolist())
             nulls.append(np.array([i is None for i in batch["doc_id"]], "u1"))
             ids.append(np.array([i or 0 for i in batch["doc_id"]], "<i8"))
         if name is not None:

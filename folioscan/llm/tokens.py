@@ -29,6 +29,8 @@ _LEADS = (*range(0xC3, 0xCA), 0xD0, 0xD1)
 _SIGNS = (0x97, 0xB7)  # after 0xC3: the multiplication and the division sign
 #: Longest chunk that is its own key, in bytes; the last byte of three words holds the length.
 _SHORT = 23
+#: New chunks that the library encodes as one text; longer texts take it more time a chunk.
+JOINED = 64
 
 
 def _classes() -> np.ndarray:
@@ -265,33 +267,43 @@ def library_encoder(path: str) -> Callable[[list], list[bytes]]:
     def plain(texts: list[str | None]) -> list[bytes]:
         return [np.array(ids, "<u4").tobytes() for ids in each([t or "" for t in texts])]
 
-    (newline,) = found if len(found := each(["\n"])[0]) == 1 else (None,)
+    one_newline = len(each(["\n"])[0]) == 1
+    # of byte-level tokens each character is a byte; of added ones, the text is itself
+    own = {i: len(t) for t, i in tokenizer.get_vocab(with_added_tokens=False).items()}
+    own |= {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
+    width = np.zeros(max(own, default=-1) + 1, "i8")
+    width[list(own)] = list(own.values())
+
+    def together(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and counts of chunks that do not end in white space, or None if tokens do not add up to their bytes.
+
+        What ends in another character is cut off before white space. So a chunk that starts with a space follows
+        the one before as it is, others follow a line feed, which is a pre-token of its own, and many are one text.
+        The bytes of tokens tell the chunks' ids apart.
+        """
+        apart = np.array([c[:1] != b" " for c in chunks])
+        apart[::JOINED] = False
+        parts = [b"\n" + c if f else c for c, f in zip(chunks, apart.tolist(), strict=True)]
+        ids = [i for e in each([b"".join(parts[at : at + JOINED]).decode() for at in range(0, len(parts), JOINED)]) for i in e]
+        ids = np.array(ids, "u4")
+        last = np.cumsum([len(p) for p in parts])
+        upto = np.cumsum(width[ids])
+        end = np.searchsorted(upto, last) + 1
+        feeds = np.concatenate([[0], end[:-1]])[apart]  # places of line feeds
+        if not len(upto) or upto[-1] != last[-1] or (upto[end - 1] != last).any() or (width[ids[feeds]] != 1).any():
+            return None
+        return np.delete(ids, feeds), np.diff(end, prepend=0) - apart
 
     def learn(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # line feeds between chunks are pre-tokens of their own, so many chunks are encoded as one text
-        texts = [c.decode() for c in chunks]
-        words = [i for i, t in enumerate(texts) if not t[-1:].isspace()]
-        ids, counts = [], np.zeros(len(chunks), "i8")
-        parts: list = [None] * len(chunks)
-        for at in range(0, len(words), 4096):
-            own = words[at : at + 4096]
-            got = np.array(each(["\n".join(texts[i] for i in own)])[0], "u4")
-            edge = np.flatnonzero(got == newline)
-            begin, end = np.concatenate([[0], edge + 1]), np.append(edge, len(got))
-            if len(begin) != len(own):
-                raise ValueError("chunks do not stay apart")
-            ids.append(got[got != newline])
-            counts[own] = end - begin
-        if len(words) == len(chunks):
-            return np.concatenate(ids) if ids else np.empty(0, "u4"), counts
-        joined, at = (np.concatenate(ids) if ids else np.empty(0, "u4")), 0
-        for i in words:
-            parts[i] = joined[at : at + counts[i]]
-            at += counts[i]
-        blanks = [i for i, p in enumerate(parts) if p is None]
-        for i, own in zip(blanks, each([texts[i] for i in blanks]), strict=True):
-            parts[i], counts[i] = np.array(own, "u4"), len(own)
-        return np.concatenate(parts), counts
-
-    KEPT["library", path] = ChunkEncoder(learn) if newline is not None and _cuts_by_pattern(path) else plain
+        blank = [c.decode()[-1:].isspace() for c in chunks]
+        words = [c for c, f in zip(chunks, blank, strict=True) if not f]
+        got = together(words) if words else None
+        if got and len(words) == len(chunks):
+            return got
+        parts = iter(np.split(got[0], np.cumsum(got[1])[:-1])) if got else None
+        rest = iter(each([c.decode() for c, f in zip(chunks, blank, strict=True) if f or not got]))
+        found = [next(rest) if f or not got else next(parts) for f in blank]
+        return np.concatenate([np.array(x, "u4") for x in found]), np.array([len(x) for x in found], "i8")
+
+    KEPT["library", path] = ChunkEncoder(learn) if one_newline and _cuts_by_pattern(path) else plain
     return KEPT["library", path]

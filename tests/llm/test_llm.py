@@ -72,6 +72,50 @@ def test_encoders_match_libraries(tokenizer):
     assert all(codec.decode(i) == t.encode() for i, t in zip(ids, many, strict=True))
 
 
+def test_new_chunks_go_to_the_library_as_they_are(monkeypatch):
+    """No separators are encoded where spaces cut, in short texts; what is learnt equals each chunk alone."""
+    import random
+
+    import tokenizers
+
+    from folioscan.llm import tokens
+
+    seen = []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+            own.encode_special_tokens = True
+
+        from_file = staticmethod(lambda path, make=tokenizers.Tokenizer.from_file: Counted(make(path)))
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.own.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    monkeypatch.setattr(tokens, "KEPT", {})
+    encode = library_encoder(LIBRARY)
+    plain = tokenizers.Tokenizer.from_file(LIBRARY).own
+    text = "".join(f" w{k}x" for k in range(5000))
+    (code,) = encode([text])
+    assert np.frombuffer(code, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    seen.clear()
+    r = random.Random(1)
+    some = [f" {''.join(r.choices('abcdefgh', k=9))}".encode() for _ in range(3000)]
+    encode.learn(some)
+    assert sum(map(len, seen)) == sum(map(len, some)) and max(map(len, seen)) < 1000
+    bits = [" a", "b", "'s", " 's", "12", " 7", "!", " ?", "é", " é", "日本", "\u3000x", "\u00a0y", " <|endoftext|>", "<|endoftext|>", "x\ty", "\nz", "🙂", " ", "\n\n", "\t", "\u2003"]
+    for n in (1, 2, 3, 63, 64, 65, 500):
+        chunks = [r.choice(bits).encode() for _ in range(n)]
+        ids, counts = encode.learn(chunks)
+        want = [plain.encode(c.decode(), add_special_tokens=False).ids for c in chunks]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def ids_of(tokenizer, text, end):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
