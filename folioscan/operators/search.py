@@ -1,8 +1,9 @@
 """Searching documents with dictionaries and patterns; every operator maps DataFrames to a DataFrame.
 
 Dictionaries are tables (dictionary, term). Word matches are equi-joins on the
-lower-cased word, so Spark picks the strategy from the sizes; phrases are found
-by the characters around their first space and then checked, never by comparing all pairs.
+lower-cased word; small ones are sent to the words, which stay where they are,
+and for large ones Spark picks the strategy. Phrases are found by the characters
+around their first space and then checked, never by comparing all pairs.
 """
 from __future__ import annotations
 
@@ -13,6 +14,12 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 
 
+#: A dictionary of at most so many rows goes to the texts; larger ones meet them by a shuffle.
+SMALL = 10_000
+#: So few phrases are looked for in each sentence itself, which costs less than its anchors.
+FEW = 64
+
+
 def word_rows(docs: DataFrame, *keys: str) -> DataFrame:
     """keys, word: a row for each word."""
     return docs.select(*keys, F.explode(T.words(F.col("text"))).alias("word"))
@@ -59,7 +66,9 @@ def match_phrases(sentences: DataFrame, terms: DataFrame) -> DataFrame:
 
     A term is looked up by its anchor, the characters around its first space. A
     sentence has at most two anchors for each of its spaces, so rows grow with
-    words; containment decides. Terms without an anchor meet every sentence.
+    words; containment decides. Terms without an anchor meet every sentence. The
+    anchors of a small dictionary are read first, and a sentence is repeated
+    only for those among its own; FEW terms are looked for without anchors.
     """
     keys = [c for c in sentences.columns if c != "sentence"]
     own = terms.select("dictionary", F.lower("term").alias("match")).filter("match <> ''").distinct()
@@ -67,6 +76,11 @@ def match_phrases(sentences: DataFrame, terms: DataFrame) -> DataFrame:
     low = sentences.select(*keys, F.lower("sentence").alias("low"))
     around = lambda p: F.regexp_extract_all("low", F.lit(f"(?=({p}))"), F.lit(1))
     anchors = F.array_distinct(F.concat(F.array(F.lit("")), around(r"\S{3} \S{3}"), around(r"\S \S")))
+    known = [r.anchor for r in own.select("anchor").limit(SMALL + 1).collect()]
+    if len(known) <= FEW:
+        return low.join(F.broadcast(own), F.contains("low", F.col("match"))).select(*keys, "dictionary", "match")
+    if len(known) <= SMALL:
+        own, anchors = F.broadcast(own), F.filter(anchors, lambda a: a.isin(sorted(set(known))))
     met = low.select(*keys, "low", F.explode(anchors).alias("anchor")).join(own, "anchor")
     return met.filter(F.contains("low", F.col("match"))).select(*keys, "dictionary", "match")
 

@@ -206,3 +206,17 @@ def test_phrases_equal_brute_force(spark):
     terms = {t for t in ([text(2) for _ in range(60)] + [text(3) for _ in range(20)] + ["a  b", " a", "b ", "aab", "A B"]) if t}
     got = X.match_phrases(spark.createDataFrame(list(enumerate(sentences)), "i int, sentence string"), spark.createDataFrame([("d", t) for t in terms], "dictionary string, term string"))
     assert sorted((x.i, x["match"]) for x in got.collect()) == sorted((i, t) for i, s in enumerate(sentences) for t in {t.lower() for t in terms} if t in s.lower())
+
+
+def _joins(df):
+    return [j for j in ("SortMergeJoin", "ShuffledHashJoin") if j in df._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_sentences_stay_where_they_are(spark):
+    sentences = ["one of the few", "of these, none", "Of The one and of the other", "a b"]
+    s = spark.createDataFrame(list(enumerate(sentences)), "i int, sentence string")
+    for more in (0, 100):  # few terms are looked for directly, others by their anchors
+        terms = ["of the", "the few", *[f"w{k} of" for k in range(more)]]
+        got = X.match_phrases(s, spark.createDataFrame([("d", t) for t in terms], "dictionary string, term string"))
+        assert not _joins(got)
+        assert sorted((r.i, r["match"]) for r in got.collect()) == [(0, "of the"), (0, "the few"), (1, "of the"), (2, "of the")]
