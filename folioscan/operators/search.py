@@ -20,6 +20,11 @@ SMALL = 10_000
 FEW = 64
 
 
+def small(table: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it has at most SMALL rows: they are counted once, as Spark knows no size of rows made in Python."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
 def word_rows(docs: DataFrame, *keys: str) -> DataFrame:
     """keys, word: a row for each word."""
     return docs.select(*keys, F.explode(T.words(F.col("text"))).alias("word"))
@@ -44,14 +49,14 @@ def filter_words(words: DataFrame, least: int = 3, stop: DataFrame | None = None
     low = F.lower("word")
     if stop is None:
         return kept.filter(~low.isin(*T.STOPWORDS, *T.STOPWORDS_PUB))
-    return kept.join(stop.select(F.lower("word").alias("stop_")).distinct(), low == F.col("stop_"), "left_anti")
+    return kept.join(small(stop.select(F.lower("word").alias("stop_")).distinct()), low == F.col("stop_"), "left_anti")
 
 
 def match_words(words: DataFrame, terms: DataFrame) -> DataFrame:
     """A row for each occurrence of a term of one word: the words' keys, dictionary, match."""
     keys = [c for c in words.columns if c != "word"]
     low = words.select(*keys, F.lower("word").alias("match"))
-    return low.join(terms.select("dictionary", F.lower("term").alias("match")).distinct(), "match").select(*keys, "dictionary", "match")
+    return low.join(small(terms.select("dictionary", F.lower("term").alias("match")).distinct()), "match").select(*keys, "dictionary", "match")
 
 
 def _anchor(phrase: Column) -> Column:
@@ -157,7 +162,7 @@ def annotation_counts(hits: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def keep_hits_in_dictionary(hits: DataFrame, terms: DataFrame) -> DataFrame:
-    return hits.join(terms.select(F.lower("term").alias("key_")).distinct(), F.lower("match") == F.col("key_"), "left_semi")
+    return hits.join(small(terms.select(F.lower("term").alias("key_")).distinct()), F.lower("match") == F.col("key_"), "left_semi")
 
 
 def concordance(docs: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:

@@ -220,3 +220,14 @@ def test_sentences_stay_where_they_are(spark):
         got = X.match_phrases(s, spark.createDataFrame([("d", t) for t in terms], "dictionary string, term string"))
         assert not _joins(got)
         assert sorted((r.i, r["match"]) for r in got.collect()) == [(0, "of the"), (0, "the few"), (1, "of the"), (2, "of the")]
+
+
+def test_words_stay_where_they_are(spark):
+    words = spark.createDataFrame([(1, "The"), (1, "cat"), (2, "les"), (2, "the")], "i int, word string")
+    terms = spark.createDataFrame([("en", "the"), ("fr", "Les"), ("en", "THE")], "dictionary string, term string")
+    stop, hits = spark.createDataFrame([("the",)], "word string"), words.withColumnRenamed("word", "match")
+    docs = spark.createDataFrame([(1, "The cat of the AB")], "doc_id int, text string")
+    found = X.match_words(words, terms)
+    for df in (found, X.keep_hits_in_dictionary(hits, terms), X.filter_words(words, stop=stop), X.search(docs, terms, {"caps": ("_ALLCAPS", "")})):
+        assert not _joins(df)
+    assert sorted((r.i, r.dictionary, r["match"]) for r in found.collect()) == [(1, "en", "the"), (2, "en", "the"), (2, "fr", "les")]
