@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 NODE = "ord int, parent int, depth int, sib int, kind string, tag string, text string, attrs map<string,string>, last_desc int, above array<int>"
 ROWS = 4096
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_RAW = re.compile(r"(<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>)", re.S | re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
 
 class _Builder(HTMLParser):
-    """Tolerant: void elements close at once, some open elements close others, stray ends are dropped."""
+    """Tolerant: void elements close at once, some open elements close others, stray ends are dropped.
 
-    def __init__(self):
+    entities: the names of the only entities that are decoded, each with its semicolon; None for all, as browsers do.
+    """
+
+    def __init__(self, entities: tuple[str, ...] | None = None):
         super().__init__(convert_charrefs=True)
+        self.others = None if entities is None else re.compile(rf"&(?!(?:{'|'.join(map(re.escape, entities))});)")
         self.rows: list[list] = []
         self.stack: list[int] = []
         self.kids: dict[int, int] = {}
@@ -52,6 +57,12 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self._add("text", None, data, {})
 
+    def feed(self, data):
+        if self.others is None or "&" not in data:
+            return super().feed(data)
+        # what is not to be decoded is encoded, but for scripts and styles, where nothing is decoded
+        super().feed("".join(part if k % 2 else self.others.sub("&amp;", part) for k, part in enumerate(_RAW.split(data))))
+
     def finish(self) -> list[tuple]:
         self.close()
         while self.stack:
@@ -59,8 +70,8 @@ class _Builder(HTMLParser):
         return [tuple(r) for r in self.rows]
 
 
-def parse_html(text: str | None) -> list[tuple]:
-    builder = _Builder()
+def parse_html(text: str | None, entities: tuple[str, ...] | None = None) -> list[tuple]:
+    builder = _Builder(entities)
     builder.feed(text or "")
     return builder.finish()
 
@@ -92,9 +103,12 @@ def _parse_with(df: DataFrame, key: str, column: str, parse, schema: str) -> Dat
     return df.select(key, column).mapInArrow(run, full)
 
 
-def html_nodes(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
-    """The node table of HTML documents, well-formed or not: ord is preorder, last_desc the last node below."""
-    return _parse_with(pages, key, column, parse_html, NODE)
+def html_nodes(pages: DataFrame, key: str = "page_id", column: str = "html", entities: tuple[str, ...] | None = None) -> DataFrame:
+    """The node table of HTML documents, well-formed or not: ord is preorder, last_desc the last node below.
+
+    All entities are decoded, or only those named in ``entities``.
+    """
+    return _parse_with(pages, key, column, lambda text: parse_html(text, entities), NODE)
 
 
 #: Elements that stay whole as one section; and those that are not looked into.

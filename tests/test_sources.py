@@ -158,3 +158,11 @@ def test_tidy_and_lines(spark):
     assert [r.pos for r in L.word_breaks(chars, ["k"]).collect()] == [1]
     spans = spark.createDataFrame([(1, 10.0, 20.0), (1, 100.0, 110.0), (1, 280.0, 295.0)], "page int, y0 double, y1 double")
     assert [r.y0 for r in L.page_frame(spans, 50, 20, 300).collect()] == [100.0]
+
+
+def test_only_named_entities_are_decoded():
+    text = '<title>a &quot;b&quot; &lt;c&gt; &amp;lt; d&amp</title><!-- <script> & --><p id="x&quot;&amp;">e &eacute; &</p><script>a && b &amp; c</script>'
+    some, every = ([(r[5], r[6], r[7]) for r in M.parse_html(text, e)] for e in (("lt", "gt", "amp"), None))
+    assert [t for _, t, _ in some if t] == ["a &quot;b&quot; <c> &lt; d&amp", "e &eacute; &", "a && b &amp; c"]
+    assert [t for _, t, _ in every if t] == ['a "b" <c> &lt; d&', "e é &", "a && b &amp; c"]
+    assert some[2][2] == {"id": "x&quot;&"} and every[2][2] == {"id": 'x"&'}
