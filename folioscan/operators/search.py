@@ -134,21 +134,22 @@ def enrich(hits: DataFrame, entries: DataFrame, lang: str | None = None, require
     return joined.withColumn("label", label)
 
 
-def snowball(docs: DataFrame, seed: DataFrame, rounds: int = 2, least: int = 3, key: str = "doc_id") -> DataFrame:
+def snowball(docs: DataFrame, seed: DataFrame, rounds: int = 2, least: int = 3) -> DataFrame:
     """term, round: the seed terms (round 0), then in each round the words of documents that have a known term.
 
     A round counts the words of those documents, makes entries of the ones with
     more than ``least`` hits that pass the word filter, and searches again with
-    them. ``docs`` has unique keys.
+    them. The known terms are one array, frequent ones first, so most documents
+    are decided by its first terms; neither texts nor words are shuffled, only counts.
     """
-    words = word_rows(docs, key)
-    known = seed.select(F.lower("term").alias("term")).distinct().withColumn("round", F.lit(0))
+    known = seed.select(F.lower("term").alias("term")).distinct().select("term", F.lit(0).alias("round"), F.lit(2**62).alias("n"))
     for r in range(1, rounds + 1):
-        found = words.join(known.select(F.col("term").alias("low_")), F.lower("word") == F.col("low_"), "left_semi").select(key).distinct()
-        counted = filter_words(words.join(found, key, "left_semi")).groupBy(F.lower("word").alias("term")).agg(F.count("*").alias("n"))
-        fresh = counted.filter(F.col("n") > least).join(known, "term", "left_anti").select("term", F.lit(r).alias("round"))
-        known = known.unionByName(fresh)
-    return known
+        listed = known.agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "term")), asc=False), lambda s: s["term"]).alias("terms"))
+        found = docs.filter(F.arrays_overlap(T.words(F.lower("text")), listed.scalar()))
+        counted = filter_words(word_rows(found).groupBy("word").agg(F.count("*").alias("n")))  # the filter sees each word once
+        fresh = counted.groupBy(F.lower("word").alias("term")).agg(F.sum("n").alias("n")).filter(F.col("n") > least)
+        known = known.unionByName(fresh.join(known, "term", "left_anti").select("term", F.lit(r).alias("round"), "n"))
+    return known.select("term", "round")
 
 
 def annotation_counts(hits: DataFrame, entries: DataFrame) -> DataFrame:

@@ -231,3 +231,9 @@ def test_words_stay_where_they_are(spark):
     for df in (found, X.keep_hits_in_dictionary(hits, terms), X.filter_words(words, stop=stop), X.search(docs, terms, {"caps": ("_ALLCAPS", "")})):
         assert not _joins(df)
     assert sorted((r.i, r.dictionary, r["match"]) for r in found.collect()) == [(1, "en", "the"), (2, "en", "the"), (2, "fr", "les")]
+
+
+def test_snowball_needs_texts_only(spark):
+    docs = spark.createDataFrame([("alpha beta beta Beta",), ("beta gamma gamma gamma the",), ("delta delta delta",), (None,), ("ALPHA alpha",)], "text string")
+    got = X.snowball(docs, spark.createDataFrame([("Alpha",)], "term string"), rounds=2, least=2)
+    assert sorted(map(tuple, got.collect())) == [("alpha", 0), ("beta", 1), ("gamma", 2)]
