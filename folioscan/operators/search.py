@@ -230,14 +230,17 @@ def search(docs: DataFrame, dictionaries: DataFrame | None = None, patterns: dic
 def keywords(docs: DataFrame, least: int = 2, most: int = 6) -> DataFrame:
     """Phrases of 2 to 6 words between stop words and punctuation that occur more than once: phrase, n, score.
 
-    score sums, over a phrase's words, degree / frequency among all phrases.
+    score sums, over a phrase's words, degree / frequency among all phrases. Phrases
+    of other lengths only count for their words; these are counted with the
+    phrases, a word as a phrase of its own kind, so texts are read once.
     """
     cleaned = F.regexp_replace(F.lower("text"), r"[^\p{L}\s-]+", " \u0001 ")
     tokens = F.filter(F.split(cleaned, r"\s+"), lambda w: w != "")
-    marked = F.array_join(F.transform(tokens, lambda w: F.when(w.isin(*T.STOPWORDS) | ~w.rlike(r"^[\p{L}-]+$"), "\u0001").otherwise(w)), " ")
-    phrases = docs.select(F.explode(F.split(marked, "\u0001")).alias("p")).select(F.trim("p").alias("match")).filter("match <> ''")
-    counted = phrases.groupBy("match").agg(F.count("*").alias("n"))
-    parts = counted.select("match", "n", F.explode(F.split("match", " ")).alias("w"), F.size(F.split("match", " ")).alias("k"))
-    weight = parts.groupBy("w").agg((F.sum(F.col("n") * F.col("k")) / F.sum("n")).alias("weight"))
-    kept = parts.filter((F.col("n") > 1) & F.col("k").between(least, most))
+    marked = F.array_join(F.transform(tokens, lambda w: F.when(w.isin(*T.STOPWORDS), "\u0001").otherwise(w)), " ")
+    phrases = docs.select(F.explode(F.split(marked, "\u0001")).alias("p")).select(F.trim("p").alias("p")).filter("p <> ''").select("p", F.split("p", " ").alias("ws"))
+    own = F.when(F.size("ws").between(least, most), F.col("p"))
+    texts = phrases.select(F.size("ws").alias("k"), F.posexplode(F.concat(F.array(own), "ws")).alias("pos", "match")).filter("match IS NOT NULL")
+    counted = texts.groupBy((F.col("pos") == 0).alias("phrase"), "match").agg(F.count("*").alias("n"), F.sum("k").alias("degree"))
+    weight = counted.filter("NOT phrase").select(F.col("match").alias("w"), (F.col("degree") / F.col("n")).alias("weight"))
+    kept = counted.filter("phrase AND n > 1").select("match", "n", F.explode(F.split("match", " ")).alias("w"))
     return kept.join(weight, "w").groupBy("match").agg(F.first("n").alias("n"), F.round(F.sum("weight"), 6).alias("score"))

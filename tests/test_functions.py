@@ -237,3 +237,11 @@ def test_snowball_needs_texts_only(spark):
     docs = spark.createDataFrame([("alpha beta beta Beta",), ("beta gamma gamma gamma the",), ("delta delta delta",), (None,), ("ALPHA alpha",)], "text string")
     got = X.snowball(docs, spark.createDataFrame([("Alpha",)], "term string"), rounds=2, least=2)
     assert sorted(map(tuple, got.collect())) == [("alpha", 0), ("beta", 1), ("gamma", 2)]
+
+
+def test_keywords_count_words_with_phrases(spark):
+    docs = spark.createDataFrame([("red fox jumps, the red fox",), ("Red fox. one two three four five six seven and fox",)], "text string")
+    got = X.keywords(docs)
+    # fox: 3 + 2 + 2 + 1 words in the phrases of its 4 uses; red: 3 + 2 + 2 in those of 3
+    assert [tuple(r) for r in got.collect()] == [("red fox", 2, round(8 / 4 + 7 / 3, 6))]
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString().upper()  # no pattern is tried on each word
