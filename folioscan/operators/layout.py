@@ -23,29 +23,29 @@ def overlap_pairs(boxes: DataFrame, key: str, id_: str, cell: int = 100) -> Data
     return both.filter(G.overlaps(A, B) & first).select(F.col(f"a.{key}").alias(key), F.col(f"a.{id_}").alias("a_id"), F.col(f"b.{id_}").alias("b_id"))
 
 
-def _fold_lines(spans: list[dict], grow: int) -> list[dict]:
-    """Lines of one page's spans, which come in reading order."""
-
-    def touch(a, b):
-        return a["x0"] - grow <= b["x1"] and b["x0"] - grow <= a["x1"] and a["y0"] <= b["y1"] and b["y0"] <= a["y1"]
-
-    def unite(a, b):
-        text = " ".join(t for t in (a["text"], b["text"]) if t is not None) if a["text"] is not None or b["text"] is not None else None
-        return {"x0": min(a["x0"], b["x0"]), "x1": max(a["x1"], b["x1"]), "y0": min(a["y0"], b["y0"]), "y1": max(a["y1"], b["y1"]), "text": text}
-
-    lines: list[dict] = []
-    for s in spans:
-        if lines and touch(lines[-1], s):
-            lines[-1] = unite(lines[-1], s)
-        else:
-            lines.append(s)
-    merged: list[dict] = []
-    for line in lines:  # what grows by a merge may touch the line before it
-        merged.append(line)
-        while len(merged) > 1 and touch(merged[-2], merged[-1]):
-            b, a = merged.pop(), merged.pop()
-            merged.append(unite(a, b))
-    return merged
+def _fold_lines(spans, grow: int) -> list[tuple]:
+    """Lines (x0, x1, y0, y1, text) of one page's spans, which come in reading order."""
+
+    def united(lines):
+        out: list[tuple] = []
+        for line in lines:
+            x0, x1, y0, y1, text = line
+            while out:
+                u0, u1, v0, v1, before = out[-1]
+                if u0 - grow > x1 or x0 - grow > u1 or v0 > y1 or y0 > v1:
+                    break
+                x0, x1, y0, y1 = min(u0, x0), max(u1, x1), min(v0, y0), max(v1, y1)
+                text = before if text is None else text if before is None else f"{before} {text}"
+                out.pop()
+                if once:
+                    break
+            out.append((x0, x1, y0, y1, text))
+        return out
+
+    once = True  # a span joins the last line only
+    lines = united(spans)
+    once = False  # what grows by a merge may touch the line before it
+    return united(lines)
 
 
 def merge_lines(spans: DataFrame, key: str = "page", grow: int = 20) -> DataFrame:
@@ -53,23 +53,41 @@ def merge_lines(spans: DataFrame, key: str = "page", grow: int = 20) -> DataFram
 
     Spans in reading order join the line whose box, made wider by ``grow``,
     they touch; then neighbouring lines that touch are merged until none does.
-    Spans without a whole box are left out; null texts add nothing.
+    Spans without a whole box are left out; null texts add nothing. Spans are
+    sorted by page and place, so the fold reads batches, in which pages are runs.
     """
     kind = spans.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, line int, x0 int, x1 int, y0 int, y1 int, text string"
     target = to_arrow_schema(StructType.fromDDL(schema))
-    box = [F.col(c).cast("int").alias(c) for c in ("y0", "x0", "x1", "y1")]
+    box = [F.col(c).cast("int").alias(c) for c in ("x0", "x1", "y0", "y1")]
     whole = spans.filter(F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull())
-    pages = whole.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*box[:2], "span_id", *box[2:], "text"))).alias("spans"))
+    order = [key, "y0", "x0", "span_id", "x1", "y1", "text"]
+    placed = whole.select(key, "span_id", *box, "text").repartition(key).sortWithinPartitions(*order).select(key, *target.names[2:])
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            rows = [{key: page, "line": n} | line for page, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, line in enumerate(_fold_lines(own, grow))]
-            yield pa.RecordBatch.from_pylist([{c: r[c] for c in target.names} for r in rows], schema=target)
+        def made(pages, lines):
+            at = [(p, n, *line) for p, own in zip(pages, lines, strict=True) for n, line in enumerate(own)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*at, strict=True), target, strict=True)], schema=target)
 
-    return pages.mapInArrow(run, schema)
+        page, open_ = None, []  # the page that may go on in the next batch
+        for batch in batches:
+            pages, lines = [], []
+            keys = batch.column(0).to_pylist()
+            for k, span in zip(keys, zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True), strict=True):
+                if k != page:
+                    if open_:
+                        pages.append(page)
+                        lines.append(_fold_lines(open_, grow))
+                    page, open_ = k, []
+                open_.append(span)
+            if pages:
+                yield made(pages, lines)
+        if open_:
+            yield made([page], [_fold_lines(open_, grow)])
+
+    return placed.mapInArrow(run, schema)
 
 
 def page_frame(spans: DataFrame, header: float, footer: float, height: float) -> DataFrame:

@@ -245,3 +245,16 @@ def test_keywords_count_words_with_phrases(spark):
     # fox: 3 + 2 + 2 + 1 words in the phrases of its 4 uses; red: 3 + 2 + 2 in those of 3
     assert [tuple(r) for r in got.collect()] == [("red fox", 2, round(8 / 4 + 7 / 3, 6))]
     assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString().upper()  # no pattern is tried on each word
+
+
+def test_lines_of_pages_that_span_batches(spark):
+    spans = spark.createDataFrame([(p, k, 40 * k, 40 * k + 30, 5, 15, f"{p}{k}") for p in range(3) for k in range(5)] + [(None, 9, 0, 1, 0, 1, None), (1, 9, 0, 1, 90, 91, None)], "page int, span_id int, x0 int, x1 int, y0 int, y1 int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = L.merge_lines(spans)
+        assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()  # no page is one row
+        rows = [tuple(r) for r in got.orderBy("page", "line").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    line = lambda p: (p, 0, 0, 190, 5, 15, " ".join(f"{p}{k}" for k in range(5)))
+    assert rows == [(None, 0, 0, 1, 0, 1, None), line(0), line(1), (1, 1, 0, 1, 90, 91, None), line(2)]
