@@ -5,6 +5,7 @@ import html
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -228,10 +229,19 @@ def boolean_query(groups: list[list[str]]) -> str:
     return " AND ".join("(" + " OR ".join(f'"{t}"' for t in g) + ")" for g in groups)
 
 
-@F.pandas_udf(StringType())
-def nfkd_ascii(texts: pd.Series) -> pd.Series:
-    """Compatibility decomposition without what is not ASCII; Spark has no built-in for it."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+#: Texts that a worker holds as Python strings at a time.
+_AT_ONCE = 64
+
+
+@F.arrow_udf(StringType())
+def nfkd_ascii(texts: pa.Array) -> pa.Array:
+    """Compatibility decomposition without what is not ASCII; Spark has no built-in for it.
+
+    A batch stays in Arrow; few of its texts are Python strings at a time.
+    """
+    plain = lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+    parts = [pa.array([plain(t) for t in texts.slice(k, _AT_ONCE).to_pylist()], pa.string()) for k in range(0, len(texts), _AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else texts
 
 
 @F.pandas_udf(StringType())

@@ -24,3 +24,9 @@ def session(cpus: int | None = None, name: str = "folioscan") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def bound_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches that carry whole texts to Python, by rows and bytes; the session keeps these settings."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

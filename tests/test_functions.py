@@ -258,3 +258,22 @@ def test_lines_of_pages_that_span_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     line = lambda p: (p, 0, 0, 190, 5, 15, " ".join(f"{p}{k}" for k in range(5)))
     assert rows == [(None, 0, 0, 1, 0, 1, None), line(0), line(1), (1, 1, 0, 1, 90, 91, None), line(2)]
+
+
+def test_nfkd_holds_small_batches(spark, tmp_path):
+    from folioscan.functions import text as T
+    from folioscan.plans import queries, structure  # noqa: F401 - registers its queries
+
+    texts = ["ﬁne café", None, "", "plain", "½ ™ Ω"] * 30
+    v = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    assert [r.t for r in v.orderBy("doc_id").select(T.nfkd_ascii("text").alias("t")).collect()] == ["fine cafe", None, "", "plain", "12 TM "] * 30
+    v.write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "10000")
+    try:
+        assert queries.QUERIES["flatten_text_nfkd"](spark, str(tmp_path)).count() == 150
+        assert int(spark.conf.get(names[0])) <= 512
+    finally:
+        for n in names:
+            spark.conf.set(n, before[n])
